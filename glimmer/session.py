@@ -24,16 +24,16 @@ def local_session(cores: str | int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where it is unset (tests) a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        known = getattr(shared_dir, "own", None)
-        if known:
-            return known
-        shared_dir.own = found
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = _own[0]
     return found.rstrip("/")
 
 
