@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from glimmer.llm import simhash
+from glimmer.llm import decontaminate, mix, simhash
 
 _QUERIES: dict[str, Callable] = {
     "op3_simhash": simhash.op3_simhash,
+    "op4_mix": mix.op4_mix,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+}
+_SQL: dict[str, str] = {
+    "op8_decontaminate": decontaminate.OP8_SQL,
 }
-_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable]:
