@@ -6,7 +6,8 @@ method settles these fractions: three undecided documents at a time move along t
 direction that keeps both the expected number of documents and of words (the null
 space of the two constraints) until one of them is 0 or 1. So each block of a source
 leaves two undecided documents at most, those of all blocks go to the next level, and
-the last few of a source are the landing problem, in which the constraint on documents alone is kept.
+the last few of a source, with some documents that stayed behind, are the landing problem, which is small enough to try all
+choices for the one nearest to the expected words.
 
 A source is cut into blocks of about `block` documents by a hash, so a source with a
 third of all rows is many tasks. Only (id, source, size) is shuffled, with equal rows
@@ -31,6 +32,8 @@ from glimmer.session import table, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK = 20_000
+#: Units that stay behind for the landing, besides the two that a flight leaves: it tries 2 ** 16 choices at most.
+LANDING = 14
 MAX_BROADCAST_SOURCES = 100_000
 _EPS = 1e-9
 
@@ -78,30 +81,36 @@ def _move(pi: list[float], u: tuple, r: float) -> list[float]:
     return [0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p for p in out]
 
 
+def _land(pi: np.ndarray, docs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The choice of 0 or 1 for a few units whose words, then documents, are nearest to what pi expects."""
+    bits = (np.arange(1 << len(pi))[:, None] >> np.arange(len(pi)) & 1).astype(float)
+    off = np.abs(bits @ words - pi @ words) + np.abs(bits @ docs - pi @ docs)
+    return bits[np.argmin(off)]
+
+
 def flight(pi: np.ndarray, docs: np.ndarray, words: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
-    """Inclusion after the flight phase over the units in order: all but two are 0 or 1; with `land` all are."""
+    """Inclusion after the flight phase over the units in order: all but two are 0 or 1; with `land` all are.
+
+    For the landing, LANDING units spread over the order stay behind with the last two.
+    """
     out = np.array(pi, float)
+    open_ = np.flatnonzero((out >= _EPS) & (out <= 1 - _EPS))
+    closed = np.setdiff1d(np.arange(len(out)), open_)
+    out[closed] = np.round(out[closed])
+    behind = np.unique(np.linspace(0, len(open_) - 1, LANDING).astype(int)) if land and len(open_) else np.empty(0, int)
     units = list(zip(docs.tolist(), words.tolist(), strict=True))
-    draws = iter(rng.random(len(out) + 8).tolist())
+    draws = rng.random(len(out)).tolist()
     held: list[int] = []
-    for i, p in enumerate(out.tolist()):
-        if not _EPS <= p <= 1 - _EPS:
-            out[i] = round(p)
-            continue
+    for i in np.delete(open_, behind).tolist():
         held.append(i)
         if len(held) == 3:
-            new = _move([out[j] for j in held], _direction(*(units[j] for j in held)), next(draws))
+            new = _move([out[j] for j in held], _direction(*(units[j] for j in held)), draws[i])
             for j, q in zip(held, new, strict=True):
                 out[j] = q
             held = [j for j, q in zip(held, new, strict=True) if 0 < q < 1]
     if land:
-        while len(held) == 2:
-            new = _move([out[j] for j in held], (units[held[1]][0], -units[held[0]][0]), next(draws))
-            for j, q in zip(held, new, strict=True):
-                out[j] = q
-            held = [j for j, q in zip(held, new, strict=True) if 0 < q < 1]
-        for j in held:
-            out[j] = float(next(draws) < out[j])
+        last = np.array([*open_[behind], *held], int)
+        out[last] = _land(out[last], docs[last], words[last])
     return out
 
 

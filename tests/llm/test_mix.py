@@ -25,11 +25,12 @@ def test_flight_keeps_both_totals():
     out = M.flight(pi, docs, docs * words, rng)
     assert ((out > 0) & (out < 1)).sum() <= 2
     assert abs((out * docs).sum() - (pi * docs).sum()) < 1e-5 and abs((out * docs * words).sum() - (pi * docs * words).sum()) < 1e-2
-    assert set(M.flight(pi, docs, docs * words, rng, land=True)) <= {0.0, 1.0}
+    landed = M.flight(pi, docs, docs * words, rng, land=True)
+    assert set(landed) <= {0.0, 1.0} and abs((landed * docs * words).sum() - (pi * docs * words).sum()) < 5
 
 
 def test_flight_keeps_the_mean():
-    out = np.mean([M.flight(np.array([0.2, 0.5, 0.7, 0.9]), np.ones(4), np.array([1.0, 5, 9, 2]), np.random.default_rng(i), land=True) for i in range(4000)], axis=0)
+    out = np.mean([M.flight(np.array([0.2, 0.5, 0.7, 0.9]), np.ones(4), np.array([1.0, 5, 9, 2]), np.random.default_rng(i)) for i in range(4000)], axis=0)
     assert np.allclose(out, [0.2, 0.5, 0.7, 0.9], atol=0.03)
 
 
@@ -48,7 +49,7 @@ def test_mix(spark, block):
     for s in sizes:
         mine = [r for r in got if r.source == s]
         assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] and 0 <= r.copies <= 3 for r in mine)
-        assert abs(sum(r.copies * r["size"] * r.n for r in mine) - want[s]) <= 2 * max(r["size"] * r.n for r in mine)  # landing
+        assert abs(sum(r.copies * r["size"] * r.n for r in mine) - want[s]) <= (max(r["size"] for r in mine) if s == "s3" else 5 + 0.002 * want[s])  # one text has most of its source
     again = M.decide(docs.repartition(5), block=block).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
@@ -68,5 +69,5 @@ def test_query(spark):
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
     assert abs(by.target.sum() - got["size"].sum()) < 1e-3
-    assert (abs(by.taken - by.target) <= 0.02 * by.target + 60).all()
+    assert (abs(by.taken - by.target) <= 0.002 * by.target + 5).all()
     assert (got.taken <= 3 * got["size"]).all()
