@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import simhash
+from glimmer.llm import decontaminate, mix, quality, secrets, simhash
 from glimmer.session import table, written
 
 STAGES = [
+    ("quality classifier", quality.keep_good),
     ("simhash near-dedup", simhash.keep_one),
+    ("benchmark decontamination", decontaminate.drop_contaminated),
+    ("secret scans", secrets.mask_secrets),
+    ("mixing sources", mix.take),
 ]
 #: Fingerprints, forests and the flight phase are not expressible in SQL.
 ORACLE_SQL = None

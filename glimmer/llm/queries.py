@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from glimmer.llm import decontaminate, mix, simhash
+from glimmer.llm import decontaminate, mix, quality, secrets, simhash
 
 _QUERIES: dict[str, Callable] = {
+    "op1_quality": quality.op1_quality,
     "op3_simhash": simhash.op3_simhash,
     "op4_mix": mix.op4_mix,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_secrets": secrets.op10_secrets,
 }
 _SQL: dict[str, str] = {
     "op8_decontaminate": decontaminate.OP8_SQL,
