@@ -1 +1,3 @@
-"""Part of the glimmer analytics library."""
+"""Registered queries; importing the modules registers them."""
+
+from glimmer.plans import scalar  # noqa: F401
