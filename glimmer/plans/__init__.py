@@ -1,3 +1,3 @@
 """Registered queries; importing the modules registers them."""
 
-from glimmer.plans import scalar  # noqa: F401
+from glimmer.plans import measure, scalar  # noqa: F401
