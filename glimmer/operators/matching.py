@@ -73,7 +73,7 @@ def one_to_one(pairs: DataFrame, rounds: int = 30) -> DataFrame:
 
 def ordered_parts(quote: Column, text: Column, part: int = 20, words: int = 3) -> Column:
     """The quote occurs in the text as it is, or its parts between ellipses (two or more, each long enough) occur in order."""
-    parts = F.filter(F.transform(F.split(quote, r"\.\.\.|…"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(quote, r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: p != "")
     good = (F.size(parts) >= 2) & ~F.exists(parts, lambda p: (F.length(p) < part) | (F.size(F.split(p, r"\s+")) < words))
 
     # Parts become one pattern: quoted literally, anything between them.

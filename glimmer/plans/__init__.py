@@ -1,3 +1,3 @@
 """Registered queries; importing the modules registers them."""
 
-from glimmer.plans import choose, measure, scalar  # noqa: F401
+from glimmer.plans import choose, judge, measure, scalar, scans  # noqa: F401
