@@ -19,6 +19,16 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = 0.34, top: i
     return shared.withColumn("score", F.round(score, 6)).where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("a", "b", "score", "rank")
 
 
+def nearest_candidates(left: list[DataFrame], right: list[DataFrame], weights: list[float], top: int, least: float = 0.1) -> DataFrame:
+    """(a, b, score, rank): the `top` by the greatest of several weighted similarities, each of tables (id, tokens)."""
+    every = None
+    for x, y, w in zip(left, right, weights, strict=True):
+        s = similar_names(x, y, least, 1 << 30).select("a", "b", (F.col("score") * w).alias("score"))
+        every = s if every is None else every.unionByName(s)
+    best = every.where("a <> b").groupBy("a", "b").agg(F.round(F.max("score"), 6).alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= top)
+
+
 def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: int = 4096) -> DataFrame:
     """(a, b, cosine) of all pairs a < b of unit vectors with at least such a cosine. Exact: vectors are cut into blocks,
     and each two blocks are one matrix product of bounded size."""

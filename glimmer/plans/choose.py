@@ -76,6 +76,21 @@ def jon7(spark, d):
     return matching.similar_names(t, t, 0.1, 3).where("a <> b").withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where("rank <= 2")
 
 
+_STEM = f"list_distinct(list_transform({_TOK}, lambda x: substr(x, 1, 5)))"
+
+
+def _sim_sql(name, tokens, weight):
+    return f"{name}t AS (SELECT item_id AS id, unnest({tokens}) AS t, len({tokens}) AS n FROM benchmark), {name} AS (SELECT a, b, round(CASE WHEN i >= 2 THEN i / least(na, nb) ELSE i / (na + nb - i) END, 6) AS s0, s0 * {weight} AS score FROM (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM {name}t a JOIN {name}t b ON a.t = b.t WHERE a.id <> b.id GROUP BY ALL) WHERE s0 >= 0.1)"
+
+
+@query("jon8_nearest_candidates", f"WITH {_sim_sql('x', _TOK, 1.0)}, {_sim_sql('y', _STEM, 0.99)} SELECT a, b, round(max(score), 6) AS score, row_number() OVER (PARTITION BY a ORDER BY round(max(score), 6) DESC, b) AS rank FROM (SELECT a, b, score FROM x UNION ALL SELECT a, b, score FROM y) GROUP BY a, b QUALIFY rank <= 3")
+def jon8(spark, d):
+    b = table(spark, d, "benchmark")
+    t = b.select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
+    s = t.select("id", F.array_distinct(F.transform("tokens", lambda x: F.substring(x, 1, 5))).alias("tokens"))
+    return matching.nearest_candidates([t, s], [t, s], [1.0, 0.99], 3)
+
+
 @query("jon9_cosine_pairs", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_inner_product(a.v, b.v) >= 0.4")
 def jon9(spark, d):
     return matching.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4).withColumn("cosine", F.round("cosine", 6))

@@ -8,7 +8,7 @@ from glimmer.functions import text
 from glimmer.plans import inputs as I
 from glimmer.registry import query
 from glimmer.session import new_path, table
-from glimmer.sources import runs, sinks
+from glimmer.sources import html, runs, sinks
 from glimmer.streaming import admission
 
 
@@ -66,6 +66,11 @@ def src7(spark, d):
     return runs.works(json, "json").select("id")
 
 
+@query("src8_html_documents")
+def src8(spark, d):
+    return html.documents(table(spark, d, "pages"))
+
+
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents), g AS (SELECT doc_id, line, text, line // 40 AS page FROM l)"
 
 
@@ -103,6 +108,16 @@ def snk1(spark, d):
     return sinks.read_stage(spark, path).groupBy(F.col("run_id").cast("string").alias("run_id")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("snk2_partial_tables", I.sql("hits") + "SELECT lens AS run_id, count(*) AS rows FROM hits GROUP BY 1")
+def snk2(spark, d):
+    """Two packets of a run, each written as it is done: what is there can be read at any time."""
+    path = new_path(spark, "partial")
+    h = I.hits(spark, d).withColumnRenamed("lens", "run_id")
+    sinks.append_packet(h.where("position <= 10"), path, 0)
+    sinks.append_packet(h.where("position > 10"), path, 1)
+    return sinks.read_stage(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("snk3_versioned_results", "SELECT p_partkey FROM part WHERE p_size % 3 = 2 OR p_size % 3 = 0")
 def snk3(spark, d):
     v = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_size") % 3).alias("version"))

@@ -11,6 +11,11 @@ def write_stage(df: DataFrame, path: str, by: str = "run_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def append_packet(df: DataFrame, path: str, packet: int) -> None:
+    """A part of a stage's table; a packet that is run again replaces what it wrote."""
+    df.write.mode("overwrite").parquet(f"{path}/packet={packet}")
+
+
 def read_stage(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df if run is None else df.where(F.col("run_id") == run)

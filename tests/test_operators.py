@@ -106,6 +106,15 @@ def test_abbreviations(spark):
     assert {(r.abbreviation, r.expansion) for r in resolve.abbreviations(df, "doc_id", "text").collect()} == {("LLM", "large language model"), ("GNN", "graph neural network")}
 
 
+def test_html_documents():
+    from glimmer.sources.html import parsed
+
+    long = "A paragraph that is long enough to be kept as a block. " * 4
+    page = f"<title>T</title><meta property='article:published_time' content='2024-05-06T00:00'><nav><p>{long}</p></nav><h2>Head</h2><p>short</p><p>{long}<br>x &amp; y</p><footer><li>{long}</footer>"
+    assert parsed(page) == ("T", "Head\n" + " ".join((long + " x & y").split()), "2024-05-06")
+    assert parsed("<p>little</p>") is None and parsed(None) is None
+
+
 def test_reflow(spark):
     df = spark.createDataFrame([(1, 0, n, t) for n, t in enumerate(["A sen-", "tence goes", "on.", "", "Next one"])], "doc_id long, page long, line int, text string")
     assert [r.text for r in sorted(runs.reflowed(df, "doc_id").collect(), key=lambda r: r.paragraph)] == ["A sentence goes on.", "Next one"]
