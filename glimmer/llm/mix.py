@@ -31,7 +31,7 @@ from glimmer.session import table, written
 #: Weights of the sources in order, repeating; no source is taken more than so many times.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-BLOCK = 20_000
+BLOCK = 4_096
 #: Units that stay behind for the landing, besides the two that a flight leaves: it tries 2 ** 16 choices at most.
 LANDING = 14
 MAX_BROADCAST_SOURCES = 100_000
