@@ -51,7 +51,7 @@ def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: in
     return dealt.groupBy("x", "y").applyInPandas(product, "a long, b long, cosine double")
 
 
-def contained(quotes: DataFrame, texts: DataFrame, shingle: int = 8) -> DataFrame:
+def contained(quotes: DataFrame, texts: DataFrame, shingle: int = 24) -> DataFrame:
     """(quote_id, doc_id) for quotes (quote_id, quote) and texts (doc_id, text): the quote occurs in the text.
 
     Texts are cut into runs of `shingle` characters; a quote of at least twice that length less one holds one of them whole, so

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.operators.components import connected_components
+from glimmer.session import written
 
 
 def accumulate(rows: DataFrame, key: list[str], order: str, long_text: str, gather: str) -> DataFrame:
@@ -17,23 +18,30 @@ def accumulate(rows: DataFrame, key: list[str], order: str, long_text: str, gath
     return rows.groupBy(*key).agg(r.alias("r")).select(*key, F.size("r").alias("n"), fold.alias(long_text), F.array_distinct(F.col("r").getField(gather)).alias(gather))
 
 
-def leaders(rows: DataFrame, least: float = 0.75) -> DataFrame:
+def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8) -> DataFrame:
     """(id, leader) for rows (id, tokens): each joins the first earlier leader with such a Jaccard similarity, in order of id.
 
     Rows can only be in one group with rows they are linked to by chains of similar pairs, so the order is
     followed inside each component of the similarity join, whose pairs come from shared tokens (prefix filtering: only the
-    rarest tokens of a row, enough that no pair above the threshold is lost)."""
-    t = rows.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    rarest tokens of a row, enough that pairs above the threshold share `shared` of them)."""
+    # Rows with equal tokens follow the first of them, whatever the order: they are one row until the end.
+    same = rows.select("id", F.xxhash64(F.array_join(F.array_sort("tokens"), " ")).alias("h"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("k"), "tokens")
+    first = same.groupBy("h", "k").agg(F.min("id").alias("first"))
+    rows_of = written(same.join(first, ["h", "k"]).select("id", "first", "tokens"), "same")
+    sets = rows_of.where("id = first").select("id", "tokens")
+    need = F.ceil(F.col("n") * least)
+    t = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     df = t.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("id").orderBy("df", "t")
-    pre = t.join(df, "t").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = pre.select("t", F.col("id").alias("a")), pre.select("t", F.col("id").alias("b"))
-    sets = rows.select("id", "tokens")
-    cand = a.join(b, "t").where("a < b").select("a", "b").distinct()
+    pre = t.join(df, "t").withColumns({"r": F.row_number().over(w), "l": F.least(F.lit(shared), need)}).where(F.col("r") <= F.col("n") - need + F.col("l"))
+    a, b = (pre.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}")) for x in "ab")
+    met = a.join(b, "t").where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    cand = met.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.least("la", "lb")).select("a", "b")
     full = cand.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     pairs = full.where(F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb")) >= least).select("a", "b")
     comp = connected_components(pairs, "a", "b")
-    grouped = rows.join(comp, rows["id"] == comp["node"]).select("id", "tokens", "component")
+    comp = written(comp, "components")
+    grouped = sets.join(comp, sets["id"] == comp["node"]).select("id", "tokens", "component")
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         heads: list[tuple[int, set]] = []
@@ -48,8 +56,8 @@ def leaders(rows: DataFrame, least: float = 0.75) -> DataFrame:
         return pd.DataFrame(out, columns=["id", "leader"])
 
     led = grouped.groupBy("component").applyInPandas(follow, "id long, leader long")
-    alone = rows.select("id").join(comp.select(F.col("node").alias("id")), "id", "left_anti")
-    return led.unionByName(alone.select("id", F.col("id").alias("leader")))
+    led = led.select(F.col("id").alias("first"), "leader")
+    return rows_of.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
 
 
 def guarded_merge(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -119,7 +127,8 @@ def abbreviations(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, abbreviation, expansion): "long form (ABBR)" aligned letter by letter from the right, first definition of a document first."""
     import re
 
-    found = re.compile(r"((?:[\w'-]+[ \t]+){1,12})\(([A-Za-z][\w-]{1,9})\)")
+    found = re.compile(r"(?<=[ \t])\(([A-Za-z][\w-]{1,9})\)")
+    before = re.compile(r"(?:[\w'-]+[ \t]+){1,12}$")
 
     def align(long: str, short: str) -> str | None:
         i = len(long) - 1
@@ -140,10 +149,12 @@ def abbreviations(docs: DataFrame, key: str, text: str) -> DataFrame:
             for k, t in zip(pdf[key], pdf[text], strict=True):
                 seen = set()
                 for m in found.finditer(t or ""):
-                    long = align(m[1].rstrip(), m[2])
-                    if long and m[2] not in seen and len(long) > len(m[2]):
-                        seen.add(m[2])
-                        out.append((k, m[2], long))
+                    line = t.rfind("\n", 0, m.start()) + 1
+                    words = before.search(" ".join(t[line : m.start()].split(" ")[-13:]))
+                    long = align(words[0].rstrip(), m[1]) if words else None
+                    if long and m[1] not in seen and len(long) > len(m[1]):
+                        seen.add(m[1])
+                        out.append((k, m[1], long))
             yield pd.DataFrame(out, columns=[key, "abbreviation", "expansion"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -57,7 +57,7 @@ def jon4(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").join(by_id, "doc_id", "left").join(by_title, "source", "left").select("doc_id", F.coalesce("x", "y", F.lit("none")).alias("answer"))
 
 
-@query("jon5_verbatim_evidence", I.sql("quotes") + "SELECT q.doc_id AS quote_id, d.doc_id FROM quotes q JOIN documents d ON contains(d.text, q.quote) WHERE length(q.quote) >= 15")
+@query("jon5_verbatim_evidence", I.sql("quotes") + "SELECT q.doc_id AS quote_id, d.doc_id FROM quotes q JOIN documents d ON contains(d.text, q.quote) WHERE length(q.quote) >= 47")
 def jon5(spark, d):
     q = I.quotes(spark, d).select(F.col("doc_id").alias("quote_id"), "quote")
     return matching.contained(q, table(spark, d, "documents").select("doc_id", "text"))

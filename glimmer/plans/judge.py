@@ -13,7 +13,7 @@ from glimmer.operators.components import connected_components
 from glimmer.plans import inputs as I
 from glimmer.plans.scalar import FAMILIES
 from glimmer.registry import query
-from glimmer.session import table
+from glimmer.session import table, written
 
 _HOST = I.SQL["host"]
 _W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -370,7 +370,7 @@ def jb1(spark, d):
 
 @query("jb2_expansions")
 def jb2(spark, d):
-    a = jb1(spark, d)
+    a = written(jb1(spark, d), "abbreviations")
     first = a.groupBy("abbreviation").agg(F.min_by("expansion", F.struct("doc_id", "expansion")).alias("anywhere"))
     own = a.select("doc_id", "abbreviation", "expansion")
     terms = own.select("doc_id", "abbreviation").distinct()
