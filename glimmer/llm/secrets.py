@@ -1,8 +1,8 @@
 """Secret scans: a random forest that removes false positives.
 
 Main path in DataFrame functions and Spark ML, all inside the JVM. Candidates are long runs of
-key characters with a digit, values given to a name such as password, and private
-key blocks. A text is split at its candidates, so each comes with the text before
+key characters with a digit, values of 8 characters or more given to a name such as password (quoted or
+bare, the name alone or part of a longer one), passwords in URLs, and private key blocks. A text is split at its candidates, so each comes with the text before
 and after it, and redaction is the pieces joined again; no position is searched for.
 The forest sees length, character transitions, the share of the candidate that
 dictionary words cover, the path (the source), and neighbouring words. It is trained from the
@@ -31,10 +31,15 @@ from glimmer.session import table, written
 # Names that credentials go by, and the shapes of candidates.
 _NAMES = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
 _RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-_GIVEN = rf"(?i)(?<=\b{_NAMES}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"'])[^\"'\s]{{8,}}+(?=[\"'])(?-i)"
+# A name can be part of a longer one (DB_PASSWORD, token_value), the value quoted or, as in .env and YAML, bare up to white space.
+_SET = r"[\"']?\s{0,2}(?::=|=>|[:=])\s{0,2}"
+_BEFORE = rf"(?<=[:=>]\s{{0,2}}[\"']?)(?<={_NAMES}\w{{0,64}}{_SET}"
+_GIVEN = rf"(?i:{_BEFORE}[\"'])[^\"'\s]{{8,}}+(?=[\"'])|{_BEFORE})[^\"'\s:=>][^\"'\s]{{6,}}[^\"'\s,;.)&])"
+_USERINFO = r"(?<=:)(?<=://[^\s:/@\"']{0,64}:)[^\s/\"']{3,}(?=@)"
 _BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]++-----END [A-Z ]{0,30}PRIVATE KEY-----"
-CANDIDATE = f"{_BLOCK}|{_RUN}|{_GIVEN}"
-_MAY_BE_GIVEN = rf"(?i){_NAMES}[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']"
+CANDIDATE = f"{_BLOCK}|{_GIVEN}|{_USERINFO}|{_RUN}"
+_MAY_BE_GIVEN = rf"(?i){_NAMES}\w{{0,64}}{_SET}[\"']?[^\"'\s]{{8}}"
+_MAY_BE_USERINFO = r"://[^\s:/@\"']{0,64}:[^\s/\"']{3,}@"
 # Words that names, paths and placeholders are made of.
 DICTIONARY = (
     "access account action address admin agent alpha answer array asset author backup base before beta block body bucket build button cache change chapter check class client cloud code color "
@@ -50,13 +55,13 @@ _CONTEXT = 64
 MASK = "[SECRET]"
 FEATURES = [
     "length", "distinct", "digits", "upper", "lower", "symbols", "transitions", "vowel_steps", "longest_digits", "longest_letters", "hex_only", "digits_only", "uuid", "known_prefix",
-    "dictionary", "path_test", "path_code", "near_name", "given", "quoted", "near_hash", "near_url", "near_id", "letters_before",
+    "dictionary", "path_test", "path_code", "near_name", "given", "quoted", "near_hash", "near_url", "near_id", "letters_before", "userinfo", "code",
 ]
 THRESHOLD = 0.5
 
 
 def may_have_candidates(text: Column) -> Column:
-    return F.coalesce(text.rlike(_RUN) | text.rlike(_MAY_BE_GIVEN) | text.contains("PRIVATE KEY-----"), F.lit(False))
+    return F.coalesce(text.rlike(_RUN) | text.rlike(_MAY_BE_GIVEN) | text.rlike(_MAY_BE_USERINFO) | text.contains("PRIVATE KEY-----"), F.lit(False))
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -102,6 +107,8 @@ def featured(found: DataFrame) -> DataFrame:
             "near_url": _flag(before.rlike(r"[/@?&#.\\]$|https?:\S*$") | after.rlike(r"^[/.@]")),
             "near_id": _flag(near.rlike(r"\b\w{0,20}(?:id|uuid|guid|number|no|card|account|phone|isbn|serial|order|version|date|build)\b\W{0,12}$")),
             "letters_before": _share(near, "[a-z]"),
+            "userinfo": _flag(before.rlike(r"://[^\s/@]*:$") & after.rlike("^@")),
+            "code": _flag(v.rlike(r"[(){}<>\[\]$]")),
         }
     )
 
@@ -120,6 +127,12 @@ def labelled_findings(spark: SparkSession, per_template: int = 120) -> DataFrame
     word = F.col
     prose = F.array(*[F.lit(x) for x in ("the note of ", "see also the part on ", "et pour la suite ", "und der text ", "en la casa ", "", "config:\n", "line | ")])
     lead = F.element_at(prose, (F.pmod(F.xxhash64(F.concat(F.lit("p"), i)), F.lit(8)) + 1).cast("int"))
+    rest = F.array(*[F.lit(w) for w in "purple monkey dragon sunset winter guitar coffee tiger river silver orange jungle castle rocket falcon hammer pepper violet marble anchor".split()])
+    free = lambda k: F.element_at(rest, (F.pmod(F.xxhash64(F.concat(i, F.lit(k))), F.lit(20)) + 1).cast("int"))
+    prose_words = F.array(*[F.lit(w) for w in "everyone yesterday sometimes different important otherwise anything whatever together children possible probably remember question building thousand mountain evidence although somebody".split()])
+    said = F.element_at(prose_words, (F.pmod(F.xxhash64(F.concat(i, F.lit("w"))), F.lit(20)) + 1).cast("int"))
+    short = F.concat(F.substring(alnum, 1, 5), F.element_at(F.array(*[F.lit(x) for x in "!@$#%"]), (F.pmod(F.xxhash64(i), F.lit(5)) + 1).cast("int")), F.substring(alnum, 9, 4))
+    phrase, numbered = F.concat(free("x"), free("y"), free("z")), F.concat(free("x"), F.substring(digits, 1, 1), F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, word("a")).otherwise(free("y")))
     year = F.concat(F.lit("20"), F.substring(digits, 3, 2))
     # Fixed values: (label, before, value, after) of what such findings look like.
     rows = [
@@ -128,7 +141,11 @@ def labelled_findings(spark: SparkSession, per_template: int = 120) -> DataFrame
         (1, 'password = "', F.concat(F.substring(alnum, 1, 6), F.lit("!"), F.substring(alnum, 9, 5)), '"'), (1, "Authorization: Bearer ", F.substring(alnum, 1, 48), "\n"), (1, "auth_token=", hex64, "&"),
         (1, "slack ", F.concat(F.lit("xoxb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(alnum, 1, 24)), " "), (1, "key ", F.concat(F.lit("sk_live_"), F.substring(alnum, 1, 24)), "."),
         (1, "", F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n-----END PRIVATE KEY-----")), "\n"), (1, 'token = "', hex40, '"###'), (1, "token='", F.concat(F.substring(alnum, 1, 20), F.lit("-"), F.substring(alnum, 21, 10)), "'"),
-        (0, "commit ", hex40, "\n"), (0, "sha256:", hex64, " "), (0, "md5 ", hex32, " "), (0, "request id ", uuid, " "), (0, "", uuid, ","), (0, "number ", F.substring(digits, 1, 16), " "), (0, " ", F.substring(digits, 1, 16), " and"),
+        (1, 'DB_PASSWORD="', short, '"'), (1, "SECRET_VALUE='", F.substring(alnum, 3, 9), "'"), (1, 'my_token = "', phrase, '"'), (1, "PASSWORD=", numbered, "\n"), (1, "  password: ", short, "\n"), (1, "APP_SECRET=", F.substring(alnum, 1, 12), "\n"),
+        (1, "DB_PASSWD: ", numbered, "\n"), (1, "postgres://app:", short, "@db.internal:5432/x"), (1, "mysql://root:", numbered, "@10.0.0.2/x"), (1, "https://user:", F.substring(alnum, 2, 20), "@host.net/"), (1, "amqp://svc:", phrase, "@mq"),
+        (0, "self.token = ", F.concat(F.lit("get_"), word("a"), F.lit("(request")), ")\n"), (0, "token = ", F.concat(word("a"), F.lit("."), word("b"), F.lit("."), word("c")), "\n"), (0, "PASSWORD=", F.concat(F.lit("${"), F.upper(word("a")), F.lit("_"), F.upper(word("b")), F.lit("}")), "\n"),
+        (0, "the secret: ", said, " of it"), (0, "no token: ", said, " and then"), (0, "the password: ", said, ", but"), (0, "token: ", F.concat(F.lit("<your-"), word("a"), F.lit(">")), "\n"), (0, "the secret: ", F.concat(word("a"), word("b")), " of it"), (0, "Author: ", F.concat(F.initcap(word("a")), F.lit("-"), F.initcap(word("b"))), " and"), (0, 'password = "', F.concat(F.lit("enter_"), word("a"), word("b")), '"'),
+        (0, "https://user:", F.lit("password"), "@host/"), (0, "commit ", hex40, "\n"), (0, "sha256:", hex64, " "), (0, "md5 ", hex32, " "), (0, "request id ", uuid, " "), (0, "", uuid, ","), (0, "number ", F.substring(digits, 1, 16), " "), (0, " ", F.substring(digits, 1, 16), " and"),
         (0, "card ", F.substring(digits, 1, 16), ", "), (0, "", F.substring(digits, 1, 18), "\n"), (0, 'token = "', F.concat(F.lit("your_"), word("a"), F.lit("_token_"), F.substring(digits, 1, 2)), '"'),
         (0, 'password = "', F.concat(F.lit("example_"), word("a"), F.lit("_1234")), '"'), (0, "secret = '", F.concat(word("a"), F.lit("-"), word("b"), F.lit("-placeholder-1")), "'"), (0, 'token = "', F.lit("xxxxxxxxxxxxxxxx0000"), '"'),
         (0, "see /", F.concat(word("a"), F.lit("/"), word("b"), F.lit("/"), year, F.lit("/"), word("c")), "."), (0, "https://example.com/", F.concat(word("a"), F.lit("-"), word("b"), F.lit("-"), word("c"), F.lit("-"), F.substring(digits, 1, 3)), " "),

@@ -63,3 +63,15 @@ def test_query_against_brute_force(spark):
     assert {r.doc_id for r in got if r.is_secret} == planted
     plan = frame._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_given_values(spark, forest):
+    secret = [
+        ('DB_PASSWORD="', "S3cr3t!pa", '"'), ('my_token = "', "correcthorsebattery", '"'), ("PASSWORD=", "hunter2secret", "\nPORT=5432"), ("db:\n  password: ", "Wq7!kz@92x", "\n  host: localhost"),
+        ("postgres://app:", "Wq7!kz92x", "@db.internal:5432/main"), ("API_KEY=", "k3Jd8sLq0Pz2Xv7Bn5Mt!x", ""), ("token_value => '", "zK4#tttqwe", "'"),
+    ]
+    clean = ["token = get_value(request)", "password=${DB_PASSWORD}", "see http://example.com:8080/a@b and the secret: something else", "12:30@home"]
+    rows = [(i, f"{a}{v}{b}", "x") for i, (a, v, b) in enumerate(secret)] + [(100 + i, t, "x") for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in S.redact(docs, forest).collect()}
+    assert got == {i: f"{a}[SECRET]{b}" for i, (a, _, b) in enumerate(secret)} | {100 + i: t for i, t in enumerate(clean)}
