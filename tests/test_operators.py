@@ -154,3 +154,24 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_er5_against_one_pass(spark):
+    from glimmer.functions import text
+    from glimmer.plans import judge
+
+    sf = "/root/testdata/sf0.1"
+    items = {r.item_id: set(r.tokens) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", text.tokens(F.col("text")).alias("tokens")).collect()}
+    pairs = []
+    for a, x in items.items():
+        for b, y in items.items():
+            i = len(x & y)
+            score = round(i / min(len(x), len(y)) if i >= 2 else i / len(x | y), 6) if i else 0
+            if a < b and score >= 0.1:
+                pairs.append((-score, a, b))
+    want, used = [], set()
+    for s, a, b in sorted(pairs):
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            want.append((a, b, pytest.approx(-s, abs=2e-6)))
+    assert sorted((r.a, r.b, r.score) for r in judge.er5(spark, sf).collect()) == sorted(want, key=lambda r: r[:2])
