@@ -245,7 +245,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without near copies of others: of each component the row with the least
-    doc_id stays (rows with equal or no doc_id: those that are all there is)."""
-    found = components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    doc_id stays (rows with equal or no doc_id: those that are all there is). A row goes by its own
+    text and a row key, so another text of the same doc_id stays."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = components(rows.select("text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("_id")), "_id")
+    gone = found.where("doc_id.doc_id <> component_id.doc_id").select("doc_id._row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)

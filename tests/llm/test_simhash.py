@@ -94,3 +94,10 @@ def test_query_against_brute_force(spark):
     want = brute_components(list(fps), list(fps.values()))
     got = S.op3_simhash(spark, sf).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{fps[d]:016x}", want[d]) for d in fps}
+
+
+def test_keep_one_by_row(spark):
+    a, b = (" ".join(f"{w}{i * i % 97}" for i in range(60)) for w in ("alpha", "other"))
+    rows = [(1, a), (2, a), (2, b), (3, b)]
+    got = S.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (2, b)]
