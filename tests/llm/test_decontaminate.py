@@ -42,6 +42,7 @@ DOCS = [
     (7, "w " * 20_000 + "short one here"),
     (8, " ".join(f"wort{i}" for i in range(5, 17))),
     (9, "ZWEİ zweı Zwei"),
+    (11, "zwei " * 40 + LONG + " " + LONG),
 ]
 
 
