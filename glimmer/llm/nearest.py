@@ -2,17 +2,23 @@
 
 Each half of a vector is quantised on its own with `k` centroids, so a cell is a pair of
 centroids. A query visits cells by the sum of both halves' distances, with a heap over
-the pairs, until they hold `share` of all entries (`least` at least), and the entries are
+the pairs, until they hold a share of all entries (`least` at least), and the entries are
 reranked by their exact inner product. The centroids are fitted on SAMPLE vectors, chosen by a hash;
-all vectors are indexed.
+all vectors are indexed. Distances rank as inner products do: entries are scaled to norms
+of at most 1 and have one more component that fills them up to 1, queries have it 0.
 
-The work is dealt out by the first half's centroid, blocks of entries and blocks of
-queries, each of bounded size: a query goes to a group once, with the cells to visit there as a
-bit mask. Of equal vectors only the `n` + 1 least ids can be among the nearest, so no more are indexed,
-which loses nothing and bounds a group of copies.
+The share is measured, not set: for PROBES vectors of the sample their true neighbours in the sample are
+found, and the share is the least that has RECALL of them in visited cells. Vectors in
+clusters need a few percent; directions spread evenly over the sphere need a third or more.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null, NaN or
-infinite components take no part, nor do rows without id; of rows with one id the least vector counts; ties go to
+The work is dealt out by runs of cells of `ENTRY_BLOCK` entries about (a larger cell is cut) and by blocks of
+queries: a query goes once to each run with a cell that it visits, and an entry is copied only for
+each `QUERY_BLOCK` queries that visit its run. Of equal vectors only the `n` + 1 least ids can
+be among the nearest, so no more are indexed, which loses nothing and bounds a group of copies.
+
+Defined results: vectors that are null, zero, of another length than most (ties: the smaller length), or hold null, NaN or
+infinite components take no part, nor do rows without id; repeated rows count once, but different vectors of one
+id are rows each and can both be among the nearest, and of those of a query's id the least asks; ties go to
 the smaller id; with fewer candidates than `n` all are returned; an empty table gives an
 empty result. Other columns of the input are left alone and can have any name.
 """
@@ -30,13 +36,17 @@ from pyspark.sql import functions as F
 from glimmer.session import table, written
 
 K = 64
+#: Vectors that the centroids and the recall curve are fitted on, by number and by bytes.
 SAMPLE = 16_384
+SAMPLE_BYTES = 64 << 20
 ROUNDS = 12
-SHARE = 0.5
+#: Share of the true neighbours of PROBES vectors of the sample that are to be in visited cells.
+RECALL = 0.93
+PROBES = 512
 LEAST = 2_000
 ENTRY_BLOCK = 8_192
 QUERY_BLOCK = 8_192
-_TIE = 1e-9
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def _distances(v: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -86,19 +96,25 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def rerank(left: pd.DataFrame, right: pd.DataFrame, n: int) -> pd.DataFrame:
-    """The nearest `n` of the entries (vec_id, v, second) in visited cells for each query (query_id, v, mask)."""
-    ids, second = left.vec_id.to_numpy(), left.second.to_numpy().astype(np.uint64)
+    """The nearest `n` of the entries (vec_id, v, first, second) in visited cells for each query (query_id, v, masks)."""
+    ids, first, second = left.vec_id.to_numpy(), left["first"].to_numpy(), left.second.to_numpy().astype(np.uint64)
     x = np.stack(left.v.to_numpy()).astype(np.float64)
-    q_ids, masks = right.query_id.to_numpy(), right["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    q_ids = right.query_id.to_numpy()
     q = np.stack(right.v.to_numpy()).astype(np.float64)
+    masks = np.stack(right.masks.to_numpy()).astype(np.int64).view(np.uint64)
+    # What rounding can change in a product of that length, as added up in another order.
+    slack = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
     out: list[tuple[np.ndarray, ...]] = []
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ x.T
-        open_ = (masks[i : i + 256, None] >> second[None] & np.uint64(1)).astype(bool) & (q_ids[i : i + 256, None] != ids[None])
+        open_ = (masks[i : i + 256][:, first] >> second[None] & np.uint64(1)).astype(bool)
+        a, b = np.nonzero(q_ids[i : i + 256, None] == ids[None])
+        own = (q[i + a] == x[b]).all(axis=1)
+        open_[a[own], b[own]] = False
         s[~open_] = -np.inf
         if s.shape[1] > n:
-            s[s < np.partition(s, -n, axis=1)[:, -n][:, None] - _TIE] = -np.inf
-        a, b = np.nonzero(np.isfinite(s))
+            open_ &= s >= (np.partition(s, -n, axis=1)[:, -n] - slack[i : i + 256])[:, None]
+        a, b = np.nonzero(open_)
         score = exact(q[i + a], x[b])
         order = np.lexsort((ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
@@ -109,7 +125,24 @@ def rerank(left: pd.DataFrame, right: pd.DataFrame, n: int) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
 
-def nearest(rows: DataFrame, every: int, n: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def share_for(x: np.ndarray, d1: np.ndarray, d2: np.ndarray, first: np.ndarray, second: np.ndarray, n: int, recall: float = RECALL) -> float:
+    """The least share of the sample `x` that holds `recall` of the `n` nearest of its first rows, whose distances to the centroids are d1 and d2."""
+    sizes = np.zeros((d1.shape[1], d2.shape[1]), np.int64)
+    np.add.at(sizes, (first, second), 1)
+    cell, flat, need = first * sizes.shape[1] + second, sizes.ravel(), []
+    for i in range(len(d1)):
+        s = x @ x[i]
+        s[i] = -np.inf
+        near = np.argsort(-s, kind="stable")[: min(n, len(x) - 1)]
+        order = np.argsort((d1[i][:, None] + d2[i][None]).ravel(), kind="stable")
+        before = np.empty(len(flat), np.int64)
+        before[order] = np.cumsum(flat[order]) - flat[order]
+        need.append(before[cell[near]] + 1)
+    found = np.concatenate(need) if need else np.empty(0)
+    return float(np.quantile(found, recall, method="higher") / len(x)) if len(found) else 1.0
+
+
+def nearest(rows: DataFrame, every: int, n: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, share: float | None = None, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by `every` the `n` nearest others found."""
     spark = rows.sparkSession
     if k > 64:
@@ -117,21 +150,37 @@ def nearest(rows: DataFrame, every: int, n: int = 20, id_col: str = "vec_id", ve
     v = F.col(vec_col)
     good = ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
     rows = rows.where(F.col(id_col).isNotNull() & v.isNotNull()).where(good)
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = written(rows, "vectors")
-    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
+    rows = written(rows.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).distinct(), "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    most = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), "dim").first()
+    if most is None:
         return spark.createDataFrame([], schema)
-    lengths = np.bincount([len(s) for s in sample])
-    dim = int(lengths.argmax())
+    dim = most["dim"]
     rows, half = rows.where(F.size("v") == dim), dim // 2
-    fit = np.array([s for s in sample if len(s) == dim])
+    # The greatest norm, by way of logarithms: no square overflows.
+    largest = F.array_max(F.transform("v", lambda e: F.abs(e)))
+    square = F.aggregate("v", F.lit(0.0), lambda s, e: s + (e / F.col("m")) * (e / F.col("m")))
+    norm = rows.withColumn("m", largest).agg(F.max(F.log("m") + F.log(square) / 2)).first()[0]
+
+    def filled(x: np.ndarray) -> np.ndarray:
+        u = x * np.exp(min(-norm, 700.0))
+        return np.hstack([u, np.sqrt(np.maximum(0.0, 1.0 - (u**2).sum(1)))[:, None]])
+
+    def asked(x: np.ndarray) -> np.ndarray:
+        u = x / np.abs(x).max(axis=1, keepdims=True)
+        return np.hstack([u / np.linalg.norm(u, axis=1, keepdims=True), np.zeros((len(x), 1))])
+
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).collect()
+    sample = np.array([r.v for r in sample])
+    fit = filled(sample)
     c1, c2 = centroids(fit[:, :half], k), centroids(fit[:, half:], k)
+    if share is None:
+        probes = asked(sample[:PROBES])
+        share = share_for(sample, _distances(probes[:, :half], c1), _distances(probes[:, half:], c2), _distances(fit[:, :half], c1).argmin(1), _distances(fit[:, half:], c2).argmin(1), n)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.stack(pdf.v.to_numpy()) if len(pdf) else np.zeros((0, dim))
+            x = filled(np.stack(pdf.v.to_numpy()) if len(pdf) else np.zeros((0, dim)))
             yield pdf.assign(first=_distances(x[:, :half], c1).argmin(1), second=_distances(x[:, half:], c2).argmin(1))
 
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
@@ -141,31 +190,49 @@ def nearest(rows: DataFrame, every: int, n: int = 20, id_col: str = "vec_id", ve
     for r in entries.groupBy("first", "second").count().collect():  # k * k rows at most
         sizes[r["first"], r["second"]] = r["count"]
     want = max(least, int(np.ceil(share * sizes.sum())))
-    blocks = [max(1, -(-int(m) // ENTRY_BLOCK)) for m in sizes.sum(axis=1)]
-    queries = rows.where(F.col("vec_id") % every == 0)
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    # Runs of cells one after the other, each of ENTRY_BLOCK entries about; a larger cell is a run of several groups.
+    starts, parts, held = [], [], 0
+    for cell, m in enumerate(sizes.ravel().tolist()):
+        if not starts or held + m > ENTRY_BLOCK:
+            starts.append(cell)
+            parts.append(max(1, -(-m // ENTRY_BLOCK)))
+            held = 0
+        held += m
+    first_group = np.cumsum([0, *parts])
+    run_of = np.searchsorted(starts, np.arange(sizes.size), "right") - 1
+    cells = [(int(c // len(c2)), int(c % len(c2)), int(first_group[run_of[c]]), int(parts[run_of[c]])) for c in np.flatnonzero(sizes.ravel())]
+    cells = spark.createDataFrame(cells, "first int, second int, base int, parts int")  # k * k rows at most
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                x = np.stack(part.v.to_numpy())
-                d1, d2 = _distances(x[:, :half], c1), _distances(x[:, half:], c2)
-                masks = np.stack([visited(a, b, sizes, want) for a, b in zip(d1, d2, strict=True)])
-                i, j = np.nonzero(masks)
-                yield pd.DataFrame({"query_id": part.vec_id.to_numpy()[i], "v": part.v.to_numpy()[i], "first": j, "mask": masks[i, j].view(np.int64)})
-
-    n_blocks = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("first") + 1)
-    left = entries.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.mapInPandas(visit, "query_id long, v array<double>, first int, mask long")
-    right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks.cast("long") - 1)))
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                x = asked(np.stack(part.v.to_numpy()))
+                out: dict[str, list] = {"query_id": [], "v": [], "masks": [], "group": []}
+                for query, v, a, b in zip(part.vec_id, part.v, _distances(x[:, :half], c1), _distances(x[:, half:], c2), strict=True):
+                    masks = visited(a, b, sizes, want)
+                    seen = (masks[:, None] >> np.arange(len(c2), dtype=np.uint64)[None] & np.uint64(1)).astype(bool).ravel() & (sizes.ravel() > 0)
+                    for run in np.flatnonzero(np.logical_or.reduceat(seen, starts)):
+                        for g in range(first_group[run], first_group[run + 1]):
+                            for c, value in zip(out, (query, v, masks.view(np.int64), g), strict=True):
+                                out[c].append(value)
+                yield pd.DataFrame(out)
+
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    right = written(queries.mapInPandas(visit, "query_id long, v array<double>, masks array<long>, group int"), "visits")
+    blocks = written(right.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks")), "blocks")
+    if first_group[-1] <= MAX_BROADCAST_GROUPS:
+        blocks = F.broadcast(blocks)
+    left = entries.join(F.broadcast(cells), ["first", "second"]).withColumn("group", F.col("base") + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
+    left = left.join(blocks, "group").select("group", "vec_id", "v", "first", "second", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    right = right.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).drop("blocks")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return rerank(a, b, n)
 
-    keys = ["first", "block", "part"]
+    keys = ["group", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "vec_id", "score")

@@ -59,6 +59,36 @@ def test_blocks_do_not_change_results(spark, monkeypatch):
     assert by_query(N.nearest(df, 9, k=8, least=200).collect()) == whole
 
 
+def test_repeated_ids_are_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.5, 0.1]), (1, [0.5, 0.1]), (2, [0.7, 0.0])]
+    got = by_query(N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).collect())
+    assert got == {0: [(1, 0.9), (2, 0.7), (1, 0.5)]}
+
+
+def test_recall_with_unequal_norms(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16)) * rng.lognormal(0, 0.7, 3000)[:, None] * 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(np.arange(3000), x, 20, 20)
+    got = by_query(N.nearest(df, 20, least=0).collect())
+    hits = sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want)
+    print("recall with unequal norms", hits / 20 / len(want))
+    assert hits >= 0.9 * 20 * len(want)
+
+
+def test_share_follows_the_data():
+    """Clusters need a small part of the entries, directions without structure a large one."""
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(100, 32))
+    shares = []
+    for x in (middle[rng.integers(0, 100, 4000)] + 0.1 * rng.normal(size=(4000, 32)), rng.normal(size=(4000, 32))):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        c1, c2 = N.centroids(x[:, :16]), N.centroids(x[:, 16:])
+        d1, d2 = N._distances(x[:, :16], c1), N._distances(x[:, 16:], c2)
+        shares.append(N.share_for(x, d1[:100], d2[:100], d1.argmin(1), d2.argmin(1), 20))
+    assert shares[0] < 0.1 < 0.25 < shares[1]
+
+
 def test_recall(spark):
     sf = "/root/testdata/sf0.1"
     pdf = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").toPandas()
