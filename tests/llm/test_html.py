@@ -51,6 +51,83 @@ def test_differencing(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p data-x=it's>kept</p><p title='a > b'>too</p>", "kept too"), ('<p class=x"y>a</p><p>b</p>', "a b"), ("<p>x</p><a href=/y/>link</a>", "x link"),
+        ("<p class='related-work'>a</p><p id=share-price>b</p><div class='responses-to-stress'>c</div><div class='related'>no</div><div class='post ad-2'>no</div>", "a b c"),
+        ("<p>a <span class=ad>no</span> b</p>", "a b"), ("<p>İstanbul</p><SCRIPT>no</p></Script ><p>b", "İstanbul b"), ("<!--><p>a</p><!-- no --!><p>b</p></3>c", "a b c"), ('<p title="open>a</p><p>b', "a b"),
+    ],
+)
+def test_broken_markup(page, want):
+    assert " ".join(t for _, t in H.blocks(page)) == want
+
+
+def test_linear_in_open_elements():
+    import time
+
+    for page in ("<b>" * 20_000 + "x" + "</i>" * 20_000, "<b>" * 10_000 + "<div>" + "<i>" * 10_000 + "x" + "</b>" * 10_000, "<b>" * 20_000 + "<p>x</p>" * 20_000):
+        began = time.perf_counter()
+        assert H.blocks(page)
+        assert time.perf_counter() - began < 2
+
+
+def test_alignment_in_halves(monkeypatch):
+    rng = random.Random(5)
+    cases = [([rng.choice("abcdef") for _ in range(rng.randint(0, 40))], [rng.choice("abcdef") for _ in range(rng.randint(0, 40))]) for _ in range(100)]
+    whole = [len(H.common(a, b)) for a, b in cases]
+    monkeypatch.setattr(H, "ALIGN_BITS", 20)
+    assert [len(H.common(a, b)) for a, b in cases] == whole
+
+
+def brute_text(pages):
+    """The definition over all pages of a host at once."""
+    found = {i: [(z, t) for z, t in H.blocks(h)] for i, (_, h) in enumerate(pages)}
+    place = {}
+    for i, (url, _) in enumerate(pages):
+        bare = re.sub(r"[?#].*$", "", re.sub(r"^https?://", "", url))
+        host, _, path = bare.partition("/")
+        place[i] = (host.lower(), "/" + path if "/" in bare else "")
+    out = []
+    for i in range(len(pages)):
+        own = [t for _, t in found[i]]
+        hosts = sorted(j for j in found if place[j][0] == place[i][0] and found[j])
+        order = sorted(hosts, key=lambda j: (place[j][1].encode(), j))
+        near = [] if i not in order else [order[k] for k in (order.index(i) - 1, order.index(i) + 1) if 0 <= k < len(order)]
+        lcp = lambda j, i=i: next((k for k, (x, y) in enumerate(zip(place[i][1], place[j][1], strict=False)) if x != y), min(len(place[i][1]), len(place[j][1])))
+        article, gone = [z == H.ARTICLE for z, _ in found[i]], None
+        for j in sorted(near, key=lambda j: -lcp(j)):
+            shared = set(H.common(own, [t for _, t in found[j]]))
+            if sum(len(t) for k, t in enumerate(own) if k not in shared) >= 0.05 * sum(map(len, own)):
+                gone = shared
+                break
+        if gone is None:
+            gone = set(range(len(own))) if any(article) else set()
+        out.append(" ".join(t for k, t in enumerate(own) if article[k] or k not in gone))
+    return out
+
+
+def test_nearest_page_decides(spark):
+    """Pages without article markup, in directories of more pages than any block or range, against the definition."""
+    rng = random.Random(11)
+    menus = {d: "".join(f"<div>{d} entry {k}</div>" for k in range(20)) for d in ("news", "docs", "a/b")}
+    pages, last = [], "<p>first sentence</p>"
+    for i in range(900):
+        d = rng.choice(list(menus))
+        body = "".join(f"<p>{rng.choice('abcdefgh')} sentence {rng.randint(0, 10**6)} of page {i}</p>" for _ in range(3))
+        last = body = rng.choice([body, body, f"<div>standfirst {i}</div><article>{body}</article>", last])
+        pages.append((f"https://{rng.choice(['h.org', 'h.org', 'g.net'])}/{d}/{rng.randint(0, 5000)}{rng.choice(['', '?x=1', '#top'])}", menus[d] + body + "<div>All rights are ours</div>"))
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.page_id: r.text for r in H.extract(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute_text(pages)
+    assert [got[i] for i in range(len(pages))] == want
+    assert sum("entry 3" not in t for t in want) > 0.9 * len(want) and all("sentence" in t for t in want)
+
+
 def test_query_against_plain_rules(spark):
     """The article of the test pages by a rule for their one template."""
     sf = "/root/testdata/sf0.01"
