@@ -4,7 +4,8 @@ A text is normalised: copyright lines go, case and punctuation go, equivalent sp
 one. The digest of the whole canonical text is then looked up, by a hash join, among
 the digests of known licences and notices. The units looked up are whole documents
 and each of their lines, since most documents carry their licence as a line of its own. The digests are
-a fixed table, broadcast: it has a row for each known text.
+a table with a row for each known text, broadcast behind a count of its rows. Each known text has a word such as
+license or permission, so texts without any are passed over before they are normalised: nothing is lost by it.
 
 Defined results: a null or empty text, and a line without words, is no licence; repeated
 rows are each reported; one document can have several licences, one of a kind each with
@@ -54,6 +55,9 @@ KNOWN = [
 ]
 # Spellings that count as the same, after lower case and punctuation.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense", "merchantibility": "merchantability", "noncommercial": "non commercial", "noninfringement": "non infringement", "v 2 0": "version 2 0", "organisation": "organization", "organisations": "organizations", "favour": "favor", "https": "http"}
+#: Each known text has one of these (tested), in all spellings that canonical() makes one.
+MARKS = r"(?i)licen[sc]|permission|permitted|waived|warrant"
+MAX_BROADCAST = 1_000_000
 _COPYRIGHT = r"(?im)^[^\S\n]*(?:copyright\b|\(c\)|©)[^\n]*(?:\d{4}|\(c\)|©|all rights reserved)[^\n]*$"
 _PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
@@ -67,6 +71,11 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(out, r"(?m)^ +| +$", "")
 
 
+def may_be_known(text: Column, marks: str = MARKS) -> Column:
+    """The text has a word that each known text has. Case and spelling do not matter, so no text with a known licence is passed over."""
+    return text.rlike(marks)
+
+
 def _one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -77,15 +86,20 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     return spark.range(1).select(rows).select("k.license_id", F.sha2(_one_line(canonical(F.col("k.text"))), 256).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license_id, unit, n_units): unit is text for a whole document, line for lines of it."""
+def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", marks: str = MARKS) -> DataFrame:
+    """(doc_id, license_id, unit, n_units): unit is text for a whole document, line for lines of it. With a table `known` of the
+    caller's, `marks` is a pattern that each of its texts has ("" looks at all texts)."""
     known = known_digests(docs.sparkSession) if known is None else known
-    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), canonical(F.col(text_col)).alias("_c"))
+    if known.count() <= MAX_BROADCAST:
+        known = F.broadcast(known)
+    # Texts without a mark go before anything is normalised; of the others, lines without a mark go after it.
+    rows = docs.where(F.length(text_col) > 0).where(may_be_known(F.col(text_col), marks)).select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), canonical(F.col(text_col)).alias("_c"))
     unit = lambda kind, t: F.struct(F.lit(kind).alias("unit"), F.sha2(t, 256).alias("digest"))
-    lines = F.transform(F.filter(F.split("_c", "\n"), lambda x: x != ""), lambda x: unit("line", x))
+    lines = F.transform(F.filter(F.split("_c", "\n"), lambda x: (x != "") & may_be_known(x, marks)), lambda x: unit("line", x))
     # A text of one line is looked up as a whole only.
     units = F.when(F.col("_c").contains("\n"), F.concat(F.array(unit("text", _one_line(F.col("_c")))), lines)).otherwise(F.array(unit("text", _one_line(F.col("_c")))))
-    found = rows.select("doc_id", "_row", F.explode(units).alias("u")).select("doc_id", "_row", "u.unit", "u.digest").join(F.broadcast(known), "digest")
+    # The outer form infers no filter on the array's size, for which all would be normalised once more.
+    found = rows.select("doc_id", "_row", F.explode_outer(units).alias("u")).select("doc_id", "_row", "u.unit", "u.digest").join(known, "digest")
     return found.groupBy("doc_id", "_row", "license_id", "unit").agg(F.count(F.lit(1)).alias("n_units")).select("doc_id", "license_id", "unit", "n_units")
 
 

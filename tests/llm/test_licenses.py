@@ -19,3 +19,15 @@ def test_both_canonical_forms_agree(spark):
 
     want = {(i, hashlib.sha256(L.canonical_text(t).encode()).hexdigest()) for i, t in L.KNOWN}
     assert {tuple(r) for r in L.known_digests(spark).collect()} == want
+
+
+def test_marks_pass_over_no_known_text(spark):
+    import re
+
+    for _, text in L.KNOWN:
+        for form in (text, text.upper(), text.replace("icense", "icence")):
+            assert re.search(L.MARKS, form)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(L.KNOWN)], "doc_id long, text string")
+    assert {r.doc_id for r in L.scan(docs).collect()} == set(range(len(L.KNOWN)))
+    own = spark.createDataFrame([("own", __import__("hashlib").sha256(b"do as you like").hexdigest())], "license_id string, digest string")
+    assert [r.license_id for r in L.scan(spark.createDataFrame([(1, "Do as you like!", 2)], "doc_id long, text string, u int"), own, marks="").collect()] == ["own"]
