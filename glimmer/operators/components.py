@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         # Large star: every neighbour above u is hung on the least of u's neighbourhood.
         both = cur.where("u <> v").select("u", "v").union(cur.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join is of plain tables, and a node of very many edges is split where it is too large for a task.
+        least, least_path = _saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours are hung on the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -53,6 +54,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         nxt, nxt_path = _saved(small, "cc")
         sign = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
+        drop_path(spark, least_path)
         cur, path = nxt, nxt_path
         if sign == seen:
             break

@@ -31,9 +31,10 @@ def evidence_score(rows: DataFrame, rule_setter: str, organisations: str, fresh:
 
 
 def candidate_score(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Adds status, tier and score to rows of term, n_evidence, d1, stage, total, recent, age_months, fresh, players, base, area.
+    """Adds status, tier, score and aged to rows of term, n_evidence, d1, stage, total, recent, age_months, fresh, players, named, base, area.
 
-    The first rule that applies decides. Null total or recent is not measured; null area is an area that was not measured.
+    The first rule that applies decides, and no score is below 0. Null total or recent is not measured; null area is an area that was not
+    measured. A signal needs a named organisation (`named`).
     """
     early, scaled = F.col("stage").isin(*EARLY), F.col("stage") == "scaled"
     bonus, malus = F.when(early, 1.5).otherwise(0.0), F.when(scaled, 2.5).otherwise(0.0)
@@ -48,36 +49,41 @@ def candidate_score(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     quiet = F.when(total <= limits.quiet, 2.5).when(total <= limits.some, 1.5).otherwise(0.0)
     stage = bonus + F.when(F.col("stage") == "limited_sales", 1.0).otherwise(0.0) - malus
     measured = F.greatest(F.lit(0.0), growth + quiet + d1 + stage)
-    signal = (measured >= 5) & (F.col("players") > 0) & ~aged
+    signal = (measured >= 5) & F.col("named") & ~aged
     no_term, no_evidence = F.col("term").isNull(), F.col("n_evidence") == 0
     rules: list[tuple[Column, str, str, Column]] = [
         (no_term & no_evidence, "rejected", "rejected", F.lit(0.0)),
         (no_term, "no_term", "review", F.greatest(F.lit(0.0), d1 + bonus - malus)),
         (no_evidence, "rejected", "rejected", F.lit(0.0)),
-        (total.isNull() | recent.isNull(), "unmeasured", "review", d1 + bonus),
+        (total.isNull() | recent.isNull(), "unmeasured", "review", F.greatest(F.lit(0.0), d1 + bonus)),
         (stale, "aged", "review", F.lit(0.0)),
         ((total > loud) & scaled, "scaled", "review", F.lit(0.0)),
         (total > loud, "too_loud", "too_loud", F.when(F.col("players") >= 2, 1.0).otherwise(0.5)),
         (scaled & (total > F.floor(loud / 4)), "scaled", "review", F.lit(0.0)),
-        (total == 0, "unseen", "review", 1 + d1 + F.when(early, 1.0).otherwise(0.0) - malus),
+        (total == 0, "unseen", "review", F.greatest(F.lit(0.0), 1 + d1 + F.when(early, 1.0).otherwise(0.0) - malus)),
         (signal, "measured", "signal", measured),
     ]
     status, tier, score = F.lit("measured"), F.lit("review"), measured
     for when, s, t, v in reversed(rules):
         hit = F.coalesce(when, F.lit(False))
         status, tier, score = F.when(hit, s).otherwise(status), F.when(hit, t).otherwise(tier), F.when(hit, v).otherwise(score)
-    return rows.withColumns({"status": status, "tier": tier, "score": score})
+    return rows.withColumns({"status": status, "tier": tier, "score": score, "aged": aged})
 
 
 def adjusted(rows: DataFrame) -> DataFrame:
-    """Adds the score and tier of a card after its domains, doubts, implementers, rounds, events and stage."""
+    """Adds the score and tier of a card after its domains, doubts, implementers, rounds, events and stage.
+
+    Implementers can make a reviewed card a signal if its measurement raised no flag: it is neither aged nor loud. A rejected card stays
+    rejected. Rounds and events add to the score after that; a signal on one domain, and any card whose early stage is not confirmed, goes to review.
+    """
     score = F.col("score") + F.when(F.col("domains") >= 2, 1.5).otherwise(0.0)
     score = F.when(F.col("doubtful"), F.greatest(F.lit(0.0), score - 3)).otherwise(score)
     loud = F.col("implementers") >= 8
     score = score + F.when(loud, 0.0).when(F.col("implementers") >= 3, 2.5).when(F.col("implementers") == 2, 1.5).otherwise(0.0)
+    promoted = (F.col("tier") == "review") & (score >= 5) & (F.col("status") == "measured") & ~F.col("aged") & ~loud
     score = score + F.when(F.col("rounds") > 0, 1.0).otherwise(0.0) + F.when(F.col("events") >= 2, 0.5).otherwise(0.0)
-    promoted = (score >= 5) & (F.col("status") == "measured") & ~loud
-    tier = F.when(loud, "too_loud").when(F.col("domains") < 2, "review").when(F.col("assessed") != "early", "review").when(promoted, "signal").otherwise(F.col("tier"))
+    signal = promoted | (F.col("tier") == "signal")
+    tier = F.when(F.col("tier") == "rejected", "rejected").when(loud, "too_loud").when(F.col("assessed") != "early", "review").when(signal & (F.col("domains") < 2), "review").when(promoted, "signal").otherwise(F.col("tier"))
     return rows.withColumns({"card_score": score, "card_tier": tier})
 
 

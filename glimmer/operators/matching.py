@@ -51,34 +51,59 @@ def cosine_pairs(rows: DataFrame, key: str, vector: str, least: float, block: in
     return dealt.groupBy("x", "y").applyInPandas(product, "a long, b long, cosine double")
 
 
-def contained(quotes: DataFrame, texts: DataFrame, shingle: int = 24) -> DataFrame:
-    """(quote_id, doc_id) for quotes (quote_id, quote) and texts (doc_id, text): the quote occurs in the text.
+def contained(quotes: DataFrame, texts: DataFrame, least: int = 20, long_run: int = 24, short_run: int = 10) -> DataFrame:
+    """(quote_id, doc_id) for quotes (quote_id, quote) of `least` characters and more and texts (doc_id, text): the quote occurs in the text.
 
-    Texts are cut into runs of `shingle` characters; a quote of at least twice that length less one holds one of them whole, so
-    it meets every text it occurs in by an equi-join, and is then searched there. Shorter quotes are not found.
+    Texts are cut into runs of `long_run` characters; a quote of at least twice that length less one holds one of them whole,
+    which begins at one of its first `long_run` places, so it meets every text it occurs in by an equi-join, and is then searched
+    there. Shorter quotes meet the texts by runs of `short_run` in the same way.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.length("quote") - shingle + 1, F.lit(1)))
-    q = quotes.where(F.length("quote") >= 2 * shingle - 1).select("quote_id", "quote", F.explode(F.transform(starts, lambda i: F.substring(F.col("quote"), i, F.lit(shingle)))).alias("s"))
-    t = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s).{{{shingle}}}"), 0))).alias("s"))
-    met = q.join(t, "s").select("quote_id", "quote", "doc_id").distinct()
-    return met.join(texts.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quote"))).select("quote_id", "doc_id")
+    if least < 2 * short_run - 1:
+        raise ValueError("a quote has to be long enough to hold a run")
+    cut, out = 2 * long_run - 1, None
+    for run, of in ((long_run, F.length("quote") >= cut), (short_run, F.length("quote").between(least, cut - 1))):
+        starts = F.sequence(F.lit(1), F.lit(run))
+        q = quotes.where(of).select("quote_id", "quote", F.explode(F.array_distinct(_runs(starts, run))).alias("s"))
+        t = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s).{{{run}}}"), 0))).alias("s"))
+        met = q.join(t, "s").select("quote_id", "quote", "doc_id")
+        out = met if out is None else out.unionByName(met)
+    return out.distinct().join(texts.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quote"))).select("quote_id", "doc_id")
 
 
-def one_to_one(pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def _runs(starts: Column, run: int) -> Column:
+    return F.transform(starts, lambda i: F.substring(F.col("quote"), i, F.lit(run)))
+
+
+def one_to_one(pairs: DataFrame, few: int = 200_000, rounds: int = 8) -> DataFrame:
     """(a, b, score): pairs by score, each side once; ties by (a, b). In each round the pairs that are best for both their
-    sides are taken, which gives what one pass in order gives; rounds are written, so lineage stays short."""
+    sides are taken, which gives what one pass in order gives; rounds are written, so lineage stays short. A long chain of pairs, each
+    better than the next, takes a round for each: after `rounds` rounds, and once `few` pairs or less are left, one pass takes the rest."""
     from glimmer.session import written
 
-    left, out = written(pairs.select("a", "b", "score"), "pairs"), None
+    left, out, done = written(pairs.select("a", "b", "score"), "pairs"), None, 0
     order = [F.desc("score"), "a", "b"]
-    for _ in range(rounds):
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "a", "b"], ascending=[False, True, True], kind="stable")
+        x, y, keep = set(), set(), []
+        for a, b in zip(pdf.a, pdf.b, strict=True):
+            free = a not in x and b not in y
+            keep.append(free)
+            if free:
+                x.add(a)
+                y.add(b)
+        return pdf.loc[keep, ["a", "b", "score"]]
+
+    while not left.isEmpty():
+        if done >= rounds and left.count() <= few:
+            last = left.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(in_order, left.schema)
+            return out.unionByName(last) if out is not None else last
         best = left.withColumns({"x": F.row_number().over(Window.partitionBy("a").orderBy(*order)), "y": F.row_number().over(Window.partitionBy("b").orderBy(*order))}).where("x = 1 and y = 1").select("a", "b", "score")
         best = written(best, "best")
         out = best if out is None else out.unionByName(best)
         left = written(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"), "pairs")
-        if left.isEmpty():
-            return out
-    raise RuntimeError(f"pairs are left after {rounds} rounds")
+        done += 1
+    return left if out is None else out
 
 
 def ordered_parts(quote: Column, text: Column, part: int = 20, words: int = 3) -> Column:

@@ -138,7 +138,46 @@ def balanced(rows: DataFrame, limit: int, per_source: int) -> DataFrame:
     return rows.groupBy("run").applyInPandas(choose, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", reason string")
 
 
-def within_budget(calls: DataFrame, budget: float) -> DataFrame:
-    """Calls (kind, at, id, amount) with the running spend and whether it stays within the budget."""
-    w = Window.partitionBy("kind").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return calls.withColumn("spent", F.sum("amount").over(w)).withColumn("within", F.col("spent") <= F.lit(budget))
+def within_budget(calls: DataFrame, budget: float, few: int = 200_000) -> DataFrame:
+    """Calls (kind, at, id, amount) with `within`, whether each is let through in order of (at, id), and `spent`, the kind's total
+    after it (null for a refused call). A refused call spends nothing, so smaller calls after it can still pass. Amounts are not negative.
+
+    What is left only shrinks, so a call above it is refused for good. In each round those go, and the calls up to the first that exceeds what is
+    left pass: sums of days first, then calls of the day in question, so no task sees a whole kind. The last few are taken one by one.
+    """
+    from glimmer.session import written
+
+    kind = F.col("amount").cast("decimal(38,6)")
+    left = written(calls.withColumns({"amount": kind, "day": F.to_date("at")}).select("kind", "day", "at", "id", "amount"), "calls")
+    state = left.select("kind").distinct().withColumn("rest", F.lit(budget).cast("decimal(38,6)"))
+    passed = []
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, rest = [], pdf["rest"].iat[0]
+        for r in pdf.sort_values(["at", "id"]).itertuples():
+            if r.amount <= rest:
+                rest -= r.amount
+                out.append((r.id, rest))
+        return pd.DataFrame(out, columns=["id", "rest"])
+
+    while True:
+        left = written(left.join(state, "kind").where("amount <= rest"), "calls")
+        if left.count() <= few:
+            kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
+            passed.append(left.groupBy("kind").applyInPandas(in_order, f"id {kinds['id']}, rest decimal(38,6)"))
+            break
+        days = left.groupBy("kind", "day").agg(F.sum("amount").alias("total"))
+        before = Window.partitionBy("kind").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+        days = days.select("kind", "day", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+        inside = Window.partitionBy("kind", "day").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+        # Only days that can be reached are looked into.
+        some = left.join(days, ["kind", "day"]).where("base <= rest").withColumn("total", (F.col("base") + F.sum("amount").over(inside)).cast("decimal(38,6)"))
+        taken = written(some.where("total <= rest").select("kind", "id", (F.col("rest") - F.col("total")).cast("decimal(38,6)").alias("rest")), "passed")
+        passed.append(taken.select("id", "rest"))
+        state = left.groupBy("kind").agg(F.first("rest").alias("was")).join(taken.groupBy("kind").agg(F.min("rest").alias("now")), "kind", "left").select("kind", F.coalesce("now", "was").alias("rest"))
+        left = left.drop("rest").join(taken.select("id"), "id", "left_anti")
+    every = passed[0]
+    for p in passed[1:]:
+        every = every.unionByName(p)
+    spent = (F.lit(budget).cast("decimal(38,6)") - F.col("rest")).cast("decimal(18,2)")
+    return calls.join(every, "id", "left").select(*calls.columns, spent.alias("spent"), F.col("rest").isNotNull().alias("within"))

@@ -43,7 +43,7 @@ def jon2(spark, d):
 
 @query("jon3_date_lookup", I.sql("docs") + "SELECT p.page_id, coalesce(a.published_at, b.published_at) AS published_at FROM (SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'https://src' || (page_id % 20) || '.example.org/' || page_id ELSE 'https://src' || (page_id % 20) || '.example.org/' || page_id || '/' END AS url FROM pages) p LEFT JOIN docs a ON a.url = p.url LEFT JOIN docs b ON b.url = regexp_replace(p.url, '/+$', '')")
 def jon3(spark, d):
-    known = I.docs(spark, d).select("url", "published_at").dropDuplicates(["url"])
+    known = I.docs(spark, d).groupBy("url").agg(F.min_by("published_at", "doc_id").alias("published_at"))  # the first writer wins
     p = table(spark, d, "pages").select("page_id", F.expr("'https://src' || (page_id % 20) || '.example.org/' || page_id || case page_id % 2 when 0 then '' else '/' end").alias("u"))
     a, b = known.toDF("ua", "da"), known.toDF("ub", "db")
     return p.join(a, F.col("u") == F.col("ua"), "left").join(b, urls.page_key(F.col("u")) == F.col("ub"), "left").select("page_id", F.coalesce("da", "db").alias("published_at"))
@@ -57,7 +57,7 @@ def jon4(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").join(by_id, "doc_id", "left").join(by_title, "source", "left").select("doc_id", F.coalesce("x", "y", F.lit("none")).alias("answer"))
 
 
-@query("jon5_verbatim_evidence", I.sql("quotes") + "SELECT q.doc_id AS quote_id, d.doc_id FROM quotes q JOIN documents d ON contains(d.text, q.quote) WHERE length(q.quote) >= 47")
+@query("jon5_verbatim_evidence", I.sql("quotes") + "SELECT q.doc_id AS quote_id, d.doc_id FROM quotes q JOIN documents d ON contains(d.text, q.quote) WHERE length(q.quote) >= 20")
 def jon5(spark, d):
     q = I.quotes(spark, d).select(F.col("doc_id").alias("quote_id"), "quote")
     return matching.contained(q, table(spark, d, "documents").select("doc_id", "text"))
@@ -65,9 +65,10 @@ def jon5(spark, d):
 
 @query("jon6_unplaced_quotes", I.sql("quotes") + "SELECT q.doc_id, count(DISTINCT o.doc_id) AS others FROM quotes q JOIN quotes o ON trim(regexp_replace(q.quote, '\\s+', ' ', 'g')) = trim(regexp_replace(o.quote, '\\s+', ' ', 'g')) AND o.doc_id <> q.doc_id GROUP BY 1")
 def jon6(spark, d):
-    q = I.quotes(spark, d).select("doc_id", text.quote_key(F.col("quote")).alias("k"))
-    o = q.select(F.col("doc_id").alias("other"), "k")
-    return q.join(o, "k").where("other <> doc_id").groupBy("doc_id").agg(F.countDistinct("other").alias("others"))
+    q = I.quotes(spark, d).select("doc_id", text.quote_key(F.col("quote")).alias("k")).distinct()
+    # Counted by quote, not joined with itself: a quote of very many documents stays one row.
+    n = q.groupBy("k").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    return q.join(n, "k").groupBy("doc_id").agg(F.sum("others").alias("others"))
 
 
 @query("jon7_similar_names", f"WITH t AS (SELECT item_id AS id, unnest({_TOK}) AS t, len({_TOK}) AS n FROM benchmark), s AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM t a JOIN t b ON a.t = b.t WHERE a.id <> b.id GROUP BY ALL), r AS (SELECT a, b, round(CASE WHEN i >= 2 THEN i / least(na, nb) ELSE i / (na + nb - i) END, 6) AS score FROM s) SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM r WHERE score >= 0.1 QUALIFY rank <= 2")
@@ -242,7 +243,10 @@ def win13(spark, d):
     return select.balanced(docs, 60, 8)
 
 
-@query("win14_running_spend", "SELECT o_orderkey, sum(o_totalprice::DECIMAL(18, 2)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS spent, sum(o_totalprice::DECIMAL(18, 2)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) <= 5000000 AS within FROM orders")
+@query(
+    "win14_running_spend",
+    "WITH RECURSIVE n AS (SELECT o_orderkey, o_orderpriority AS kind, o_totalprice::DECIMAL(18, 2) AS amount, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS k FROM orders), r(k, kind, o_orderkey, total, within) AS (SELECT k, kind, o_orderkey, CASE WHEN amount <= 5000000 THEN amount ELSE 0 END::DECIMAL(18, 2), amount <= 5000000 FROM n WHERE k = 1 UNION ALL SELECT n.k, n.kind, n.o_orderkey, (r.total + CASE WHEN r.total + n.amount <= 5000000 THEN n.amount ELSE 0 END)::DECIMAL(18, 2), r.total + n.amount <= 5000000 FROM r JOIN n ON n.kind = r.kind AND n.k = r.k + 1) SELECT o_orderkey, CASE WHEN within THEN total END AS spent, within FROM r",
+)
 def win14(spark, d):
     c = table(spark, d, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
     return select.within_budget(c, 5_000_000).select(F.col("id").alias("o_orderkey"), "spent", "within")

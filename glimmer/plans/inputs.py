@@ -52,7 +52,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates: parts with their suppliers as organisations and the first order as event."""
     p = table(spark, sf_dir, "part")
     li = table(spark, sf_dir, "lineitem")
-    orgs = li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_partkey").agg(F.slice(F.array_sort(F.collect_set("s_name")), 1, 3).alias("organizations"), F.countDistinct("l_orderkey").alias("total"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("event_date"))
+    orgs = li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_partkey").agg(F.array_sort(F.collect_set("s_name")).alias("organizations"), F.countDistinct("l_orderkey").alias("total"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("event_date"))
     return p.join(orgs, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("mechanism"), F.col("p_brand").alias("object"), "organizations", F.coalesce("total", F.lit(0).cast("long")).alias("total"), "event_date", F.expr("element_at(array('idea', 'prototype', 'pilot', 'limited_sales', 'scaled', 'unknown'), cast(p_size % 6 + 1 as int))").alias("stage"), "p_size")
 
 
@@ -63,7 +63,7 @@ SQL = {
     "pd AS (SELECT *, CASE WHEN regexp_matches(d, '^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?$') AND d <> '0000' THEN try_cast(CASE length(d) WHEN 4 THEN d || '-01-01' WHEN 7 THEN d || '-01' ELSE d END AS DATE) END AS lo FROM pdates), "
     "pb AS (SELECT *, CASE length(d) WHEN 4 THEN make_date(year(lo), 12, 31) WHEN 7 THEN last_day(lo) ELSE lo END AS hi FROM pd)",
     "quotes": "quotes AS (SELECT d.doc_id, d.source, substr(CASE WHEN d.doc_id % 5 = 0 THEN coalesce(n.text, d.text) ELSE d.text END, d.doc_id % 50 + 1, CASE WHEN d.doc_id % 7 = 0 THEN 10 ELSE 60 END) AS quote FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1)",
-    "candidates": "candidates AS (SELECT p_partkey, p_name AS name, p_type AS mechanism, p_brand AS object, o.organizations, coalesce(o.total, 0) AS total, o.event_date, (['idea','prototype','pilot','limited_sales','scaled','unknown'])[p_size % 6 + 1] AS stage, p_size FROM part LEFT JOIN (SELECT l_partkey, list_slice(list_sort(list(DISTINCT s_name)), 1, 3) AS organizations, count(DISTINCT l_orderkey) AS total, strftime(min(l_shipdate), '%Y-%m-%d') AS event_date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) o ON p_partkey = l_partkey)",
+    "candidates": "candidates AS (SELECT p_partkey, p_name AS name, p_type AS mechanism, p_brand AS object, o.organizations, coalesce(o.total, 0) AS total, o.event_date, (['idea','prototype','pilot','limited_sales','scaled','unknown'])[p_size % 6 + 1] AS stage, p_size FROM part LEFT JOIN (SELECT l_partkey, list_sort(list(DISTINCT s_name)) AS organizations, count(DISTINCT l_orderkey) AS total, strftime(min(l_shipdate), '%Y-%m-%d') AS event_date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1) o ON p_partkey = l_partkey)",
     "host": "regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www[.]', '')",
 }
 

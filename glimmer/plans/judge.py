@@ -243,7 +243,7 @@ def flt23(spark, d):
 
 
 _D1 = "(CASE WHEN p_size % 7 = 0 THEN 2.0 ELSE 0 END + CASE WHEN coalesce(len(organizations), 0) >= 2 THEN 1 WHEN coalesce(len(organizations), 0) = 0 THEN -1 ELSE 0 END + CASE WHEN coalesce(event_date, '') >= '1996-06-01' THEN 1 ELSE 0 END + CASE WHEN p_size % 5 >= 3 THEN 2 WHEN p_size % 5 = 2 THEN 1 ELSE 0 END)::DOUBLE"
-_IN = f", i AS (SELECT *, {_D1} AS d1, CASE WHEN p_size % 9 <> 0 THEN name END AS term, p_size % 8 AS n_evidence, CASE WHEN p_size % 11 <> 0 THEN total * (p_size % 20) END AS t, CASE WHEN p_size % 12 <> 0 THEN floor(total * (p_size % 20) / (2 + p_size % 3)) END AS r, p_size * 2 AS age, coalesce(event_date, '') >= '1996-06-01' AS fresh, p_size % 5 AS players FROM candidates)"
+_IN = f", i AS (SELECT *, {_D1} AS d1, CASE WHEN p_size % 9 <> 0 THEN name END AS term, p_size % 8 AS n_evidence, CASE WHEN p_size % 11 <> 0 THEN total * (p_size % 20) END AS t, CASE WHEN p_size % 12 <> 0 THEN floor(total * (p_size % 20) / (2 + p_size % 3)) END AS r, p_size * 2 AS age, coalesce(len(organizations), 0) > 0 AS named, CASE WHEN p_size % 4 = 1 THEN greatest(423, least(p_size * 2000 * 0.02, 3384)) ELSE 423 END AS loud, coalesce(event_date, '') >= '1996-06-01' AS fresh, p_size % 5 AS players FROM candidates)"
 
 
 def _scored(spark, d):
@@ -251,7 +251,7 @@ def _scored(spark, d):
     c = decide.evidence_score(c, "rule", "orgs", "fresh", "players")
     t = F.col("total") * (F.col("p_size") % 20)
     return c.withColumns(
-        {"term": F.when(F.col("p_size") % 9 != 0, F.col("name")), "n_evidence": F.col("p_size") % 8, "recent": F.when(F.col("p_size") % 12 != 0, F.floor(t / (2 + F.col("p_size") % 3))), "age_months": F.col("p_size") * 2, "base": F.lit(0.4), "area": F.lit(None).cast("long"), "total": F.when(F.col("p_size") % 11 != 0, t)}
+        {"term": F.when(F.col("p_size") % 9 != 0, F.col("name")), "n_evidence": F.col("p_size") % 8, "recent": F.when(F.col("p_size") % 12 != 0, F.floor(t / (2 + F.col("p_size") % 3))), "age_months": F.col("p_size") * 2, "base": F.lit(0.4), "named": F.col("orgs") > 0, "area": F.when(F.col("p_size") % 4 == 1, F.col("p_size") * 2000).cast("long"), "total": F.when(F.col("p_size") % 11 != 0, t)}
     )
 
 
@@ -263,8 +263,8 @@ def d1(spark, d):
 _CASES = """, s AS (SELECT *, stage IN ('prototype', 'pilot') AS early, stage = 'scaled' AS scaled, CASE WHEN t < 10 THEN 0 ELSE r / t / 0.4 END AS ratio FROM i),
 m AS (SELECT *, greatest(0, CASE WHEN ratio >= 1.7 THEN 4 WHEN ratio >= 1.2 THEN 2.5 WHEN ratio >= 0.9 THEN 1 ELSE 0 END + CASE WHEN t <= 3 THEN 2.5 WHEN t <= 38 THEN 1.5 ELSE 0 END + d1 + CASE WHEN early THEN 1.5 ELSE 0 END + CASE WHEN stage = 'limited_sales' THEN 1 ELSE 0 END - CASE WHEN scaled THEN 2.5 ELSE 0 END)::DOUBLE AS score0 FROM s),
 k AS (SELECT *, CASE WHEN term IS NULL AND n_evidence = 0 THEN 1 WHEN term IS NULL THEN 2 WHEN n_evidence = 0 THEN 3 WHEN t IS NULL OR r IS NULL THEN 4
-  WHEN age > 48 AND t > 30 AND r / t < 0.4 AND NOT fresh THEN 5 WHEN t > 423 AND scaled THEN 6 WHEN t > 423 THEN 7 WHEN scaled AND t > 105 THEN 8 WHEN t = 0 THEN 9 WHEN score0 >= 5 AND players > 0 AND age <= 48 THEN 10 ELSE 11 END AS c FROM m)"""
-_SCORE = "CASE c WHEN 1 THEN 0 WHEN 2 THEN greatest(0, d1 + CASE WHEN early THEN 1.5 ELSE 0 END - CASE WHEN scaled THEN 2.5 ELSE 0 END) WHEN 3 THEN 0 WHEN 4 THEN d1 + CASE WHEN early THEN 1.5 ELSE 0 END WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN CASE WHEN players >= 2 THEN 1 ELSE 0.5 END WHEN 8 THEN 0 WHEN 9 THEN 1 + d1 + CASE WHEN early THEN 1 ELSE 0 END - CASE WHEN scaled THEN 2.5 ELSE 0 END ELSE score0 END"
+  WHEN age > 48 AND t > 30 AND r / t < 0.4 AND NOT fresh THEN 5 WHEN t > loud AND scaled THEN 6 WHEN t > loud THEN 7 WHEN scaled AND t > floor(loud / 4) THEN 8 WHEN t = 0 THEN 9 WHEN score0 >= 5 AND named AND age <= 48 THEN 10 ELSE 11 END AS c FROM m)"""
+_SCORE = "CASE c WHEN 1 THEN 0 WHEN 2 THEN greatest(0, d1 + CASE WHEN early THEN 1.5 ELSE 0 END - CASE WHEN scaled THEN 2.5 ELSE 0 END) WHEN 3 THEN 0 WHEN 4 THEN greatest(0, d1 + CASE WHEN early THEN 1.5 ELSE 0 END) WHEN 5 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN CASE WHEN players >= 2 THEN 1 ELSE 0.5 END WHEN 8 THEN 0 WHEN 9 THEN greatest(0, 1 + d1 + CASE WHEN early THEN 1 ELSE 0 END - CASE WHEN scaled THEN 2.5 ELSE 0 END) ELSE score0 END"
 _STATUS = "(['rejected','no_term','rejected','unmeasured','aged','scaled','too_loud','scaled','unseen','measured','measured'])[c]"
 _TIER = "(['rejected','review','rejected','review','review','review','too_loud','review','review','signal','review'])[c]"
 
@@ -276,7 +276,7 @@ def d2(spark, d):
 
 @query(
     "d8_card_adjustments",
-    I.sql("candidates") + _IN + _CASES + f", v AS (SELECT *, ({_SCORE})::DOUBLE AS sc, {_STATUS} AS st, {_TIER} AS ti, p_size % 4 AS domains, p_size % 6 = 0 AS doubtful, p_size % 10 AS impl, p_size % 3 AS rounds, p_size % 3 AS events, CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE 'early' END AS assessed FROM k), w AS (SELECT *, CASE WHEN doubtful THEN greatest(0, sc + CASE WHEN domains >= 2 THEN 1.5 ELSE 0 END - 3) ELSE sc + CASE WHEN domains >= 2 THEN 1.5 ELSE 0 END END + CASE WHEN impl >= 8 THEN 0 WHEN impl >= 3 THEN 2.5 WHEN impl = 2 THEN 1.5 ELSE 0 END + CASE WHEN rounds > 0 THEN 1 ELSE 0 END + CASE WHEN events >= 2 THEN 0.5 ELSE 0 END AS cs FROM v) SELECT p_partkey, cs::DOUBLE AS card_score, CASE WHEN impl >= 8 THEN 'too_loud' WHEN domains < 2 THEN 'review' WHEN assessed <> 'early' THEN 'review' WHEN cs >= 5 AND st = 'measured' THEN 'signal' ELSE ti END AS card_tier FROM w",
+    I.sql("candidates") + _IN + _CASES + f", v AS (SELECT *, ({_SCORE})::DOUBLE AS sc, {_STATUS} AS st, {_TIER} AS ti, p_size % 4 AS domains, p_size % 6 = 0 AS doubtful, p_size % 10 AS impl, p_size % 3 AS rounds, p_size % 3 AS events, CASE WHEN p_size % 5 = 0 THEN 'unknown' ELSE 'early' END AS assessed FROM k), x AS (SELECT *, CASE WHEN doubtful THEN greatest(0, sc + CASE WHEN domains >= 2 THEN 1.5 ELSE 0 END - 3) ELSE sc + CASE WHEN domains >= 2 THEN 1.5 ELSE 0 END END + CASE WHEN impl >= 8 THEN 0 WHEN impl >= 3 THEN 2.5 WHEN impl = 2 THEN 1.5 ELSE 0 END AS s1 FROM v), w AS (SELECT *, ti = 'review' AND s1 >= 5 AND st = 'measured' AND age <= 48 AND impl < 8 AS up, s1 + CASE WHEN rounds > 0 THEN 1 ELSE 0 END + CASE WHEN events >= 2 THEN 0.5 ELSE 0 END AS cs FROM x) SELECT p_partkey, cs::DOUBLE AS card_score, CASE WHEN ti = 'rejected' THEN 'rejected' WHEN impl >= 8 THEN 'too_loud' WHEN assessed <> 'early' THEN 'review' WHEN (up OR ti = 'signal') AND domains < 2 THEN 'review' WHEN up THEN 'signal' ELSE ti END AS card_tier FROM w",
 )
 def d8(spark, d):
     s = decide.candidate_score(_scored(spark, d))

@@ -175,3 +175,46 @@ def test_er5_against_one_pass(spark):
             used |= {("a", a), ("b", b)}
             want.append((a, b, pytest.approx(-s, abs=2e-6)))
     assert sorted((r.a, r.b, r.score) for r in judge.er5(spark, sf).collect()) == sorted(want, key=lambda r: r[:2])
+
+
+def test_short_quotes_are_found(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc "), 400)) for _ in range(30)]
+    quotes = [(i, texts[int(rng.integers(30))][int(p) : int(p) + int(n)]) for i, (p, n) in enumerate(zip(rng.integers(0, 300, 200), rng.integers(15, 70, 200), strict=True))]
+    got = {tuple(r) for r in matching.contained(spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(i, d) for i, q in quotes for d, t in enumerate(texts) if len(q) >= 20 and q in t}
+
+
+@pytest.mark.parametrize(("few", "rounds"), [(200_000, 2), (0, 2)])
+def test_one_to_one_along_a_chain(spark, few, rounds):
+    n = 140 if few else 12
+    pairs = [(i, 1000 + i, 1.0 - i / 1000) for i in range(n)] + [(i + 1, 1000 + i, 1.0 - (i + 0.5) / 1000) for i in range(n)]
+    got = matching.one_to_one(spark.createDataFrame(pairs, "a long, b long, score double"), few, rounds).collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, 1000 + i) for i in range(n)]
+
+
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_refused_calls_spend_nothing(spark, few):
+    rng = np.random.default_rng(6)
+    rows = [("x", f"2024-01-0{1 + i % 3} 00:00:{i:02d}", i, int(a)) for i, a in enumerate([60, 50, 30, 200, 5, 5, 1])] + [("y", f"2024-01-{1 + i // 20:02d} 01:00:00", 100 + i, int(a)) for i, a in enumerate(rng.integers(0, 40, 300))]
+    calls = spark.createDataFrame(rows, "kind string, at string, id long, amount int").withColumn("at", F.to_timestamp("at"))
+    want, total = {}, {}
+    for kind, _, i, a in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        ok = total.get(kind, 0) + a <= 100
+        total[kind] = total.get(kind, 0) + a * ok
+        want[i] = (total[kind] if ok else None, ok)
+    got = {r.id: (None if r.spent is None else int(r.spent), r.within) for r in select.within_budget(calls, 100, few).collect()}
+    assert got == want
+
+
+def test_scores_have_a_floor_and_flags_hold(spark):
+    from glimmer.operators import decide
+
+    rows = [(1, "t", 1, -1.0, "unknown", None, None, 12), (2, "t", 1, -1.0, "scaled", 0, 0, 12), (3, "t", 1, 5.0, "pilot", 20, 20, 60), (4, None, 0, 5.0, "pilot", 20, 20, 12), (5, "t", 1, 5.0, "pilot", 20, 20, 12)]
+    frame = spark.createDataFrame(rows, "id int, term string, n_evidence int, d1 double, stage string, total int, recent int, age_months int").withColumns({"fresh": F.lit(True), "players": F.lit(1), "named": F.col("id") != 5, "base": F.lit(0.4), "area": F.lit(None).cast("long")})
+    scored = decide.candidate_score(frame)
+    got = {r.id: (r.status, r.tier, r.score) for r in scored.collect()}
+    assert got[1] == ("unmeasured", "review", 0.0) and got[2] == ("unseen", "review", 0.0) and got[3][1] == "review" and got[4] == ("rejected", "rejected", 0.0) and got[5][1] == "review"
+    cards = decide.adjusted(scored.withColumns({"domains": F.lit(3), "doubtful": F.lit(False), "implementers": F.lit(4), "rounds": F.lit(1), "events": F.lit(2), "assessed": F.lit("early")}))
+    tiers = {r.id: r.card_tier for r in cards.collect()}
+    assert tiers[3] == "review" and tiers[4] == "rejected" and tiers[5] == "signal"
