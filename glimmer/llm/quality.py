@@ -1,22 +1,26 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The n-grams are of characters: each is one of 48 symbols (letters, other letters by
-eight classes, capitals, digits, spaces, kinds of punctuation), so a language has at most 48 ** 4
-of them whatever the corpus. Trusted texts are counted in full: each task
-counts its texts, the counts are added up in shards of (language, n-gram), and joins of
+The n-grams are of `ORDER` characters: 12 bits each, so the letters of most alphabets are symbols of their own (capitals of
+A-Z are one symbol, digits one, code points from 2048 on share 2048), and the counts grow with the corpus. Trusted texts are counted in full:
+each task counts its texts, the counts are added up in shards of (model, n-gram), and joins of
 n-gram counts with the counts of their contexts and with the next lower order give
-the probabilities. A document's perplexity is the join of its n-grams with them.
+the probabilities. A model is of a language and half of its trusted documents, dealt by a hash of the id, and scores the
+documents of the other half, so no document is judged by a model that has seen it.
 
-That last join has two ways, with equal results. Up to `max_broadcast` rows, which is behind a
-count of the table, the joined shards are broadcast and looked up where the texts
-are: no text and no n-gram of a document is shuffled. Beyond it, each document's distinct
-n-grams are shuffled to the shards of the table and their sums back.
+A document's perplexity is the join of its n-grams with the shards. What is frequent is held back from it: the `HOT` most frequent
+n-grams at most, behind a count of them, are broadcast with their probabilities and summed where the text is, so no text is
+shuffled. All other n-grams of a document, rare or never seen, are counted per document, and each is looked up
+once for all documents: in the shards of its order, or else by the weight of its context and
+the next lower order. This is the same way at every size.
 
-The threshold of a language is made of quantiles of trusted documents that the model has
-not seen (one in `FOLDS`, by a hash): of the excess, the mean surprise less the language's
+The threshold of a language is made of quantiles of its trusted documents, each scored by the model that has not
+seen it: of the excess, the mean surprise less the language's
 median times the root of the length, so short texts are not judged by the noise they
-have. A document goes if its excess is outside the fence on either side: text below it
-repeats itself. The fence is made of quartiles: the tails hold passages in other languages.
+have. A document goes if its excess is outside the quantiles LOW and HIGH: text below repeats itself. The fence is LEAST away from
+the median at least, for languages of few trusted documents.
+
+Labels are joined by document id. They grow with the documents, so both are shuffled; before that a filter of fixed size (a bit
+for each hash of an id, BLOOM_BITS in all) keeps most texts without a trusted label out of it.
 
 Defined results: null and empty texts have no perplexity and are kept, as are
 documents of a language without trusted text (null is a language of its own); without labels
@@ -26,7 +30,6 @@ empty result. Other columns of the input are left alone and can have any name.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,45 +37,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glimmer.session import table, written
 
-ORDER = 4
-K = 48
-FOLDS = 5
-#: The fence stands REACH times as far from the median excess as these quantiles, and LEAST away at least.
-LOW, HIGH, REACH, LEAST = 0.25, 0.75, 20.0, 6.0
-#: 16 bytes a row on the driver and in each task: 64 MB.
-MAX_BROADCAST = 4_000_000
+ORDER = 5
+BITS = 12
+K = 1 << BITS
+FOLDS = 2
+#: Quantiles of trusted documents that the fence stands at, and its least distance from the median.
+LOW, HIGH, LEAST = 0.001, 0.997, 6.0
+#: N-grams that are broadcast at most, 20 bytes each, and slots of their table in a task.
+HOT = 1 << 20
+_SLOTS = 21
+BLOOM_BITS = 1 << 26
+MAX_BROADCAST = 10_000
+MAX_BROADCAST_DOCS = 500_000
 _PIECE = 500_000
 
 
 @cache
 def symbols() -> np.ndarray:
     """Symbol of each code point below 2 ** 16; the last entry stands for all above. 0 is the edge of a text."""
-    out = np.zeros((1 << 16) + 1, np.int32)
-    kinds = {" ": 28, "\n": 29, ".": 30, ",": 31, "!": 32, "?": 32, "-": 33, "'": 34, '"': 34, "|": 35, "#": 36, "$": 36, "%": 36, "&": 36, "*": 36, "=": 36, ":": 37, ";": 37}
-    for c in range(1 << 16):
-        ch = chr(c)
-        if "a" <= ch <= "z":
-            out[c] = 1 + c - 97
-        elif ch.isupper():
-            out[c] = 27
-        elif ch in kinds:
-            out[c] = kinds[ch]
-        elif ch.isspace():
-            out[c] = 28
-        elif c < 128:
-            out[c] = 38
-        elif ch.isalpha():
-            out[c] = 40 + c % 8
-        else:
-            out[c] = 39 if unicodedata.category(ch) != "Nd" else 38
-    for c in range(48, 58):
-        out[c] = 38
-    out[0], out[ord("/")], out[-1] = 0, 39, 39
-    return out
+    c = np.arange((1 << 16) + 1)
+    out = np.where(c < K // 2, c, K // 2 + c % (K // 2))
+    out[ord("A") : ord("Z") + 1] = ord("A")
+    out[ord("0") : ord("9") + 1] = ord("0")
+    out[0] = ord(" ")
+    return out.astype(np.int64)
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +75,13 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(lengths + ORDER - 1) - lengths
     of_text = np.ones(len(s), bool)
     of_text[: ORDER - 1] = False
+    s[: ORDER - 1] = 0
     for i in range(ORDER - 1):
         of_text[starts[1:] - 1 - i] = False
+        s[starts[1:] - 1 - i] = 0
     g = s[: len(s) - ORDER + 1].copy()
     for i in range(1, ORDER):
-        g *= K
+        g <<= BITS
         g += s[i : len(s) - ORDER + 1 + i]
     return g[of_text[ORDER - 1 :]], lengths
 
@@ -105,175 +98,211 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def _suffix(g: Column, k: int) -> Column:
+    return g.bitwiseAND(F.lit((1 << BITS * k) - 1))
+
+
+def _context(g: Column) -> Column:
+    return F.shiftright(g, BITS)
+
+
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(lang, g, c) over the columns lang and text."""
+    """(model, g, c) over the columns model (a long) and text."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A batch gives its distinct n-grams; Spark adds them up before and after the shuffle.
         for pdf in batches:
-            for lang, index in pdf.text.groupby(pdf.lang).indices.items():
+            for m, index in pdf.text.groupby(pdf.model).indices.items():
                 own = [pdf.text.iat[i] for i in index]
                 for a, b in _pieces(own):
                     g, k = np.unique(_grams(own[a:b])[0], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "g": g, "c": k})
+                    yield pd.DataFrame({"model": m, "g": g, "c": k})
+
+    return texts.select("model", "text").mapInPandas(count, "model long, g long, c long").groupBy("model", "g").agg(F.sum("c").alias("c"))
 
-    return texts.select("lang", "text").mapInPandas(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
+#: By order from 1: (model, g, c, nlp) of seen n-grams, and (model, ctx, weight) of contexts, weight being -log of what lower orders have there.
+Tables = list[tuple[DataFrame, DataFrame]]
 
-def model(counts: DataFrame) -> DataFrame:
-    """(lang, k, g, p, gamma): for seen n-grams of each order k the probability p of the last symbol
-    after the others, and in rows of order k without p the weight gamma of the lower order after context g."""
-    by_order = {ORDER: counts}
+
+def tables(counts: DataFrame) -> Tables:
+    by_order = {ORDER: written(counts, "counts")}
     for k in range(ORDER - 1, 0, -1):
-        by_order[k] = written(by_order[k + 1].groupBy("lang", (F.col("g") % K**k).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"continued{k}")
-    lower, parts = None, []
+        by_order[k] = written(by_order[k + 1].groupBy("model", _suffix(F.col("g"), k).alias("g")).agg(F.count(F.lit(1)).alias("c")), f"continued{k}")
+    out: Tables = []
     for k in range(1, ORDER + 1):
         c = by_order[k]
         n = [F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)]
         y = n[0] / F.greatest(n[0] + 2 * n[1], F.lit(1))
         off = [F.least(F.lit(float(i + 1)), F.greatest(F.lit(0.0), F.when((n[i] > 0) & (n[i + 1] > 0), i + 1 - (i + 2) * y * n[i + 1] / F.greatest(n[i], F.lit(1))).otherwise(0.75))) for i in range(3)]
-        discounts = c.groupBy("lang").agg(*[o.alias(f"d{i + 1}") for i, o in enumerate(off)])
-        rows = c.join(discounts, "lang").withColumn("ctx", F.floor(F.col("g") / K))
+        # A row for each model.
+        discounts = c.groupBy("model").agg(*[o.alias(f"d{i + 1}") for i, o in enumerate(off)])
+        rows = c.join(discounts, "model").withColumn("ctx", _context(F.col("g")))
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        contexts = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("t"), (F.sum(discount) / F.sum("c")).alias("gamma"))
-        rows = rows.join(contexts, ["lang", "ctx"]).withColumn("low", F.col("g") % K ** (k - 1))
-        if lower is None:
-            rows = rows.withColumn("p_low", F.lit(1.0 / K))
-        else:
-            rows = rows.join(lower.select("lang", F.col("g").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
-        lower = written(rows.select("lang", F.lit(k).alias("k"), "g", ((F.greatest(F.col("c") - discount, F.lit(0.0))) / F.col("t") + F.col("gamma") * F.col("p_low")).alias("p"), F.lit(None).cast("double").alias("gamma")), f"order{k}")
-        parts += [lower, contexts.select("lang", F.lit(k).alias("k"), F.col("ctx").alias("g"), F.lit(None).cast("double").alias("p"), "gamma")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        contexts = rows.groupBy("model", "ctx").agg(F.sum("c").alias("t"), (F.sum(discount) / F.sum("c")).alias("gamma"))
+        rows = rows.join(contexts, ["model", "ctx"]).withColumn("low", _suffix(F.col("g"), k - 1))
+        low = F.lit(1.0 / K)
+        if out:
+            rows = rows.join(out[-1][0].select("model", F.col("g").alias("low"), F.col("nlp").alias("nlp_low")), ["model", "low"])
+            low = F.exp(-F.col("nlp_low"))
+        p = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("t") + F.col("gamma") * low
+        seen = written(rows.select("model", "g", "c", (-F.log(p)).alias("nlp")), f"order{k}")
+        out.append((seen, written(contexts.select("model", "ctx", (-F.log("gamma")).alias("weight")), f"contexts{k}")))
     return out
 
 
-#: A row of the table as sent to tasks.
-_ROW = np.dtype([("k", "u1"), ("g", "<i4"), ("p", "<f8"), ("gamma", "<f8")])
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """(lang, rows): the table of each language in one value; a language has K ** ORDER n-grams at most."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(len(pdf), _ROW)
-        for c in ("k", "g", "p", "gamma"):
-            out[c] = pdf[c].to_numpy()
-        return pd.DataFrame({"lang": [pdf.lang.iat[0]], "rows": [out.tobytes()]})
-
-    return rows.groupBy("lang").applyInPandas(pack, "lang string, rows binary")
-
-
-def _surprise(rows: np.ndarray) -> np.ndarray:
-    """-log p of every n-gram of the highest order, with lower orders where it is unseen."""
-    k, g, p, gamma = (rows[c] for c in ("k", "g", "p", "gamma"))
-    dense = np.full(K, 1.0 / K, np.float32)
-    for order in range(1, ORDER + 1):
-        weight = np.ones(K ** (order - 1), np.float32)
-        at = (k == order) & np.isnan(p)
-        weight[g[at]] = gamma[at]
-        dense = (weight[:, None] * dense.reshape(1, K) if order <= 1 else weight.reshape(K, -1)[:, :, None] * dense.reshape(1, -1, K)).ravel()
-        at = (k == order) & ~np.isnan(p)
-        dense[g[at]] = p[at]
-    np.log(dense, out=dense)
-    return np.negative(dense, out=dense)
-
-
-_SCORE = T.StructType([T.StructField("surprise", T.DoubleType()), T.StructField("n", T.LongType())])
-
-
-def _scorer(spark: SparkSession, rows: DataFrame):
-    by_lang = {r["lang"]: bytes(r["rows"]) for r in _packed(rows).collect()}  # behind a count of the rows
-    sent = spark.sparkContext.broadcast(by_lang)
-
-    @F.pandas_udf(_SCORE)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        tables: dict[str, np.ndarray] = {}  # of this task alone: idle workers hold none
-        for langs, texts in batches:
-            total, n = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
-            for lang, index in texts.groupby(langs).indices.items():
-                index = [i for i in index if texts.iat[i]]
-                if lang not in sent.value or not index:
-                    continue
-                if lang not in tables:
-                    if len(tables) >= 4:
-                        tables.pop(next(iter(tables)))
-                    tables[lang] = _surprise(np.frombuffer(sent.value[lang], _ROW))
-                own, got = [texts.iat[i] for i in index], []
-                for a, b in _pieces(own):
-                    g, lengths = _grams(own[a:b])
-                    got.append(np.add.reduceat(tables[lang][g], np.cumsum(lengths) - lengths, dtype=np.float64))
-                    n[index[a:b]] = lengths
-                total[index] = np.concatenate(got)
-            yield pd.DataFrame({"surprise": pd.Series(total).astype(object).where(~np.isnan(total), None), "n": n})
-
-    return score
-
-
-def scores(docs: DataFrame, rows: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """The columns of `docs` (lang without null, text) with _surprise and _n, the sum of -log p over the n characters of the text."""
-    if rows.count() <= max_broadcast:
-        score = _scorer(docs.sparkSession, rows)
-        return docs.withColumn("_s", score(F.col("lang"), F.col("text"))).withColumns({"_surprise": "_s.surprise", "_n": "_s.n"}).drop("_s")
-    return _sharded(docs, rows)
-
-
-def _sharded(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """As scores(), by shuffling the n-grams of the documents to the shards of the table."""
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("g", T.LongType()), T.StructField("m", T.LongType())])))
-    def grams(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"g": int(a), "m": int(b)} for a, b in zip(*np.unique(_grams([t])[0], return_counts=True), strict=True)] for t in texts])
-
-    keyed = docs.withColumns({"_key": F.xxhash64("lang", "text"), "_lang": "lang"})
-    todo = keyed.where("length(text) > 0").select("_key", "_lang", "text").dropDuplicates(["_key"]).select("_key", "_lang", F.explode(grams("text")).alias("x")).select("_key", "_lang", "x.g", "x.m")
-    for k in range(ORDER, 0, -1):
-        p = rows.where((F.col("k") == k) & F.col("p").isNotNull()).select("lang", F.col("g").alias("gk"), F.col("p").alias(f"p{k}"))
-        w = rows.where((F.col("k") == k) & F.col("p").isNull()).select("lang", F.col("g").alias("gk"), F.col("gamma").alias(f"w{k}"))
-        own, ctx = F.col("g") % K**k, F.floor((F.col("g") % K**k) / K)
-        todo = todo.join(p, (F.col("_lang") == p["lang"]) & (own == p["gk"]), "left").drop("lang", "gk").join(w, (F.col("_lang") == w["lang"]) & (ctx == w["gk"]), "left").drop("lang", "gk")
-    prob = F.lit(1.0 / K)
-    for k in range(1, ORDER + 1):
-        prob = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(1.0)) * prob)
-    known = rows.select(F.col("lang").alias("_lang")).distinct()
-    sums = todo.join(known, "_lang", "left_semi").groupBy("_key").agg(F.sum(-F.log(prob) * F.col("m")).alias("_surprise"), F.sum("m").alias("_n"))
-    return keyed.join(sums, "_key", "left").drop("_key", "_lang").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
-
-
-def judge(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, low: float = LOW, high: float = HIGH, reach: float = REACH, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Columns of `docs` with _n, _perplexity, _excess, _low, _high, _keep."""
-    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
+def looked_up(grams: DataFrame, model: Tables, k: int = ORDER) -> DataFrame:
+    """(model, g, nlp) for distinct n-grams (model, g) of order k: joins with the shards of order k, and for what is not
+    there with those of its context and, by way of its distinct suffixes, of the lower orders."""
+    seen, contexts = model[k - 1]
+    rows = written(grams.select("model", "g").join(seen.select("model", "g", "nlp"), ["model", "g"], "left"), f"known{k}")
+    open_ = rows.where("nlp is null").select("model", "g", _context(F.col("g")).alias("ctx"), _suffix(F.col("g"), k - 1).alias("low")).join(contexts, ["model", "ctx"], "left")
+    weight = F.coalesce("weight", F.lit(0.0))
+    if k == 1:
+        open_ = open_.withColumn("low_nlp", F.lit(float(np.log(K))))
+    else:
+        lower = looked_up(open_.select("model", F.col("low").alias("g")).distinct(), model, k - 1)
+        open_ = open_.join(lower.select("model", F.col("g").alias("low"), F.col("nlp").alias("low_nlp")), ["model", "low"])
+    return rows.where("nlp is not null").unionByName(open_.select("model", "g", (weight + F.col("low_nlp")).alias("nlp")))
+
+
+def _slot(model: np.ndarray, g: np.ndarray) -> np.ndarray:
+    mixed = (g.astype(np.uint64) ^ model.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def _hot(seen: DataFrame, hot: int) -> pd.DataFrame:
+    """The most frequent rows of the highest order, `hot` at most: all above a count that few enough have."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = seen.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()  # 8 rows a power of two
+    least, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > hot:
+            break
+        least = r["level"]
+    if least is None:
+        return pd.DataFrame({"model": [], "g": [], "c": [], "nlp": []}).astype({"model": "int64", "g": "int64", "c": "int64", "nlp": "float64"})
+    return seen.where(level >= least).toPandas()
+
+
+def scores(docs: DataFrame, model: Tables, keys: list[str], hot: int = HOT) -> DataFrame:
+    """(keys, _surprise, _n) for each row of `docs` (model, text, keys): the sum of -log p over the n characters of the text, null where there is no
+    model or text."""
+    spark = docs.sparkSession
+    frequent = _hot(model[-1][0], hot)
+    slots = (np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.int64), np.zeros(1 << _SLOTS, np.float32))
+    frequent = frequent.sort_values(["c", "model", "g"])  # of two in one slot the more frequent is kept, the other is looked up
+    at = _slot(frequent.model.to_numpy(), frequent.g.to_numpy())
+    for held, c in zip(slots, ("g", "model", "nlp"), strict=True):
+        held[at] = frequent[c].to_numpy()
+    sent = spark.sparkContext.broadcast(slots)
+    known = model[0][0].select("model").distinct().withColumn("_known", F.lit(True))
+    known = F.broadcast(known) if known.count() <= MAX_BROADCAST else known
+    rows = docs.select(*keys, "model", "text").join(known, "model", "left").select(*keys, F.when(F.col("_known") & (F.length("text") > 0), F.col("model")).alias("model"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot_g, hot_model, hot_nlp = sent.value
+        for pdf in batches:
+            total, n = np.zeros(len(pdf)), np.fromiter(map(len, pdf.text), np.int64, len(pdf))
+            miss: list[list] = [[] for _ in range(len(pdf))]
+            times: list[list] = [[] for _ in range(len(pdf))]
+            index = np.flatnonzero(pdf.model.notna().to_numpy())
+            own, models = [pdf.text.iat[i] for i in index], pdf.model.iloc[index].to_numpy().astype(np.int64)
+            for a, b in _pieces(own):
+                g, lengths = _grams(own[a:b])
+                ends = np.cumsum(lengths)
+                m = np.repeat(models[a:b], lengths)
+                at = _slot(m, g)
+                hit = (hot_g[at] == g) & (hot_model[at] == m)
+                total[index[a:b]] = np.add.reduceat(np.where(hit, hot_nlp[at], 0.0), ends - lengths)
+                rest = np.flatnonzero(~hit)
+                cuts = np.searchsorted(rest, ends)
+                for i, x, y in zip(index[a:b], [0, *cuts[:-1]], cuts, strict=True):
+                    if y > x:
+                        u, c = np.unique(g[rest[x:y]], return_counts=True)
+                        miss[i], times[i] = u.tolist(), c.tolist()
+            yield pdf.drop(columns="text").assign(_total=total, _n=n, _miss=miss, _times=times)
+
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    part = rows.mapInPandas(score, f"{kinds}, model long, _total double, _n long, _miss array<long>, _times array<long>")
+    part = written(part.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    rest = part.where(F.size("_miss") > 0).select("_row", "model", F.explode(F.arrays_zip(F.col("_miss").alias("g"), F.col("_times").alias("m"))).alias("x")).select("_row", "model", "x.g", "x.m")
+    # Written, so that the join back is of plain tables and an n-gram of very many documents is split.
+    found = written(looked_up(rest.select("model", "g").distinct(), model), "looked-up")
+    sums = rest.join(found, ["model", "g"]).groupBy("_row").agg(F.sum(F.col("nlp") * F.col("m")).alias("_more"))
+    surprise = F.when(F.col("model").isNotNull(), F.col("_total") + F.coalesce("_more", F.lit(0.0)))
+    return part.drop("_miss", "_times").join(sums, "_row", "left").select(*keys, surprise.alias("_surprise"), "_n")
+
+
+def _hashed_id() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"))
+
+
+def _may_be_in(ids: DataFrame) -> Column:
+    """Whether the id of a row may be among `ids`: true for all that are, and for few others while there are fewer than BLOOM_BITS."""
+    place = F.pmod(_hashed_id(), F.lit(BLOOM_BITS))
+    words = ids.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("x")).toPandas()  # BLOOM_BITS / 64 rows at most
+    bits = np.zeros(BLOOM_BITS // 64, np.int64)
+    bits[words.w.to_numpy(np.int64)] = words.x.to_numpy(np.int64)
+    sent = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def found(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((sent.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return found(place)
+
+
+_KEYS = ["_key1", "_key2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With what tells rows apart that can be judged differently."""
+    return docs.withColumns({"_key1": F.xxhash64("doc_id", "lang", "text"), "_key2": F.xxhash64("text", "lang", "doc_id", F.lit("2"))})
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, least: float = LEAST, hot: int = HOT) -> DataFrame:
+    """(doc_id, lang, _key1, _key2, _n, _perplexity, _excess, _low, _high, _keep) for each row of `docs` (doc_id, lang, text), without the text."""
+    fold = F.pmod(_hashed_id(), F.lit(FOLDS)).cast("int")
     lang = F.coalesce(F.col("lang"), F.lit(""))
-    slim = docs.select("doc_id", lang.alias("lang"), "text")
-    # The labels grow with the documents: this join shuffles at every size, each text once.
-    training = slim.where("length(text) > 0").where(~held_out).join(trusted.where(~held_out).hint("merge"), "doc_id", "left_semi")
-    rows = written(model(written(count_grams(training), "counts")), "model")
-    found = scores(docs.withColumn("_lang", F.col("lang")).withColumn("lang", lang), rows, max_broadcast)
-    mean = F.col("_surprise") / F.col("_n")
-    sample = scores(slim.where(held_out).join(trusted.where(held_out).hint("merge"), "doc_id", "left_semi"), rows, max_broadcast).where("_n > 0").select("lang", mean.alias("mean"), "_n")
-    sample = written(sample, "held-out")
-    mid = sample.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10_000).alias("mid"))
-    excess = (F.col("mean") - F.col("mid")) * F.sqrt("_n")
-    ends = sample.join(mid, "lang").withColumn("e", excess).groupBy("lang", "mid").agg(F.percentile_approx("e", [low, 0.5, high], 10_000).alias("q"))
+    trusted = written(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct(), "trusted")
+    slim = docs.select("doc_id", "lang", "text")
+    # Both grow, so this join shuffles at every size, each text once.
+    training = slim.where("length(text) > 0 and doc_id is not null").where(_may_be_in(trusted)).join(trusted.hint("merge"), "doc_id", "left_semi")
+    model = tables(count_grams(training.select(F.xxhash64(lang, fold).alias("model"), "text")))
+    rows = _keyed(slim).withColumn("model", F.xxhash64(lang, (fold + 1) % FOLDS))
+    found = written(scores(rows, model, ["doc_id", "lang", *_KEYS], hot).withColumns({"_mean": F.col("_surprise") / F.col("_n"), "_lang": lang}), "scores")
+    sample = found.where("_mean is not null").join(trusted.hint("merge"), "doc_id", "left_semi").select("_lang", "_mean", "_n")
+    sample = written(sample, "sample")
+    mid = sample.groupBy("_lang").agg(F.percentile_approx("_mean", 0.5, 10_000).alias("_mid"))
+    excess = (F.col("_mean") - F.col("_mid")) * F.sqrt("_n")
+    ends = sample.join(mid, "_lang").withColumn("e", excess).groupBy("_lang", "_mid").agg(F.percentile_approx("e", [low, 0.5, high], 10_000).alias("q"))
     q = F.col("q")
     # A row for each language.
-    fences = written(ends.select(F.col("lang").alias("_l"), "mid", (q[1] - F.greatest(reach * (q[1] - q[0]), F.lit(LEAST))).alias("_low"), (q[1] + F.greatest(reach * (q[2] - q[1]), F.lit(LEAST))).alias("_high")), "fences")
-    if fences.count() <= 10_000:
+    fences = written(ends.select("_lang", "_mid", F.least(q[0], q[1] - least).alias("_low"), F.greatest(q[2], q[1] + least).alias("_high")), "fences")
+    if fences.count() <= MAX_BROADCAST:
         fences = F.broadcast(fences)
-    found = found.join(fences, found["lang"] == fences["_l"], "left").withColumn("_excess", (mean - F.col("mid")) * F.sqrt("_n"))
+    found = found.join(fences, "_lang", "left").withColumn("_excess", excess)
     keep = F.coalesce(F.col("_excess").between(F.col("_low"), F.col("_high")), F.lit(True))
-    return found.withColumns({"_keep": keep, "_perplexity": F.exp(mean)}).withColumn("lang", F.col("_lang")).drop("_lang", "_l", "mid", "_surprise")
+    return found.select("doc_id", "lang", *_KEYS, "_n", F.exp("_mean").alias("_perplexity"), "_excess", "_low", "_high", keep.alias("_keep"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Columns of `docs` with _n, _perplexity, _excess, _low, _high, _keep."""
+    found = verdicts(docs, labels, **options).drop("doc_id", "lang").dropDuplicates(_KEYS)
+    return _keyed(docs).join(found, _KEYS).drop(*_KEYS)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of trusted text, its fence and the verdict."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = judge(docs, table(spark, sf_dir, "labels"))
+    found = verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "lang", F.col("_n").alias("n_chars"), F.col("_perplexity").alias("perplexity"), F.col("_excess").alias("excess"), F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_keep").alias("keep"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier does not reject."""
-    return judge(docs, table(spark, sf_dir, "labels")).where("_keep").select(docs.columns)
+    gone = written(verdicts(docs, table(spark, sf_dir, "labels")).where("not _keep").select(*_KEYS).distinct(), "rejected")
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_DOCS else gone
+    return _keyed(docs).join(gone, _KEYS, "left_anti").select(docs.columns)
