@@ -18,7 +18,7 @@ def brute(rows):
     for i, k, r, t in set(rows):
         if i is not None:
             convs.setdefault(i, []).append((k, r, t))
-    seqs = {i: [(r, t) for _, r, t in sorted(v, key=lambda x: (x[0] is not None, x[0] or 0, str(x[2])))] for i, v in convs.items()}
+    seqs = {i: [(r, t) for _, r, t in sorted(v, key=lambda x: [(y is not None, y or (0 if i == 0 else "")) for i, y in enumerate(x)])] for i, v in convs.items()}
     out = {}
     for i, s in seqs.items():
         longer = any(len(o) > len(s) and o[: len(s)] == s for o in seqs.values())
@@ -33,12 +33,20 @@ def test_collapse(spark):
     for chunk in (1024, 7):
         assert {r.conv_id: (r.n_turns, r.status) for r in C.collapse(turns, chunk).collect()} == want
     text = {}
-    for r in sorted(C.render(turns, turns.where("conv_id <> 11").select("conv_id").distinct()).collect(), key=lambda r: (r.conv_id, r.part)):
+    for r in sorted(C.render(turns, turns.select("conv_id").distinct()).collect(), key=lambda r: (r.conv_id, r.part)):
         text[r.conv_id] = text.get(r.conv_id, "") + r.text
-    assert text == {i: "".join(f"<|{r or ''}|>\n{t or ''}\n" for r, t in s) for i, s in seqs.items() if i != 11}
+    assert text == {i: "".join(f"<|{r or ''}|>\n{t or ''}\n" for r, t in s) for i, s in seqs.items()}
     assert C.collapse(turns.limit(0)).count() == 0
 
 
+def test_parts_are_by_position(spark):
+    rows = [(1, k, "user", f"t{k}") for k in (254, 255, 256, 257)] + [(2, 7, "user", x) for x in "edcba"] + [(3, 10 * k, "user", str(k)) for k in range(600)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.part): r.text for r in C.render(turns, turns.select("conv_id")).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (3, 1), (3, 2)}
+    assert got[2, 0] == "".join(f"<|user|>\n{x}\n" for x in "abcde") and got[3, 1].startswith("<|user|>\n256\n") and got[3, 2].count("<|") == 88
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
