@@ -58,6 +58,8 @@ FEATURES = [
     "dictionary", "path_test", "path_code", "near_name", "given", "quoted", "near_hash", "near_url", "near_id", "letters_before", "userinfo", "code",
 ]
 THRESHOLD = 0.5
+#: Bound of the labelled rows that a forest is fitted on.
+MOST_FINDINGS = 100_000
 
 
 def may_have_candidates(text: Column) -> Column:
@@ -84,7 +86,7 @@ def featured(found: DataFrame) -> DataFrame:
     return found.withColumns(
         {
             "length": F.log1p(F.length(v)),
-            "distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 256), ""))) / F.greatest(F.least(F.length(v), F.lit(64)), F.lit(1)),
+            "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.greatest(F.least(F.length(v), F.lit(64)), F.lit(1)),
             "digits": _share(v, "[0-9]"),
             "upper": _share(v, "[A-Z]"),
             "lower": _share(v, "[a-z]"),
@@ -114,7 +116,7 @@ def featured(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, per_template: int = 120) -> DataFrame:
-    """Labelled findings (label, value, before, after, path), `per_template` for each template."""
+    """Labelled findings (label, value, before, after, path, template), `per_template` for each template."""
     i = F.col("id").cast("string")
     words = F.array(*[F.lit(w) for w in DICTIONARY])
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.concat(i, F.lit(k))), F.lit(len(DICTIONARY))) + 1).cast("int"))
@@ -154,14 +156,15 @@ def labelled_findings(spark: SparkSession, per_template: int = 120) -> DataFrame
         (0, "", F.concat(word("a"), word("b"), word("c"), F.substring(digits, 1, 2)), " "), (0, "the ", F.concat(word("a"), F.lit("-"), word("b"), F.lit("-"), word("a"), F.lit("-"), year), " "), (0, 'checksum = "', hex64, '"'), (0, 'digest: "', hex40, '"'),
         (0, 'id = "', uuid, '"'),
     ]
-    kinds = F.array(*[F.struct(F.lit(y).cast("double").alias("label"), v.alias("value"), F.concat(lead, F.lit(b)).alias("before"), F.lit(a).alias("after"), F.when(F.pmod(F.xxhash64(i), F.lit(5)) == 0, F.lit("src/app.py")).otherwise(F.concat(F.lit("src"), F.substring(digits, 1, 1))).alias("path")) for y, b, v, a in rows])
+    kinds = F.array(*[F.struct(F.lit(y).cast("double").alias("label"), v.alias("value"), F.concat(lead, F.lit(b)).alias("before"), F.lit(a).alias("after"), F.when(F.pmod(F.xxhash64(i), F.lit(5)) == 0, F.lit("src/app.py")).otherwise(F.concat(F.lit("src"), F.substring(digits, 1, 1))).alias("path"), F.lit(t).alias("template")) for t, (y, b, v, a) in enumerate(rows)])
     return made.select(F.explode(kinds).alias("k")).select("k.*")
 
 
-def train(findings: DataFrame, trees: int = 40, depth: int = 9, seed: int = 11) -> RandomForestClassificationModel:
-    """A forest from labelled findings (label, value, before, after, path); the same for the same rows."""
+def train(findings: DataFrame, trees: int = 40, depth: int = 9, seed: int = 11, most: int = MOST_FINDINGS) -> RandomForestClassificationModel:
+    """A forest from labelled findings (label, value, before, after, path), of which the `most` least by a hash are taken; the same for the same rows."""
+    some = findings.select("label", "value", "before", "after", "path").orderBy(F.xxhash64("label", "value", "before", "after", "path"), "value", "before", "after", "path").limit(most)
     # A bounded table: written once, so the passes of the training read features, and in one order.
-    rows = written(featured(findings).select("label", *FEATURES), "findings").repartition(1).sortWithinPartitions("label", *FEATURES)
+    rows = written(featured(some).select("label", *FEATURES), "findings").repartition(1).sortWithinPartitions("label", *FEATURES)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "features")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 

@@ -19,6 +19,20 @@ def test_held_out_accuracy(spark):
     assert len(got) > 500 and right.mean() > 0.98
 
 
+def test_templates_left_out(spark):
+    """Findings of templates that the forest has seen nothing of: every fifth template is held out in turn."""
+    rows = S.labelled_findings(spark, 60).cache()
+    right = {0: [], 1: []}
+    for fold in range(5):
+        forest = S.train(rows.where(F.col("template") % 5 != fold))
+        got = S.classified(rows.where(F.col("template") % 5 == fold), forest).select("label", "probability").toPandas()
+        for label in right:
+            right[label] += [(p >= 0.5) == (label == 1) for p in got.probability[got.label == label]]
+    share = {label: sum(x) / len(x) for label, x in right.items()}
+    print("right of templates left out", share)
+    assert share[1] > 0.7 and share[0] > 0.7
+
+
 ROWS = [
     (1, 'Text token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" und mehr.', "src1"),
     (2, "The number 9807915762804490 is no secret, nor 97.51.17.173 or a@mail6.example.com", "src2"),
