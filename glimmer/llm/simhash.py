@@ -232,7 +232,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("component", F.coalesce("component", "fp"))
         .select("fp", "first_id", "component")
     )
-    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    classes = written(classes, "nodes")
+    # Written, so that both joins are of plain tables: a large component or a fingerprint of many copies is split where it is too large for a task.
+    least = written(classes.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
     classes = written(classes.join(least, "component").select("fp", "component_id"), "classes")
     return marks.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
