@@ -28,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.session import new_path, table
+from glimmer.session import new_path, table, written
 
 LEAST = 100
 ARCHIVE_BYTES = 32 << 20
+#: Bytes that a batch of frames or payloads has about at most.
+BATCH_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 # Fixed values of the formats.
 _FRAME, _SKIPPABLE, _DICTIONARY = 0xFD2FB528, 0x184D2A50, 0x184D2A5D
@@ -166,6 +168,7 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     total = slim.agg(F.sum("n")).first()[0] or 0
     archives = max(1, -(-total // ARCHIVE_BYTES))
     firsts = slim.where(F.col("n") >= least).groupBy("_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("_digest", "first")
+    firsts = written(firsts, "firsts")  # a plain table, so that a digest of very many pages is split in the join
     later = slim.where(F.col("n") >= least).join(firsts, "_digest").groupBy("_key").agg(F.first("first").alias("first"))
     return rows.repartition(archives, "_key").join(later.repartition(archives, "_key"), "_key", "left").sortWithinPartitions("_key")
 
@@ -193,12 +196,13 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
             yield from first
             yield from todo
 
-        held: list[bytes] = []
+        held, size = [], 0
         for frame in archive(every(), first):
             held.append(frame)
-            if len(held) >= 500:
+            size += len(frame)
+            if len(held) >= 500 or size >= BATCH_BYTES:
                 yield pd.DataFrame({"frame": held})
-                held = []
+                held, size = [], 0
         yield pd.DataFrame({"frame": held})
 
     dealt = plan(pages, least).select("page_id", "url", F.col("_payload").alias("payload"), "first", F.col("_key").alias("page_key"))
@@ -214,13 +218,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf.path, pdf.content, strict=True):
-                held: list[dict] = []
+                held, size = [], 0
                 try:
                     for r in records(content):
                         held.append(r)
-                        if len(held) >= 1000:
+                        size += len(r["payload"] or b"")
+                        if len(held) >= 1000 or size >= BATCH_BYTES:
                             yield _frame(held)
-                            held = []
+                            held, size = [], 0
                 except ValueError as e:
                     raise ValueError(f"{name}: {e}") from e
                 if held:
