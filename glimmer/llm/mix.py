@@ -172,8 +172,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each once, with the column `copies`: how often it is taken."""
+    """The documents that the mix takes, each once, with the column `copies`: how often it is taken. A column of that name in `docs` gives way to it."""
+    columns = [c for c in docs.columns if c != "copies"]
+    docs = docs.select(*columns)
     found = decide(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
     rows = docs.withColumn("_n", size_of(F.col("text")))
     same = rows["doc_id"].eqNullSafe(found["_id"]) & rows["source"].eqNullSafe(found["_source"]) & (rows["_n"] == found["_size"])
-    return rows.join(found, same).select(*docs.columns, F.col("_copies").alias("copies"))
+    return rows.join(found, same).select(*columns, F.col("_copies").alias("copies"))
