@@ -47,9 +47,9 @@ FOLDS = 2
 #: Quantiles of trusted documents that the fence stands at, and its least distance from the median.
 LOW, HIGH, LEAST = 0.001, 0.997, 6.0
 #: N-grams that are broadcast at most, 20 bytes each, and slots of their table in a task.
-HOT = 1 << 20
-_SLOTS = 21
-BLOOM_BITS = 1 << 26
+HOT = 1 << 18
+_SLOTS = 20
+BLOOM_BITS = 1 << 24
 MAX_BROADCAST = 10_000
 MAX_BROADCAST_DOCS = 500_000
 _PIECE = 500_000
