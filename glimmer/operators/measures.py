@@ -79,12 +79,13 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def distinctive(rows: DataFrame, group: str, word: str, doc: str, n: int, least: int = 2) -> DataFrame:
-    """The n most distinctive words of each group: document frequency (at least `least`) over 1 + that elsewhere; ties to the smaller word."""
-    own = rows.select(group, word, doc).distinct().groupBy(group, word).agg(F.count(F.lit(1)).alias("df"))
+def distinctive(rows: DataFrame, group: str, word: str, n: int, least: int = 2) -> DataFrame:
+    """The n most distinctive words of each group: document frequency (at least `least`) over 1 + that elsewhere; ties to the
+    more frequent, then the later word. Each (word, document) is one row of the input."""
+    own = rows.groupBy(group, word).agg(F.count(F.lit(1)).alias("df"))
     all_ = F.sum("df").over(Window.partitionBy(word))
     scored = own.withColumn("score", F.round(F.col("df") / (1 + all_ - F.col("df")), 6)).where(F.col("df") >= least)
-    w = Window.partitionBy(group).orderBy(F.desc("score"), word)
+    w = Window.partitionBy(group).orderBy(F.desc("score"), F.desc("df"), F.desc(word))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.functions.text import name_key
 from glimmer.operators.components import connected_components
 from glimmer.session import written
 
@@ -95,6 +96,21 @@ def guarded_merge(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return p.groupBy("component").applyInPandas(merge, "a long, b long, score double, result string")
 
 
+def mechanisms(rows: DataFrame) -> DataFrame:
+    """(id, root, mechanism) for rows (id, term, name): rows are of one mechanism if they share a term or a name, directly or through others.
+    Each row is linked to the first with its term and the first with its name, so a common one makes a star, not all pairs."""
+    keyed = written(rows.select("id", name_key(F.col("term")).alias("term"), name_key(F.col("name")).alias("name")), "named")
+    links = None
+    for key in ("term", "name"):
+        own = keyed.where(F.coalesce(F.col(key), F.lit("")) != "").select("id", key)
+        first = own.join(own.groupBy(key).agg(F.min("id").alias("first")), key).select("id", "first")
+        links = first if links is None else links.unionByName(first)
+    comp = connected_components(links, "id", "first")
+    rooted = keyed.select("id").join(comp, keyed["id"] == comp["node"], "left").select("id", F.coalesce("component", "id").alias("root"))
+    label = keyed.select(F.col("id").alias("root"), F.coalesce(F.nullif("term", F.lit("")), F.nullif("name", F.lit("")), F.concat(F.lit("#"), F.col("id").cast("string"))).alias("mechanism"))
+    return rooted.join(label, "root").select("id", "root", "mechanism")
+
+
 def senses(rows: DataFrame, group: str, key: str, vector: str, most: float = 0.18) -> DataFrame:
     """(group, key, sense): average-linkage clusters of unit vectors within each group, merged while the mean cosine distance is at most `most`.
     A group is the few results of one query."""

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.functions.text import STOP_WORDS
+
 
 def fair_urls(hits: DataFrame, per_owner: int, limit: int, exempt: str = "false") -> DataFrame:
     """Hits (query, first_seen, position, url_key, owner) in fair order: one of each query before any second, each url
@@ -29,6 +33,16 @@ def admitted(calls: DataFrame, per_caller: int, per_day: int) -> DataFrame:
     return own.withColumn("ok", F.col("_ok") & (nth <= per_day)).drop("_mine", "_ok")
 
 
+def query_plan(subjects: DataFrame, key: str, russian, primary: str, others: list[str], limit: int, lenses: int = 3, share: float = 0.2) -> DataFrame:
+    """(key, lang, lens, depth): each subject is asked with the primary lens before any is asked with a second; the others take turns. Those
+    with a Russian name are asked in Russian too, up to `share` of the `limit`, which they take from the end of the English ones. Both parts are cut to `limit`."""
+    depth = F.explode(F.sequence(F.lit(0), F.lit(lenses - 1)))
+    turn = F.element_at(F.array(*[F.lit(x) for x in others]), ((F.col(key) + F.col("depth") - 1) % len(others) + 1).cast("int"))
+    english = subjects.select(key, depth.alias("depth")).select(key, F.lit("en").alias("lang"), F.when(F.col("depth") == 0, primary).otherwise(turn).alias("lens"), F.col("depth").cast("long").alias("depth"))
+    ru = subjects.where(russian).select(key, F.lit("ru").alias("lang"), F.lit(primary).alias("lens"), F.lit(0).cast("long").alias("depth")).orderBy(key).limit(int(limit * share))
+    return english.orderBy("depth", key).limit(limit - ru.count()).unionByName(ru)
+
+
 def interleaved(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Adds `turn`, the place within the group: ordered by (turn, group), rows alternate between groups."""
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
@@ -41,20 +55,23 @@ def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
 
 
 def cut(text: str, size: int = 1200) -> list[tuple[int, int]]:
-    """(start, end) of passages: broken at a line end, else a blank, in the second half; overlapping by min(160, size / 5)."""
+    """(start, end) of passages: up to a line end, else a blank, in the second half where there is one, without blanks at the ends. The next
+    one begins min(160, size / 5) before the end, or from there at the next blank, so sentences across a boundary are whole in one."""
     out, at, over = [], 0, min(160, size // 5)
     while at < len(text):
         end = min(at + size, len(text))
         if end < len(text):
-            for mark in ("\n", " "):
-                found = text.rfind(mark, at + size // 2, end)
-                if found > 0:
-                    end = found
-                    break
-        out.append((at, end))
+            marks = (text.rfind(mark, at + size // 2, end) for mark in ("\n", " "))
+            end = next((m for m in marks if m >= 0), end)
+        piece = text[at:end]
+        first, last = end - len(piece.lstrip()), at + len(piece.rstrip())
+        if first < last:
+            out.append((first, last))
         if end >= len(text):
             break
-        at = max(end - over, at + 1)
+        at = max(at + 1, end - over)
+        while at < end and not text[at].isspace():
+            at += 1
     return out
 
 
@@ -71,9 +88,7 @@ def passages(docs: DataFrame, key: str, text: str, size: int = 1200) -> DataFram
 
 
 def contexts(docs: DataFrame, key: str, text: str, pattern: str, before: int = 350, after: int = 650, most: int = 3) -> DataFrame:
-    """(key, n, start, end): windows around matches of a pattern that do not overlap, at most so many of a text."""
-    import re
-
+    """(key, n, start, end): windows around matches of a pattern, at most so many of a text; a match whose window would overlap one before is passed over."""
     marker = re.compile(pattern)
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,16 +99,71 @@ def contexts(docs: DataFrame, key: str, text: str, pattern: str, before: int = 3
                 for m in marker.finditer(t or ""):
                     if n == most:
                         break
-                    if m.start() >= last:
-                        a, last = max(last, m.start() - before), min(len(t), m.end() + after)
-                        rows.append((k, n, a, last))
-                        n += 1
+                    a, b = max(0, m.start() - before), min(len(t), m.end() + after)
+                    if n and a < last:
+                        continue
+                    rows.append((k, n, a, b))
+                    last, n = b, n + 1
             yield pd.DataFrame(rows, columns=[key, "n", "start", "end"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInPandas(find, f"{key} {kind}, n int, start int, end int")
 
 
+def weighted(tokens: list[set], queries: list[set]) -> list[float]:
+    """For each passage the best share of a query's words that it holds, words weighed by 1 + ln((passages + 1) / (1 + passages with the word))."""
+    weight = {w: 1 + math.log((len(tokens) + 1) / (1 + sum(w in t for t in tokens))) for q in queries for w in q}
+    total = lambda words: sum(weight[w] for w in sorted(words))
+    return [max((total(q & t) / max(1, total(q)) for q in queries), default=0.0) for t in tokens]
+
+
+def chosen(tokens: list[set], scores: list[float], most: int) -> list[int]:
+    """The passages that are read: all of a few; else the opening, then up to two thirds by their positive score, then by the share of words that none read so far has."""
+    if len(tokens) <= most:
+        return list(range(len(tokens)))
+    out = {0}
+    for i in sorted(range(len(tokens)), key=lambda i: (-scores[i], i)):
+        if len(out) < max(1, most * 2 // 3) and scores[i] > 0:
+            out.add(i)
+    while len(out) < most:
+        seen = set().union(*(tokens[i] for i in out))
+        out.add(max((i for i in range(len(tokens)) if i not in out), key=lambda i: (_new(tokens[i], seen), scores[i], -i)))
+    return sorted(out)
+
+
+def _new(words: set, seen: set) -> float:
+    return len(words - seen) / len(words) if words else 0.0
+
+
+def reading_plan(docs: DataFrame, key: str, text: str, queries: str, most: int = 12, size: int = 1200, novel: float = 0.35, limit: int = 12) -> DataFrame:
+    """(key, n, start, end, score, shown, fresh, unread) for each passage of a document with an array of queries: its score, whether it is read, the share of
+    its words that the read ones lack, and for the `limit` most novel unread ones of at least `novel` their rank."""
+
+    def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for k, t, asked in zip(pdf[key], pdf[text], pdf[queries], strict=True):
+                spans = cut(t or "", size)
+                tokens = [terms(t[a:b]) for a, b in spans]
+                scores = weighted(tokens, [q for q in map(terms, asked if asked is not None else []) if q])
+                shown = set(chosen(tokens, scores, most))
+                seen = set().union(*(tokens[i] for i in shown))
+                fresh = [0.0 if i in shown else _new(w, seen) for i, w in enumerate(tokens)]
+                order = sorted((i for i in range(len(spans)) if i not in shown and tokens[i] and fresh[i] >= novel), key=lambda i: (-fresh[i], i))[:limit]
+                rank = {i: r + 1 for r, i in enumerate(order)}
+                rows += [(k, i, a, b, scores[i], i in shown, fresh[i], rank.get(i)) for i, (a, b) in enumerate(spans)]
+            out = pd.DataFrame(rows, columns=[key, "n", "start", "end", "score", "shown", "fresh", "unread"])
+            yield out.astype({"unread": "Int32"})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text, queries).mapInPandas(plan, f"{key} {kind}, n int, start int, end int, score double, shown boolean, fresh double, unread int")
+
+
+def terms(text: str) -> set[str]:
+    """Distinct words of 3 letters and more in lower case, without stop words."""
+    return {w for w in re.findall(r"\w{3,}", text.lower()) if w not in STOP_WORDS}
+
+
 def picked(rows: DataFrame, per_query: int, per_owner: int = 2) -> DataFrame:
     """Evidence (card, query, rank, owner, id): better rank first, so many of a query and so many of an owner over all
     queries of the card. Both caps act on the same choice, so a card is decided in one group; a card's evidence is small."""

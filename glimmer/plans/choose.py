@@ -161,19 +161,31 @@ def win1(spark, d):
     return select.fair_urls(h, 2, 100, "owner like '%.org'").select("page_id", "query", F.col("depth").cast("long").alias("depth"))
 
 
-@query("win2_query_plan", "SELECT p_partkey, (['mechanism','product','funding','standard'])[(p_partkey + k) % 4 + 1] AS lens, k AS depth FROM part, (SELECT unnest(range(3)) AS k) ORDER BY k, p_partkey LIMIT 1000")
+# Sub-segments are parts, a third with a Russian name too; three lenses each: the primary one, then two of the others in turn.
+_PRIMARY, _OTHERS = "product", ["funding", "standard", "research"]
+
+
+@query(
+    "win2_query_plan",
+    f"WITH e AS (SELECT p_partkey, 'en' AS lang, CASE k WHEN 0 THEN '{_PRIMARY}' ELSE ({_OTHERS})[(p_partkey + k - 1) % 3 + 1] END AS lens, k AS depth FROM part, (SELECT unnest(range(3)) AS k)), r AS (SELECT p_partkey, 'ru' AS lang, '{_PRIMARY}' AS lens, 0 AS depth FROM part WHERE p_partkey % 3 = 0 ORDER BY p_partkey LIMIT 200) SELECT * FROM (SELECT * FROM e ORDER BY depth, p_partkey LIMIT 1000 - (SELECT count(*) FROM r)) UNION ALL SELECT * FROM r",
+)
 def win2(spark, d):
-    lens = F.array(*[F.lit(x) for x in I.LENSES])
-    p = table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("depth"))
-    return p.withColumn("lens", F.element_at(lens, ((F.col("p_partkey") + F.col("depth")) % 4 + 1).cast("int"))).orderBy("depth", "p_partkey").limit(1000)
+    p = table(spark, d, "part").select("p_partkey")
+    return select.query_plan(p, "p_partkey", F.col("p_partkey") % 3 == 0, _PRIMARY, _OTHERS, 1000)
 
 
-@query("win3_tree_plan", "WITH v AS (SELECT p_brand AS leaf, lower(p_name) AS q, min(p_partkey) AS k FROM part GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY k) AS depth FROM v QUALIFY depth <= 3) SELECT leaf, q AS query, depth FROM n QUALIFY row_number() OVER (PARTITION BY q ORDER BY depth, leaf) = 1 ORDER BY depth, leaf LIMIT 60")
+_LEAF = "p_brand AS leaf, lower(p_name) AS q, min(p_partkey) AS k"
+
+
+@query("win3_tree_plan", f"WITH v AS (SELECT {_LEAF} FROM part GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY k) AS depth FROM v QUALIFY depth <= 3), o AS (SELECT *, CASE WHEN depth = 3 OR (depth = 2 AND regexp_extract(leaf, '[0-9]+')::INT % 3 = 0) THEN 'research' ELSE 'mechanism' END AS lens FROM n) SELECT leaf, q AS query, lens, depth FROM o QUALIFY row_number() OVER (PARTITION BY q, lens ORDER BY depth, leaf) = 1 ORDER BY depth, leaf LIMIT 60")
 def win3(spark, d):
+    """One query for each leaf before any second; the same words can be asked once with each lens."""
     v = table(spark, d, "part").groupBy(F.col("p_brand").alias("leaf"), F.lower("p_name").alias("query")).agg(F.min("p_partkey").alias("k"))
     n = v.withColumn("depth", F.row_number().over(Window.partitionBy("leaf").orderBy("k")).cast("long")).where("depth <= 3")
-    u = n.withColumn("u", F.row_number().over(Window.partitionBy("query").orderBy("depth", "leaf"))).where("u = 1")
-    return u.select("leaf", "query", "depth").orderBy("depth", "leaf").limit(60)
+    research = (F.col("depth") == 3) | ((F.col("depth") == 2) & (F.regexp_extract("leaf", "[0-9]+", 0).cast("int") % 3 == 0))
+    n = n.withColumn("lens", F.when(research, "research").otherwise("mechanism"))
+    u = n.withColumn("u", F.row_number().over(Window.partitionBy("query", "lens").orderBy("depth", "leaf"))).where("u = 1")
+    return u.select("leaf", "query", "lens", "depth").orderBy("depth", "leaf").limit(60)
 
 
 @query("win4_interleaved", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part")
@@ -215,26 +227,22 @@ def win10(spark, d):
     return select.passages(table(spark, d, "documents"), "doc_id", "text").withColumn("passage", F.sha2("passage", 256))
 
 
+def plan_of_reading(spark, d):
+    """Passages of each document, asked for with the benchmark item of the same number."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.array("text").alias("queries"))
+    return select.reading_plan(docs.join(items, F.col("doc_id") == F.col("item_id"), "left").select("doc_id", "text", "queries"), "doc_id", "text", "queries")
+
+
 @query("win11_passage_scores")
 def win11(spark, d):
-    """Passages with the weight of the benchmark's words they hold: 1 + ln((n + 1) / (1 + df))."""
-    p = select.passages(table(spark, d, "documents"), "doc_id", "text")
-    w = p.select("doc_id", "n", F.explode(text.tokens(F.col("passage"))).alias("t"))
-    ask = table(spark, d, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("t")).distinct()
-    df = w.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("df"))
-    size = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
-    weight = 1 + F.log((F.col("k") + 1) / (1 + F.col("df")))
-    return w.join(ask, "t", "left_semi").join(df, ["doc_id", "t"]).join(size, "doc_id").groupBy("doc_id", "n").agg(F.round(F.sum(weight), 6).alias("score"))
+    """The passages that are read: the opening, relevant ones, then novel ones."""
+    return plan_of_reading(spark, d).where("shown").select("doc_id", "n", F.round("score", 6).alias("score"))
 
 
 @query("win12_unread_sections")
 def win12(spark, d):
-    """Passages of a document with many terms that its first passage lacks, the twelve newest in content first."""
-    p = select.passages(table(spark, d, "documents"), "doc_id", "text").withColumn("t", text.tokens(F.col("passage")))
-    first = p.where("n = 0").select("doc_id", F.col("t").alias("seen"))
-    share = F.size(F.array_except("t", "seen")) / F.greatest(F.size("t"), F.lit(1))
-    s = p.where("n > 0").join(first, "doc_id").select("doc_id", "n", F.round(share, 6).alias("share")).where("share >= 0.35")
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("share"), "n"))).where("rank <= 12")
+    """Unread passages with many words that the read ones lack, the most novel first."""
+    return plan_of_reading(spark, d).where("unread is not null").select("doc_id", "n", F.round("fresh", 6).alias("share"), F.col("unread").alias("rank"))
 
 
 @query("win13_balanced_selection")

@@ -11,6 +11,7 @@ from glimmer.functions import dates, text, urls
 from glimmer.operators import decide, matching, resolve
 from glimmer.operators.components import connected_components
 from glimmer.plans import inputs as I
+from glimmer.plans.choose import plan_of_reading
 from glimmer.plans.scalar import FAMILIES
 from glimmer.registry import query
 from glimmer.session import table, written
@@ -87,12 +88,13 @@ def flt7(spark, d):
     return table(spark, d, "part").join(v, F.col("p_partkey") == F.col("s_suppkey"), "left").select("p_partkey", F.coalesce("v", F.lit(True)).alias("in_domain"))
 
 
-_SNIP = "p_name || ' made by ' || s_name || ' in ' || p_type"
+# Every third answer gives a quote that its snippet does not hold.
+_SNIP = "p_name || ' made by ' || CASE l_linenumber % 3 WHEN 0 THEN 'others' ELSE s_name END || ' in ' || p_type"
 
 
 @query("flt8_implementers", f"SELECT DISTINCT p_partkey, s_suppkey FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE contains(lower({_SNIP}), lower('made by ' || s_name)) AND l_returnflag IN ('A', 'R') AND NOT EXISTS (SELECT 1 FROM lineitem k WHERE k.l_partkey = p_partkey AND k.l_suppkey = s_suppkey AND k.l_returnflag = 'N')")
 def flt8(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_linenumber")
     known = li.where("l_returnflag = 'N'").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).distinct()
     rows = table(spark, d, "part").join(li, F.col("p_partkey") == F.col("l_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     ok = F.lower(F.expr(_SNIP)).contains(F.lower(F.concat(F.lit("made by "), "s_name"))) & F.col("l_returnflag").isin("A", "R")
@@ -121,10 +123,14 @@ def flt10(spark, d):
 _CLAMP = "CASE WHEN p_size % 8 IN (0, 1) THEN 'early' WHEN p_size % 8 = 2 THEN 'mature' ELSE 'whatever' END"
 
 
-@query("flt11_assessment", f"SELECT p_partkey, CASE WHEN {_CLAMP} NOT IN ('early', 'mature') THEN 'unknown' WHEN NOT (length(p_type) >= 5 AND contains(p_type || ' ' || p_name, p_type)) THEN 'unknown' WHEN {_CLAMP} = 'early' AND length(p_name) < 10 THEN 'unknown' ELSE {_CLAMP} END AS assessed FROM part")
+_SAYS = "CASE p_partkey % 5 WHEN 0 THEN 'never said' WHEN 1 THEN substr(p_type, 1, 3) ELSE p_type END"
+
+
+@query("flt11_assessment", f"SELECT p_partkey, CASE WHEN {_CLAMP} NOT IN ('early', 'mature') THEN 'unknown' WHEN NOT (length({_SAYS}) >= 5 AND contains(p_type || ' ' || p_name, {_SAYS})) THEN 'unknown' WHEN {_CLAMP} = 'early' AND length(p_name) < 10 THEN 'unknown' ELSE {_CLAMP} END AS assessed FROM part")
 def flt11(spark, d):
-    c = F.expr(_CLAMP)
-    inside = (F.length("p_type") >= 5) & F.concat_ws(" ", "p_type", "p_name").contains(F.col("p_type"))
+    """A stage needs a quote that is long enough and stands in the text."""
+    c, said = F.expr(_CLAMP), F.expr(_SAYS)
+    inside = (F.length(said) >= 5) & F.concat_ws(" ", "p_type", "p_name").contains(said)
     return table(spark, d, "part").select("p_partkey", F.when(~c.isin("early", "mature"), "unknown").when(~inside, "unknown").when((c == "early") & (F.length("p_name") < 10), "unknown").otherwise(c).alias("assessed"))
 
 
@@ -135,39 +141,69 @@ def flt12(spark, d):
     return I.candidates(spark, d).select("p_partkey", F.when(F.col("stage").isin("prototype", "pilot") & near, "early").otherwise("unknown").alias("assessed"))
 
 
-_REASONS = "array_to_string(list_filter([CASE WHEN NOT ok THEN 'quote' END, CASE WHEN n_players = 0 THEN 'no_players' END, CASE WHEN NOT dated THEN 'not_dated' END], lambda x: x IS NOT NULL), ',')"
-_CHECK = ", c AS (SELECT q.doc_id, length(q.quote) >= 20 AND contains(d.text, q.quote) AS ok, (q.doc_id % 4)::BIGINT AS n_players, coalesce(d.published_at >= '2024-01-01', false) AS dated FROM quotes q JOIN docs d USING (doc_id))"
+# Positions: a quote with the address it is said to stand at, as cards have it: with tracking parameters, with www, or of a page that was not stored.
+_SAID_AT = "CASE doc_id % 6 WHEN 1 THEN url || '/?utm_source=x' WHEN 2 THEN replace(url, 'https://', 'https://www.') WHEN 5 THEN 'https://elsewhere.example.net/' || doc_id ELSE url END"
+_PLAIN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_URL_KEY = "regexp_replace(lower(regexp_extract({0}, '^https?://(?:www[.])?([^/?#]*)', 1)) || regexp_extract({0}, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '')"
+_REASONS = "array_to_string(list_filter([CASE WHEN length(quote) < 20 THEN 'no_quote' WHEN NOT ok THEN 'quote_unverified' END, CASE WHEN n_players = 0 THEN 'no_players' END, CASE WHEN NOT dated AND NOT measured THEN 'neither_dated_nor_measured' END], lambda x: x IS NOT NULL), ',')"
+_CHECK = f""", p AS (SELECT q.doc_id, {_PLAIN.format("q.quote")} AS quote, {_SAID_AT.replace("doc_id", "q.doc_id")} AS said, published_at FROM quotes q JOIN docs d USING (doc_id)),
+t AS (SELECT {_URL_KEY.format("url")} AS k, {_PLAIN.format("text")} AS text FROM docs),
+c AS (SELECT p.*, length(quote) >= 20 AND CASE WHEN t.k IS NOT NULL THEN contains(t.text, quote) ELSE EXISTS (SELECT 1 FROM t o WHERE contains(o.text, p.quote)) END AS ok, (doc_id % 4)::BIGINT AS n_players,
+  coalesce(published_at >= '2024-01-01' AND published_at <= '2024-07-01', false) AS dated, doc_id % 5 = 1 AND doc_id % 3 > 0 AS measured FROM p LEFT JOIN t ON t.k = {_URL_KEY.format("said")})"""
+_GROUNDED = "ok AND n_players >= 1 AND (dated OR measured)"
 
 
 def _checks(spark, d):
-    """Positions: a quote, players and a date each; own documents are found by key."""
-    q = I.quotes(spark, d).select("doc_id", "quote")
-    c = q.join(I.docs(spark, d).select("doc_id", "text", "published_at"), "doc_id")
-    return c.select("doc_id", ((F.length("quote") >= 20) & F.col("text").contains(F.col("quote"))).alias("ok"), (F.col("doc_id") % 4).alias("n_players"), F.coalesce(F.col("published_at") >= "2024-01-01", F.lit(False)).alias("dated"))
+    """Each position's quote is looked for in the document of its address, or in all documents if that was not stored; a position is
+    grounded with a verified quote, a player, and a fresh date or a measurement."""
+    docs = I.docs(spark, d)
+    said = F.expr(_SAID_AT)
+    p = I.quotes(spark, d).select("doc_id", text.quote_key(F.col("quote")).alias("quote")).join(docs.select("doc_id", "url", "published_at"), "doc_id").withColumn("k", urls.path_key(said))
+    t = docs.select(urls.path_key(F.col("url")).alias("k"), text.quote_key(F.col("text")).alias("text"))
+    own = p.join(t, "k", "left").select("doc_id", "quote", "published_at", F.col("text").isNotNull().alias("stored"), ((F.length("quote") >= 20) & F.coalesce(F.col("text").contains(F.col("quote")), F.lit(False))).alias("ok"))
+    own = written(own, "positions")
+    pool = matching.contained(own.where("not stored").select(F.col("doc_id").alias("quote_id"), "quote"), docs.select("doc_id", text.quote_key(F.col("text")).alias("text"))).select(F.col("quote_id").alias("doc_id")).distinct().withColumn("pooled", F.lit(True))
+    dated = F.coalesce(F.col("published_at").between("2024-01-01", "2024-07-01"), F.lit(False))
+    measured = (F.col("doc_id") % 5 == 1) & (F.col("doc_id") % 3 > 0)
+    return own.join(pool, "doc_id", "left").select("doc_id", "quote", (F.col("ok") | F.coalesce("pooled", F.lit(False))).alias("ok"), (F.col("doc_id") % 4).alias("n_players"), dated.alias("dated"), measured.alias("measured"))
+
+
+def _is_grounded():
+    return F.col("ok") & (F.col("n_players") >= 1) & (F.col("dated") | F.col("measured"))
 
 
-@query("flt13_position_checks", I.sql("quotes", "docs") + _CHECK + f" SELECT doc_id, {_REASONS} AS reasons, ok AND n_players > 0 AND dated AS grounded FROM c")
+@query("flt13_position_checks", I.sql("quotes", "docs") + _CHECK + f" SELECT doc_id, {_REASONS} AS reasons, {_GROUNDED} AS grounded FROM c")
 def flt13(spark, d):
-    reasons = F.array_compact(F.array(F.when(~F.col("ok"), F.lit("quote")), F.when(F.col("n_players") == 0, F.lit("no_players")), F.when(~F.col("dated"), F.lit("not_dated"))))
-    return _checks(spark, d).select("doc_id", F.array_join(reasons, ",").alias("reasons"), (F.col("ok") & (F.col("n_players") > 0) & F.col("dated")).alias("grounded"))
+    quote = F.when(F.length("quote") < 20, "no_quote").when(~F.col("ok"), "quote_unverified")
+    reasons = F.array_compact(F.array(quote, F.when(F.col("n_players") == 0, F.lit("no_players")), F.when(~F.col("dated") & ~F.col("measured"), F.lit("neither_dated_nor_measured"))))
+    return _checks(spark, d).select("doc_id", F.array_join(reasons, ",").alias("reasons"), _is_grounded().alias("grounded"))
 
 
-@query("agg17_quality_report", I.sql("quotes", "docs") + _CHECK + " SELECT count(*) AS positions, count_if(ok AND n_players > 0 AND dated) AS grounded, count_if(ok AND n_players > 1 AND dated) AS two_players, count_if(NOT ok) AS no_quote FROM c")
+@query("agg17_quality_report", I.sql("quotes", "docs") + _CHECK + f" SELECT count(*) AS positions, count_if({_GROUNDED}) AS grounded, count(DISTINCT CASE WHEN {_GROUNDED} THEN quote END) AS mechanisms, count_if({_GROUNDED} AND n_players > 1) AS two_players, count_if(length(quote) < 20) AS no_quote, count_if(length(quote) >= 20 AND NOT ok) AS unverified FROM c")
 def agg17(spark, d):
-    good = F.col("ok") & F.col("dated")
-    return _checks(spark, d).agg(F.count(F.lit(1)).alias("positions"), F.count_if(good & (F.col("n_players") > 0)).alias("grounded"), F.count_if(good & (F.col("n_players") > 1)).alias("two_players"), F.count_if(~F.col("ok")).alias("no_quote"))
+    short = F.length("quote") < 20
+    return _checks(spark, d).agg(
+        F.count(F.lit(1)).alias("positions"), F.count_if(_is_grounded()).alias("grounded"), F.countDistinct(F.when(_is_grounded(), F.col("quote"))).alias("mechanisms"), F.count_if(_is_grounded() & (F.col("n_players") > 1)).alias("two_players"),
+        F.count_if(short).alias("no_quote"), F.count_if(~short & ~F.col("ok")).alias("unverified"),
+    )
 
 
-@query("d9_grounded", I.sql("quotes", "docs") + _CHECK + " SELECT doc_id, ok AND n_players >= 1 AND dated AS grounded FROM c")
+@query("d9_grounded", I.sql("quotes", "docs") + _CHECK + f" SELECT doc_id, {_GROUNDED} AS grounded FROM c")
 def d9(spark, d):
-    return _checks(spark, d).select("doc_id", (F.col("ok") & (F.col("n_players") >= 1) & F.col("dated")).alias("grounded"))
+    return _checks(spark, d).select("doc_id", _is_grounded().alias("grounded"))
 
 
-@query("flt14_relevant_rounds", "SELECT p_brand, count(*) AS kept, count(*) FILTER (WHERE NOT hit) AS dropped FROM (SELECT p_brand, len(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: length(w) > 4 AND contains(lower(p_name || ' ' || p_type), w))) > 0 AS hit FROM part JOIN lineitem ON l_partkey = p_partkey) GROUP BY 1".replace("count(*) AS kept", "count_if(hit) AS kept"))
+# A round counts for a card if its organisation is one of the card's players, or its quote has a word of the card's term. Every third quote is about another part.
+_ROUND = "'funding for ' || CASE l_linenumber % 3 WHEN 0 THEN 'something else' ELSE p_name END"
+
+
+@query("flt14_relevant_rounds", f"WITH r AS (SELECT p_brand, l_returnflag = 'R' OR len(list_filter(regexp_extract_all(lower(p_name), '[a-z]+'), lambda w: length(w) > 4 AND contains(lower({_ROUND}), w))) > 0 AS hit FROM part JOIN lineitem ON l_partkey = p_partkey) SELECT p_brand, count_if(hit) AS kept, count_if(NOT hit) AS dropped FROM r GROUP BY 1")
 def flt14(spark, d):
-    hit = F.exists(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), 0), lambda w: (F.length(w) > 4) & F.lower(F.concat_ws(" ", "p_name", "p_type")).contains(w))
-    p = table(spark, d, "part").select("p_partkey", "p_brand", hit.alias("hit")).join(table(spark, d, "lineitem").select("l_partkey"), F.col("p_partkey") == F.col("l_partkey"))
-    return p.groupBy("p_brand").agg(F.count_if("hit").alias("kept"), F.count_if(~F.col("hit")).alias("dropped"))
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_name").join(table(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_returnflag"), F.col("p_partkey") == F.col("l_partkey"))
+    quote = F.lower(F.expr(_ROUND))
+    words = F.exists(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), 0), lambda w: (F.length(w) > 4) & quote.contains(w))
+    hit = (F.col("l_returnflag") == "R") | words
+    return p.groupBy("p_brand").agg(F.count_if(hit).alias("kept"), F.count_if(~hit).alias("dropped"))
 
 
 @query("flt15_headline", "SELECT l_partkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_returnflag <> 'N' AND date_diff('day', l_shipdate::DATE, DATE '1998-01-01') BETWEEN 0 AND 760 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) = 1")
@@ -336,9 +372,12 @@ def er3(spark, d):
     return resolve.guarded_merge(pairs, rows)
 
 
-@query("er4_mechanism_groups", "WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) a JOIN (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) b ON a.vec_id < b.vec_id AND list_inner_product(a.v, b.v) >= 0.4), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a) SELECT a AS node, min(b) AS component FROM r GROUP BY 1")
+_CARDS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN p_name || ' ' || p_partkey % 5 || ' ' || p_partkey // 500 END AS term, p_type || ' ' || p_brand || ' ' || p_size AS name FROM part"
+
+
+@query("er4_mechanism_groups", f"WITH RECURSIVE c AS ({_CARDS}), e AS (SELECT id AS a, min(id) OVER (PARTITION BY term) AS b FROM c WHERE term IS NOT NULL UNION SELECT id, min(id) OVER (PARTITION BY name) FROM c), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT id, id FROM c UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a), g AS (SELECT a AS id, min(b) AS root FROM r GROUP BY 1) SELECT g.id, root, array_to_string({_W.format('coalesce(term, name)')}, ' ') AS mechanism FROM g JOIN c ON c.id = root")
 def er4(spark, d):
-    return connected_components(matching.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4), "a", "b")
+    return resolve.mechanisms(table(spark, d, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 3 <> 0 THEN p_name || ' ' || p_partkey % 5 || ' ' || p_partkey div 500 END AS term", "p_type || ' ' || p_brand || ' ' || p_size AS name"))
 
 
 @query("er5_one_to_one")
@@ -384,10 +423,14 @@ def jb3(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(parts, ";"), 256).alias("packet"))
 
 
-@query("jb4_another_pass", "SELECT doc_id, length(text) > 5000 OR (doc_id % 10 = 0 AND length(text) > 1200) AS again FROM documents")
+@query("jb4_another_pass")
 def jb4(spark, d):
-    overflow, empty = F.length("text") > 5000, F.col("doc_id") % 10 == 0
-    return table(spark, d, "documents").select("doc_id", (overflow | (empty & (F.length("text") > 1200))).alias("again"))
+    """Why a document is read once more: the answer said so, it was empty though text was unread, or unread passages bring new content."""
+    plan = plan_of_reading(spark, d)
+    n = plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("passages"), F.count_if("shown").alias("read"), F.count("unread").alias("novel"))
+    more, empty = F.col("doc_id") % 11 == 0, F.col("doc_id") % 10 == 0
+    reason = F.when(more, "more_announced").when(empty & (F.col("passages") > F.col("read")), "empty_answer").when(F.col("novel") > 0, "novel_sections")
+    return n.select("doc_id", "passages", "read", "novel", reason.alias("reason"))
 
 
 @query("jb5_hypotheses", "SELECT p_partkey, lower(p_name) AS name FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1")

@@ -146,10 +146,10 @@ def agg19(spark, d):
     return p.groupBy(F.col("p_brand").alias("leaf")).agg(F.count(F.lit(1)).alias("aliases"), F.count("l_partkey").alias("searched"), F.coalesce(F.sum("k"), F.lit(0)).alias("hits"))
 
 
-@query("agg20_distinctive_terms", "WITH w AS (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents), o AS (SELECT lang, word, count(*) AS df FROM w GROUP BY ALL), s AS (SELECT *, round(df / (1 + sum(df) OVER (PARTITION BY word) - df), 6) AS score FROM o) SELECT lang, word, df, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, word) AS rank FROM s WHERE df >= 2 QUALIFY rank <= 5")
+@query("agg20_distinctive_terms", "WITH w AS (SELECT * FROM (SELECT DISTINCT lang, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents) WHERE length(word) >= 4 AND word NOT IN ('with', 'from', 'that', 'this', 'into')), o AS (SELECT lang, word, count(*) AS df FROM w GROUP BY ALL), s AS (SELECT *, round(df / (1 + sum(df) OVER (PARTITION BY word) - df), 6) AS score FROM o) SELECT lang, word, df, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, df DESC, word DESC) AS rank FROM s WHERE df >= 2 QUALIFY rank <= 5")
 def agg20(spark, d):
-    w = table(spark, d, "documents").select("lang", "doc_id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
-    return M.distinctive(w, "lang", "word", "doc_id", 5)
+    w = table(spark, d, "documents").select("lang", "doc_id", F.explode(text.tokens(F.col("text"), 3)).alias("word"))
+    return M.distinctive(w, "lang", "word", 5)
 
 
 @query("agg21_consumer_share", I.sql("hits") + "SELECT query, round(avg(CASE WHEN regexp_matches(url, 'casino|bets|pills') THEN 1.0 ELSE 0.0 END), 6) AS share FROM hits GROUP BY 1")
