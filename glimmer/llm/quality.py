@@ -4,8 +4,7 @@ The n-grams are of `ORDER` characters: 12 bits each, so the letters of most alph
 A-Z are one symbol, digits one, code points from 2048 on share 2048), and the counts grow with the corpus. Trusted texts are counted in full:
 each task counts its texts, the counts are added up in shards of (model, n-gram), and joins of
 n-gram counts with the counts of their contexts and with the next lower order give
-the probabilities. A model is of a language and half of its trusted documents, dealt by a hash of the id, and scores the
-documents of the other half, so no document is judged by a model that has seen it.
+the probabilities. A language has one model.
 
 A document's perplexity is the join of its n-grams with the shards. What is frequent is held back from it: the `HOT` most frequent
 n-grams at most, behind a count of them, are broadcast with their probabilities and summed where the text is, so no text is
@@ -13,11 +12,12 @@ shuffled. All other n-grams of a document, rare or never seen, are counted per d
 once for all documents: in the shards of its order, or else by the weight of its context and
 the next lower order. This is the same way at every size.
 
-The threshold of a language is made of quantiles of its trusted documents, each scored by the model that has not
-seen it: of the excess, the mean surprise less the language's
+The threshold of a language is made of quantiles of trusted documents that the model has
+not seen (one in `FOLDS`, by a hash): of the excess, the mean surprise less the language's
 median times the root of the length, so short texts are not judged by the noise they
-have. A document goes if its excess is outside the quantiles LOW and HIGH: text below repeats itself. The fence is LEAST away from
-the median at least, for languages of few trusted documents.
+have. A document goes if its excess is above the quantile HIGH, or below the median by more than REACH times the lower quartile's
+distance from it: such text repeats itself, while documents that the model was trained on are only a little below. The fence is LEAST away
+from the median at least, for languages of few trusted documents.
 
 Labels are joined by document id. They grow with the documents, so both are shuffled; before that a filter of fixed size (a bit
 for each hash of an id, BLOOM_BITS in all) keeps most texts without a trusted label out of it.
@@ -43,12 +43,12 @@ from glimmer.session import table, written
 ORDER = 5
 BITS = 12
 K = 1 << BITS
-FOLDS = 2
-#: Quantiles of trusted documents that the fence stands at, and its least distance from the median.
-LOW, HIGH, LEAST = 0.001, 0.997, 6.0
-#: N-grams that are broadcast at most, 20 bytes each, and slots of their table in a task.
-HOT = 1 << 18
-_SLOTS = 20
+FOLDS = 5
+#: The quantile of held-out trusted documents that the fence stands at above; below, REACH times the distance of the quantile LOW from the median; LEAST at least.
+LOW, REACH, HIGH, LEAST = 0.25, 15.0, 0.997, 7.5
+#: N-grams that are broadcast at most, 12 bytes each, and slots of their table in a task.
+HOT = 1 << 20
+_SLOTS = 21
 BLOOM_BITS = 1 << 24
 MAX_BROADCAST = 10_000
 MAX_BROADCAST_DOCS = 500_000
@@ -166,13 +166,15 @@ def looked_up(grams: DataFrame, model: Tables, k: int = ORDER) -> DataFrame:
     return rows.where("nlp is not null").unionByName(open_.select("model", "g", (weight + F.col("low_nlp")).alias("nlp")))
 
 
-def _slot(model: np.ndarray, g: np.ndarray) -> np.ndarray:
-    mixed = (g.astype(np.uint64) ^ model.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - _SLOTS)).astype(np.int64)
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
-def _hot(seen: DataFrame, hot: int) -> pd.DataFrame:
-    """The most frequent rows of the highest order, `hot` at most: all above a count that few enough have."""
+def _hot(seen: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a table of the most frequent n-grams, `hot` at most: all above a count that few enough have.
+
+    The key is the n-gram's bits turned by the model's hash. Each has one slot; of two in one the more frequent is kept, the other is looked up like the rest.
+    """
     level = F.floor(F.log2("c") * 8).cast("int")
     sizes = seen.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()  # 8 rows a power of two
     least, held = None, 0
@@ -181,40 +183,38 @@ def _hot(seen: DataFrame, hot: int) -> pd.DataFrame:
         if held > hot:
             break
         least = r["level"]
-    if least is None:
-        return pd.DataFrame({"model": [], "g": [], "c": [], "nlp": []}).astype({"model": "int64", "g": "int64", "c": "int64", "nlp": "float64"})
-    return seen.where(level >= least).toPandas()
+    keys, values = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.float32)
+    if least is not None:
+        rows = seen.where(level >= least).select(F.col("g").bitwiseXOR(F.col("model")).alias("key"), F.least("c", F.lit((1 << 31) - 1)).cast("int").alias("c"), F.col("nlp").cast("float").alias("nlp")).toArrow()
+        key, order = rows["key"].to_numpy(), np.argsort(rows["c"].to_numpy(), kind="stable")
+        at = _slot(key)
+        keys[at[order]], values[at[order]] = key[order], rows["nlp"].to_numpy()[order]
+    return keys, values
 
 
 def scores(docs: DataFrame, model: Tables, keys: list[str], hot: int = HOT) -> DataFrame:
     """(keys, _surprise, _n) for each row of `docs` (model, text, keys): the sum of -log p over the n characters of the text, null where there is no
     model or text."""
     spark = docs.sparkSession
-    frequent = _hot(model[-1][0], hot)
-    slots = (np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.int64), np.zeros(1 << _SLOTS, np.float32))
-    frequent = frequent.sort_values(["c", "model", "g"])  # of two in one slot the more frequent is kept, the other is looked up
-    at = _slot(frequent.model.to_numpy(), frequent.g.to_numpy())
-    for held, c in zip(slots, ("g", "model", "nlp"), strict=True):
-        held[at] = frequent[c].to_numpy()
-    sent = spark.sparkContext.broadcast(slots)
+    sent = spark.sparkContext.broadcast(_hot(model[-1][0], hot))
     known = model[0][0].select("model").distinct().withColumn("_known", F.lit(True))
     known = F.broadcast(known) if known.count() <= MAX_BROADCAST else known
-    rows = docs.select(*keys, "model", "text").join(known, "model", "left").select(*keys, F.when(F.col("_known") & (F.length("text") > 0), F.col("model")).alias("model"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(*keys, "model", "text").join(known, "model", "left").select(*keys, F.coalesce("model", F.lit(0).cast("long")).alias("model"), F.coalesce(F.col("_known") & (F.length("text") > 0), F.lit(False)).alias("_known"), F.coalesce("text", F.lit("")).alias("text"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot_g, hot_model, hot_nlp = sent.value
+        hot_keys, hot_nlp = sent.value
         for pdf in batches:
             total, n = np.zeros(len(pdf)), np.fromiter(map(len, pdf.text), np.int64, len(pdf))
             miss: list[list] = [[] for _ in range(len(pdf))]
             times: list[list] = [[] for _ in range(len(pdf))]
-            index = np.flatnonzero(pdf.model.notna().to_numpy())
-            own, models = [pdf.text.iat[i] for i in index], pdf.model.iloc[index].to_numpy().astype(np.int64)
+            index = np.flatnonzero(pdf["_known"].to_numpy(bool))
+            own, models = [pdf.text.iat[i] for i in index], pdf.model.to_numpy(np.int64)[index]  # no nulls: these would make floats of the hashes
             for a, b in _pieces(own):
                 g, lengths = _grams(own[a:b])
                 ends = np.cumsum(lengths)
-                m = np.repeat(models[a:b], lengths)
-                at = _slot(m, g)
-                hit = (hot_g[at] == g) & (hot_model[at] == m)
+                key = g ^ np.repeat(models[a:b], lengths)
+                at = _slot(key)
+                hit = hot_keys[at] == key
                 total[index[a:b]] = np.add.reduceat(np.where(hit, hot_nlp[at], 0.0), ends - lengths)
                 rest = np.flatnonzero(~hit)
                 cuts = np.searchsorted(rest, ends)
@@ -225,13 +225,13 @@ def scores(docs: DataFrame, model: Tables, keys: list[str], hot: int = HOT) -> D
             yield pdf.drop(columns="text").assign(_total=total, _n=n, _miss=miss, _times=times)
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    part = rows.mapInPandas(score, f"{kinds}, model long, _total double, _n long, _miss array<long>, _times array<long>")
+    part = rows.mapInPandas(score, f"{kinds}, model long, _known boolean, _total double, _n long, _miss array<long>, _times array<long>")
     part = written(part.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rest = part.where(F.size("_miss") > 0).select("_row", "model", F.explode(F.arrays_zip(F.col("_miss").alias("g"), F.col("_times").alias("m"))).alias("x")).select("_row", "model", "x.g", "x.m")
     # Written, so that the join back is of plain tables and an n-gram of very many documents is split.
     found = written(looked_up(rest.select("model", "g").distinct(), model), "looked-up")
     sums = rest.join(found, ["model", "g"]).groupBy("_row").agg(F.sum(F.col("nlp") * F.col("m")).alias("_more"))
-    surprise = F.when(F.col("model").isNotNull(), F.col("_total") + F.coalesce("_more", F.lit(0.0)))
+    surprise = F.when(F.col("_known"), F.col("_total") + F.coalesce("_more", F.lit(0.0)))
     return part.drop("_miss", "_times").join(sums, "_row", "left").select(*keys, surprise.alias("_surprise"), "_n")
 
 
@@ -242,9 +242,9 @@ def _hashed_id() -> Column:
 def _may_be_in(ids: DataFrame) -> Column:
     """Whether the id of a row may be among `ids`: true for all that are, and for few others while there are fewer than BLOOM_BITS."""
     place = F.pmod(_hashed_id(), F.lit(BLOOM_BITS))
-    words = ids.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("x")).toPandas()  # BLOOM_BITS / 64 rows at most
+    words = ids.select(place.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("x")).toArrow()  # BLOOM_BITS / 64 rows at most
     bits = np.zeros(BLOOM_BITS // 64, np.int64)
-    bits[words.w.to_numpy(np.int64)] = words.x.to_numpy(np.int64)
+    bits[words["w"].to_numpy().astype(np.int64)] = words["x"].to_numpy()
     sent = ids.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -263,25 +263,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_key1": F.xxhash64("doc_id", "lang", "text"), "_key2": F.xxhash64("text", "lang", "doc_id", F.lit("2"))})
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, least: float = LEAST, hot: int = HOT) -> DataFrame:
+def verdicts(docs: DataFrame, labels: DataFrame, low: float = LOW, reach: float = REACH, high: float = HIGH, least: float = LEAST, hot: int = HOT) -> DataFrame:
     """(doc_id, lang, _key1, _key2, _n, _perplexity, _excess, _low, _high, _keep) for each row of `docs` (doc_id, lang, text), without the text."""
-    fold = F.pmod(_hashed_id(), F.lit(FOLDS)).cast("int")
+    held_out = F.pmod(_hashed_id(), F.lit(FOLDS)) == 0
     lang = F.coalesce(F.col("lang"), F.lit(""))
     trusted = written(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct(), "trusted")
     slim = docs.select("doc_id", "lang", "text")
     # Both grow, so this join shuffles at every size, each text once.
-    training = slim.where("length(text) > 0 and doc_id is not null").where(_may_be_in(trusted)).join(trusted.hint("merge"), "doc_id", "left_semi")
-    model = tables(count_grams(training.select(F.xxhash64(lang, fold).alias("model"), "text")))
-    rows = _keyed(slim).withColumn("model", F.xxhash64(lang, (fold + 1) % FOLDS))
+    training = slim.where("length(text) > 0 and doc_id is not null").where(~held_out).where(_may_be_in(trusted)).join(trusted.where(~held_out).hint("merge"), "doc_id", "left_semi")
+    model = tables(count_grams(training.select(F.xxhash64(lang).alias("model"), "text")))
+    rows = _keyed(slim).withColumn("model", F.xxhash64(lang))
     found = written(scores(rows, model, ["doc_id", "lang", *_KEYS], hot).withColumns({"_mean": F.col("_surprise") / F.col("_n"), "_lang": lang}), "scores")
-    sample = found.where("_mean is not null").join(trusted.hint("merge"), "doc_id", "left_semi").select("_lang", "_mean", "_n")
+    sample = found.where("_mean is not null").where(held_out).join(trusted.where(held_out).hint("merge"), "doc_id", "left_semi").select("_lang", "_mean", "_n")
     sample = written(sample, "sample")
     mid = sample.groupBy("_lang").agg(F.percentile_approx("_mean", 0.5, 10_000).alias("_mid"))
     excess = (F.col("_mean") - F.col("_mid")) * F.sqrt("_n")
     ends = sample.join(mid, "_lang").withColumn("e", excess).groupBy("_lang", "_mid").agg(F.percentile_approx("e", [low, 0.5, high], 10_000).alias("q"))
     q = F.col("q")
     # A row for each language.
-    fences = written(ends.select("_lang", "_mid", F.least(q[0], q[1] - least).alias("_low"), F.greatest(q[2], q[1] + least).alias("_high")), "fences")
+    fences = written(ends.select("_lang", "_mid", (q[1] - F.greatest(reach * (q[1] - q[0]), F.lit(least))).alias("_low"), F.greatest(q[2], q[1] + least).alias("_high")), "fences")
     if fences.count() <= MAX_BROADCAST:
         fences = F.broadcast(fences)
     found = found.join(fences, "_lang", "left").withColumn("_excess", excess)
