@@ -16,6 +16,34 @@ LEGAL_WORDS = ["inc", "ltd", "llc", "corp", "corporation", "gmbh", "co", "compan
 RULE_SETTERS = ["iso", "iec", "ieee", "ietf", "nist", "etsi", "itu", "w3c", "owasp", "enisa", "fda", "esma"]
 TASK_WORDS = ["find", "show", "search", "list", "early", "weak", "signals", "signal", "trends", "trend", "technologies", "technology", "news"]
 
+# Marks that tell families of technologies apart, by pattern of the lower-case text.
+TECH_FAMILIES = {
+    "фотон": r"фотон|photonic|оптическ|optical",
+    "аналог": r"аналогов|analog|смешанно-сигнальн|mixed-signal",
+    "цифров": r"цифров|digital",
+    "нейроморф": r"нейроморф|neuromorphic|спайков|spiking",
+    "в_памяти": r"в памяти|in-?memory|compute-in-memory|кросс-барн|crossbar",
+    "в_пикселе": r"в пиксел|in-?pixel|processing-in-pixel|внутри сенсора|in-?sensor",
+    "квант": r"квантов|quantum",
+    "npu": r"\bnpu\b|нейропроцессор|ускорител[ья] нейронн",
+    "доверенная_среда": r"\btee\b|доверенн[ойая] сред|корн[ейи] доверия|root of trust|\bsgx\b|\bpuf\b",
+    "федеративное": r"федеративн|federated",
+    "lora_адаптеры": r"\blora\b|адаптер",
+    "lorawan": r"lorawan|\blpwan\b",
+    "слм": r"\bslm\b|мал[ыхые] языков|small language",
+    "спекулятивный": r"спекулятивн|speculative",
+    "событийный": r"событийн|event-based|event-driven|dvs\b",
+}
+# Two texts of which one has the first mark and the other the second are never one thing.
+TECH_FORBIDDEN = [
+    (r"\banalog\b|аналогов", r"\bdigital\b|цифров"),
+    (r"in-?pixel|внутри пиксел|processing-in-pixel", r"\bnpu\b|ускорител|accelerator"),
+    (r"cortex-?m|микроконтроллер", r"\bsgx\b|intel|серверн"),
+    (r"speculative decod|спекулятивн", r"flashattention|attention"),
+    (r"\blora\b|мульти-?lora", r"lorawan|\blpwan\b"),
+    (r"обучен|дообучен|fine-?tun|training", r"инференс|inference|вывод"),
+]
+
 
 @F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
@@ -116,3 +144,9 @@ def markers(text: Column, families: dict[str, str]) -> Column:
 
 def stems(text: Column, length: int = 6) -> Column:
     return F.array_distinct(F.transform(words(text), lambda w: F.substring(w, 1, length)))
+
+
+def forbidden(a: Column, b: Column, pairs: list[tuple[str, str]] = TECH_FORBIDDEN) -> Column:
+    """Number of the first pair of marks that keeps the two texts apart, in either order; null if none does."""
+    x, y = F.lower(a), F.lower(b)
+    return F.coalesce(*[F.when((x.rlike(p) & y.rlike(q)) | (y.rlike(p) & x.rlike(q)), F.lit(i)) for i, (p, q) in enumerate(pairs)])

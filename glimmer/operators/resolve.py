@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.functions.text import name_key
+from glimmer.functions.text import TECH_FAMILIES, TECH_FORBIDDEN, markers, name_key
 from glimmer.operators.components import connected_components
 from glimmer.session import written
 
@@ -96,6 +98,55 @@ def guarded_merge(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return p.groupBy("component").applyInPandas(merge, "a long, b long, score double, result string")
 
 
+def equivalents(pairs: DataFrame, rows: DataFrame, least: float = 0.90) -> DataFrame:
+    """(a, b, score, result) for pairs (a < b, score) of at least such a similarity, of rows (id, text, object).
+
+    In order of score, b joins the group of a. Nothing is inferred through a third row: a row that has joined a group takes no part in
+    further pairs, a group is not merged into another, and a row that joins has to be similar to and fit every member. Two rows fit if no rule
+    keeps their texts apart, their objects share half of their stems (an unknown object fits none), and their texts have marks of the same families.
+    The order is followed inside each component of the pairs; at such a similarity components are small.
+    """
+    pairs = written(pairs.where(F.col("score") >= least).select("a", "b", "score"), "pairs")
+    comp = connected_components(pairs, "a", "b")
+    side = rows.select("id", F.lower("text").alias("text"), F.array_distinct(F.transform(F.regexp_extract_all(F.lower("object"), F.lit(r"[\p{L}\p{N}-]{4,}"), 0), lambda w: F.substring(w, 1, 6))).alias("object"), markers(F.lower("text"), TECH_FAMILIES).alias("families"))
+    names = ["text", "object", "families"]
+    p = pairs.join(comp, pairs["a"] == comp["node"]).drop("node")
+    for end in "ab":
+        p = p.join(side.toDF(end, *[f"{n}_{end}" for n in names]), end)
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        facts, group, joined, out = {}, {}, set(), []
+        for r in pdf.itertuples():
+            facts[r.a] = (r.text_a, set() if r.object_a is None else set(r.object_a), tuple(r.families_a))
+            facts[r.b] = (r.text_b, set() if r.object_b is None else set(r.object_b), tuple(r.families_b))
+        score = {(r.a, r.b): r.score for r in pdf.itertuples()}
+
+        def apart(x, y) -> str | None:
+            (t, o, f), (u, p, g) = facts[x], facts[y]
+            if any((re.search(m, t) and re.search(n, u)) or (re.search(m, u) and re.search(n, t)) for m, n in TECH_FORBIDDEN):
+                return "forbidden_pair"
+            if not o or not p or len(o & p) / len(o | p) < 0.5:
+                return "different_object"
+            return None if f == g else "different_families"
+
+        for r in pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
+            if r.a in joined or r.b in joined:
+                result = "already_joined"
+            elif group.get(r.b):
+                result = "is_a_group"
+            elif any((min(k, r.b), max(k, r.b)) not in score or apart(k, r.b) for k in group.get(r.a, [])):
+                result = "not_all_fit"
+            else:
+                result = apart(r.a, r.b) or "merged"
+                if result == "merged":
+                    group.setdefault(r.a, []).append(r.b)
+                    joined.add(r.b)
+            out.append((r.a, r.b, r.score, result))
+        return pd.DataFrame(out, columns=["a", "b", "score", "result"])
+
+    return p.groupBy("component").applyInPandas(follow, "a long, b long, score double, result string")
+
+
 def mechanisms(rows: DataFrame) -> DataFrame:
     """(id, root, mechanism) for rows (id, term, name): rows are of one mechanism if they share a term or a name, directly or through others.
     Each row is linked to the first with its term and the first with its name, so a common one makes a star, not all pairs."""
@@ -141,8 +192,6 @@ def senses(rows: DataFrame, group: str, key: str, vector: str, most: float = 0.1
 
 def abbreviations(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, abbreviation, expansion): "long form (ABBR)" aligned letter by letter from the right, first definition of a document first."""
-    import re
-
     found = re.compile(r"(?<=[ \t])\(([A-Za-z][\w-]{1,9})\)")
     before = re.compile(r"(?:[\w'-]+[ \t]+){1,12}$")
 

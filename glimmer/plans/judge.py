@@ -12,7 +12,6 @@ from glimmer.operators import decide, matching, resolve
 from glimmer.operators.components import connected_components
 from glimmer.plans import inputs as I
 from glimmer.plans.choose import plan_of_reading
-from glimmer.plans.scalar import FAMILIES
 from glimmer.registry import query
 from glimmer.session import table, written
 
@@ -367,9 +366,11 @@ def er2(spark, d):
 
 @query("er3_guarded_merge")
 def er3(spark, d):
-    pairs = matching.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.4).withColumnRenamed("cosine", "score")
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("o"), F.col("label") % 2).alias("object"), F.array((F.col("vec_id") % 3).cast("string")).alias("markers"))
-    return resolve.guarded_merge(pairs, rows)
+    """The table has no pairs of 0.9 and more, so pairs of 0.4 and more are proposed; the checks decide."""
+    e = table(spark, d, "embeddings")
+    pairs = matching.cosine_pairs(e, "vec_id", "embedding", 0.4).withColumnRenamed("cosine", "score")
+    rows = e.selectExpr("vec_id AS id", "CASE vec_id % 7 WHEN 0 THEN 'photonic circuit' WHEN 1 THEN 'digital logic' WHEN 2 THEN 'analog logic' ELSE 'plain circuit' END AS text", "CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'image sensor' ELSE 'image sensor node' END AS object")
+    return resolve.equivalents(pairs, rows, 0.4)
 
 
 _CARDS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN p_name || ' ' || p_partkey % 5 || ' ' || p_partkey // 500 END AS term, p_type || ' ' || p_brand || ' ' || p_size AS name FROM part"

@@ -133,13 +133,17 @@ def sc17(spark, d):
     return table(spark, d, "part").select("p_partkey", text.fingerprint(F.col("p_name"), F.expr("nullif(p_size, 7)")).alias("fingerprint"))
 
 
-FAMILIES = {"metal": "(?i)steel|brass|copper|nickel|tin", "small": "(?i)small|econom", "plated": "(?i)plated|polished"}
-FORBIDDEN = [("metal", "small")]
+FAMILIES = text.TECH_FAMILIES
+_TECH = "lower(p_type || ' ' || p_name || CASE p_size % 8 WHEN 0 THEN ' photonic neuromorphic' WHEN 1 THEN ' in-memory digital logic' WHEN 2 THEN ' LoRaWAN node' WHEN 3 THEN ' LoRA weights' WHEN 4 THEN ' event-driven analog' WHEN 5 THEN ' fine-tuning' WHEN 6 THEN ' NPU inference' ELSE '' END)"
+_OTHER = "CASE p_partkey % 3 WHEN 0 THEN 'digital inference by accelerator' WHEN 1 THEN 'lorawan training' ELSE 'plain' END"
+_APART = "CASE " + " ".join(f"WHEN (regexp_matches({_TECH}, '{p}') AND regexp_matches({_OTHER}, '{q}')) OR (regexp_matches({_OTHER}, '{p}') AND regexp_matches({_TECH}, '{q}')) THEN {i}" for i, (p, q) in enumerate(text.TECH_FORBIDDEN)) + " END"
 
 
-@query("sc18_family_markers", "SELECT p_partkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(p_type || ' ' || p_name, '{p}') THEN '{n}' END" for n, p in sorted(FAMILIES.items())) + f"], lambda x: x IS NOT NULL), ',') AS markers, len(list_distinct(list_transform({_W.format('p_name')}, lambda x: substr(x, 1, 6))))::INT AS stems FROM part")
+@query("sc18_family_markers", "SELECT p_partkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_TECH}, '{p}') THEN '{n}' END" for n, p in sorted(FAMILIES.items())) + f"], lambda x: x IS NOT NULL), ',') AS markers, {_APART} AS apart, len(list_distinct(list_transform({_W.format('p_name')}, lambda x: substr(x, 1, 6))))::INT AS stems FROM part")
 def sc18(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_join(text.markers(F.expr("p_type || ' ' || p_name"), FAMILIES), ",").alias("markers"), F.size(text.stems(F.col("p_name"))).alias("stems"))
+    """Families that a text has marks of, the rule that keeps it apart from another text, and the stems of its name."""
+    tech = F.expr(_TECH)
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.markers(tech, FAMILIES), ",").alias("markers"), text.forbidden(tech, F.expr(_OTHER)).alias("apart"), F.size(text.stems(F.col("p_name"))).alias("stems"))
 
 
 _ANSWER = "CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Sure: ' || props || ' done' ELSE 'no answer' END"
