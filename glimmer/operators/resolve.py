@@ -191,7 +191,9 @@ def senses(rows: DataFrame, group: str, key: str, vector: str, most: float = 0.1
 
 
 def abbreviations(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, abbreviation, expansion): "long form (ABBR)" aligned letter by letter from the right, first definition of a document first."""
+    """(key, abbreviation, expansion): "long form (ABBR)" and "ABBR (long form)", aligned letter by letter from the right; the first definition of a
+    document counts. A long form has two words or more; before a bracket an abbreviation is told by its capitals or digits."""
+    reverse = re.compile(r"(?<![\w-])([A-Za-z0-9][\w-]{1,11}) \(([^()\n]{2,60})\)")
     found = re.compile(r"(?<=[ \t])\(([A-Za-z][\w-]{1,9})\)")
     before = re.compile(r"(?:[\w'-]+[ \t]+){1,12}$")
 
@@ -217,7 +219,14 @@ def abbreviations(docs: DataFrame, key: str, text: str) -> DataFrame:
                     line = t.rfind("\n", 0, m.start()) + 1
                     words = before.search(" ".join(t[line : m.start()].split(" ")[-13:]))
                     long = align(words[0].rstrip(), m[1]) if words else None
-                    if long and m[1] not in seen and len(long) > len(m[1]):
+                    if long and m[1] not in seen and len(long) > len(m[1]) and len(long.split()) >= 2:
+                        seen.add(m[1])
+                        out.append((k, m[1], long))
+                for m in reverse.finditer(t or ""):
+                    letters = [c for c in m[1] if c.isalpha()]
+                    told = letters and (sum(c.isupper() for c in letters) >= max(2, len(letters) // 2) or len(letters) < len(m[1].replace("-", "").replace("_", "")))
+                    long = align(m[2].strip(), m[1]) if told and len(m[2].split()) >= 2 else None
+                    if long and m[1] not in seen:
                         seen.add(m[1])
                         out.append((k, m[1], long))
             yield pd.DataFrame(out, columns=[key, "abbreviation", "expansion"])

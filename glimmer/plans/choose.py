@@ -299,11 +299,19 @@ def top6(spark, d):
     return table(spark, d, "part").withColumn("n", F.row_number().over(w)).where("n <= 4").select("p_brand", "p_partkey")
 
 
-@query("top7_recovery_queries", "WITH h AS (SELECT l_partkey, count(*) AS k FROM lineitem WHERE l_quantity > 45 GROUP BY 1) SELECT p_brand AS leaf, arg_min(p_name, p_partkey) AS query FROM part LEFT JOIN h ON p_partkey = l_partkey WHERE coalesce(k, 0) < 3 GROUP BY 1")
+@query(
+    "top7_recovery_queries",
+    "WITH v AS (SELECT p_brand AS leaf, p_name AS name, min(p_partkey) AS k, count_if(p_size = 1) AS hits FROM part GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY k) AS i, sum(hits) OVER (PARTITION BY leaf) AS found FROM v QUALIFY i <= 3) SELECT leaf, coalesce(arg_min(name, i) FILTER (i > 1 AND k % 3 = 0), array_to_string(list_slice(string_split(max(name) FILTER (i = 1), ' '), 1, 6), ' ') || ' research prototype') AS query FROM n WHERE found < 3 GROUP BY leaf",
+)
 def top7(spark, d):
-    h = table(spark, d, "lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("k"))
-    p = table(spark, d, "part").join(h, F.col("p_partkey") == F.col("l_partkey"), "left").where("coalesce(k, 0) < 3")
-    return p.groupBy(F.col("p_brand").alias("leaf")).agg(F.min_by("p_name", "p_partkey").alias("query"))
+    """A leaf with under three hits is asked with its first alias that was not used, else with the first six words of its name and a suffix. Every third alias was not used."""
+    v = table(spark, d, "part").groupBy(F.col("p_brand").alias("leaf"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k"), F.count_if(F.col("p_size") == 1).alias("hits"))
+    few = v.groupBy("leaf").agg(F.sum("hits").alias("found")).where("found < 3").select("leaf")
+    n = v.join(few, "leaf").withColumn("i", F.row_number().over(Window.partitionBy("leaf").orderBy("k"))).where("i <= 3")
+    unused = F.when((F.col("i") > 1) & (F.col("k") % 3 == 0), F.col("i"))
+    own = F.max(F.when(F.col("i") == 1, F.col("name")))
+    g = n.groupBy("leaf").agg(F.min_by(F.when(unused.isNotNull(), F.col("name")), unused).alias("alias"), own.alias("own"))
+    return g.select("leaf", F.coalesce("alias", F.concat(F.array_join(F.slice(F.split("own", " "), 1, 6), " "), F.lit(" research prototype"))).alias("query"))
 
 
 @query("top8_best_per_feature", I.sql("candidates") + "SELECT object, max(total) AS total, min(event_date) AS event_date, max(len(organizations))::INT AS players FROM candidates GROUP BY 1")

@@ -271,3 +271,18 @@ def test_checks_can_fail(spark):
     assert rounds.kept.sum() > 0 and rounds.dropped.sum() > 0
     checks = set(judge.flt13(spark, SF).toPandas().reasons)
     assert any("no_quote" in r for r in checks) and any("quote_unverified" in r for r in checks) and any("no_players" in r for r in checks) and "" in checks
+
+
+def test_abbreviations_in_both_orders(spark):
+    df = spark.createDataFrame([(1, "MCP (Model Context Protocol) and a note (aside of words), then LLM (single)"), (2, "a network (NN) alone, LoRa2 (low range 2)")], "doc_id long, text string")
+    assert {(r.doc_id, r.abbreviation, r.expansion) for r in resolve.abbreviations(df, "doc_id", "text").collect()} >= {(1, "MCP", "Model Context Protocol")}
+    assert not {r.abbreviation for r in resolve.abbreviations(df, "doc_id", "text").collect()} & {"LLM", "note", "NN"}
+
+
+def test_expansions_inside_terms(spark):
+    from glimmer.plans import judge
+
+    got = judge.jb2(spark, SF).toPandas()
+    assert len(got) and got.expansion.notna().all()
+    inside = got[got.term.str.endswith(" management")]
+    assert len(inside) and inside.expansion.str.endswith(" management").all() and (inside.expansion.str.len() > inside.term.str.len()).all()
