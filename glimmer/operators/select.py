@@ -185,7 +185,21 @@ def picked(rows: DataFrame, per_query: int, per_owner: int = 2) -> DataFrame:
 
 def balanced(rows: DataFrame, limit: int, per_source: int) -> DataFrame:
     """Documents (run, group, score, sha, source, id) chosen from the least served group in turn; equal texts and full
-    sources are passed over; every row gets a reason. The counters are shared within a run, so a run is one group."""
+    sources are passed over; every row gets a reason.
+
+    The counters are shared within a run, so a run is decided in one task, but only over rows that can be chosen: of equal texts of a source the
+    first; of equal texts one more than sources can be full; of a source the first per_source + limit (at most `limit` of these are copies of what
+    was chosen, then the source is full); and of a group as many as can be chosen, be copies, or be of full sources before `limit` are chosen.
+    The windows that cut these keep only so many rows of a key before the shuffle. Rows beyond them get their reason from what the run has chosen.
+    """
+    order = [F.desc("score"), F.col("id")]
+    full = -(-limit // per_source)
+    reach = limit + limit * (full + 1) + full * (per_source + limit)
+    first = F.struct((-F.col("score")).alias("score"), "id")
+    slim = rows.select("run", "group", "score", "sha", "source", "id")
+    some = slim.groupBy("run", "group", "sha", "source").agg(F.min_by(F.struct("score", "id"), first).alias("r")).select("run", "group", "r.score", "sha", "source", "r.id")
+    for keys, most in ((["run", "group", "sha"], full + 1), (["run", "group", "source"], per_source + limit), (["run", "group"], reach)):
+        some = some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         queues = {g: list(q.sort_values(["score", "id"], ascending=[False, True]).itertuples()) for g, q in pdf.groupby("group")}
@@ -205,7 +219,16 @@ def balanced(rows: DataFrame, limit: int, per_source: int) -> DataFrame:
                 sources[r.source] = sources.get(r.source, 0) + 1
         return pdf.assign(reason=[reason.get(i, "limit") for i in pdf.index])
 
-    return rows.groupBy("run").applyInPandas(choose, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", reason string")
+    from glimmer.session import written
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema)
+    done = written(some.groupBy("run").applyInPandas(choose, types + ", reason string"), "chosen")
+    taken = done.where("reason = 'selected'")
+    copies = taken.select("run", "sha").distinct().withColumn("_copy", F.lit(True))
+    sources = taken.groupBy("run", "source").agg((F.count(F.lit(1)) >= per_source).alias("_full"))
+    out = rows.join(done.select("run", "group", "id", F.col("sha"), "reason"), ["run", "group", "id", "sha"], "left").join(copies, ["run", "sha"], "left").join(sources, ["run", "source"], "left")
+    rest = F.when(F.col("_copy"), "duplicate").when(F.col("_full"), "source_quota").otherwise("limit")
+    return out.withColumn("reason", F.coalesce("reason", rest)).select(*rows.columns, "reason")
 
 
 def within_budget(calls: DataFrame, budget: float, few: int = 200_000) -> DataFrame:

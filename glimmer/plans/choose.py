@@ -245,10 +245,14 @@ def win12(spark, d):
     return plan_of_reading(spark, d).where("unread is not null").select("doc_id", "n", F.round("fresh", 6).alias("share"), F.col("unread").alias("rank"))
 
 
+def runs_of_documents(spark, d):
+    """Documents in sixteen runs, grouped by language."""
+    return table(spark, d, "documents").select(F.concat(F.lit("r"), F.col("doc_id") % 16).alias("run"), F.col("lang").alias("group"), F.size(text.tokens(F.col("text"))).cast("double").alias("score"), F.sha2("text", 256).alias("sha"), "source", F.col("doc_id").alias("id"))
+
+
 @query("win13_balanced_selection")
 def win13(spark, d):
-    docs = table(spark, d, "documents").select(F.col("lang").alias("run"), F.concat(F.lit("g"), F.col("doc_id") % 5).alias("group"), F.size(text.tokens(F.col("text"))).cast("double").alias("score"), F.sha2("text", 256).alias("sha"), "source", F.col("doc_id").alias("id"))
-    return select.balanced(docs, 60, 8)
+    return select.balanced(runs_of_documents(spark, d), 20, 3)
 
 
 @query(

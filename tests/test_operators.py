@@ -286,3 +286,26 @@ def test_expansions_inside_terms(spark):
     assert len(got) and got.expansion.notna().all()
     inside = got[got.term.str.endswith(" management")]
     assert len(inside) and inside.expansion.str.endswith(" management").all() and (inside.expansion.str.len() > inside.term.str.len()).all()
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_win13_against_one_pass(spark, sf):
+    """The selection over whole runs in one loop, on the query's own input."""
+    from glimmer.plans import choose
+
+    path, limit, per_source = f"/root/testdata/sf{sf}", 20, 3
+    got = {r.id: r.reason for r in choose.win13(spark, path).collect()}
+    pdf = choose.runs_of_documents(spark, path).toPandas()
+    chosen = set()
+    for _, run in pdf.groupby("run"):
+        queues = {g: q.sort_values(["score", "id"], ascending=[False, True]).to_dict("records") for g, q in run.groupby("group")}
+        served, seen, sources, taken = dict.fromkeys(queues, 0), set(), {}, 0
+        while taken < limit and any(queues.values()):
+            g = min((g for g in queues if queues[g]), key=lambda g: (served[g], g))
+            r = queues[g].pop(0)
+            if r["sha"] not in seen and sources.get(r["source"], 0) < per_source:
+                chosen.add(r["id"])
+                seen.add(r["sha"])
+                taken, served[g], sources[r["source"]] = taken + 1, served[g] + 1, sources.get(r["source"], 0) + 1
+    assert len(got) == len(pdf) and {i for i, r in got.items() if r == "selected"} == chosen
+    assert {"selected", "source_quota"} <= set(got.values())
