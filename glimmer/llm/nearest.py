@@ -44,7 +44,7 @@ ROUNDS = 12
 RECALL = 0.93
 PROBES = 512
 LEAST = 2_000
-ENTRY_BLOCK = 8_192
+ENTRY_BLOCK = 2_048
 QUERY_BLOCK = 8_192
 MAX_BROADCAST_GROUPS = 100_000
 
