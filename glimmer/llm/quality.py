@@ -52,7 +52,9 @@ _SLOTS = 21
 BLOOM_BITS = 1 << 24
 MAX_BROADCAST = 10_000
 MAX_BROADCAST_DOCS = 500_000
-_PIECE = 500_000
+#: Characters and rows that a task turns into n-grams at once.
+_PIECE = 200_000
+_ROWS = 500
 
 
 @cache
@@ -203,30 +205,32 @@ def scores(docs: DataFrame, model: Tables, keys: list[str], hot: int = HOT) -> D
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot_keys, hot_nlp = sent.value
-        for pdf in batches:
-            total, n = np.zeros(len(pdf)), np.fromiter(map(len, pdf.text), np.int64, len(pdf))
-            miss: list[list] = [[] for _ in range(len(pdf))]
-            times: list[list] = [[] for _ in range(len(pdf))]
-            index = np.flatnonzero(pdf["_known"].to_numpy(bool))
-            own, models = [pdf.text.iat[i] for i in index], pdf.model.to_numpy(np.int64)[index]  # no nulls: these would make floats of the hashes
-            for a, b in _pieces(own):
-                g, lengths = _grams(own[a:b])
-                ends = np.cumsum(lengths)
-                key = g ^ np.repeat(models[a:b], lengths)
-                at = _slot(key)
-                hit = hot_keys[at] == key
-                total[index[a:b]] = np.add.reduceat(np.where(hit, hot_nlp[at], 0.0), ends - lengths)
-                rest = np.flatnonzero(~hit)
-                cuts = np.searchsorted(rest, ends)
-                for i, x, y in zip(index[a:b], [0, *cuts[:-1]], cuts, strict=True):
-                    if y > x:
-                        u, c = np.unique(g[rest[x:y]], return_counts=True)
-                        miss[i], times[i] = u.tolist(), c.tolist()
-            yield pdf.drop(columns="text").assign(_total=total, _n=n, _miss=miss, _times=times)
+        nothing = np.empty(0, np.int64)
+        for whole in batches:
+            for start in range(0, len(whole), _ROWS):
+                pdf = whole.iloc[start : start + _ROWS]
+                total, n = np.zeros(len(pdf)), np.fromiter(map(len, pdf.text), np.int64, len(pdf))
+                miss, times = [nothing] * len(pdf), [nothing] * len(pdf)
+                index = np.flatnonzero(pdf["_known"].to_numpy(bool))
+                own, models = [pdf.text.iat[i] for i in index], pdf.model.to_numpy(np.int64)[index]  # no nulls: these would make floats of the hashes
+                for a, b in _pieces(own):
+                    g, lengths = _grams(own[a:b])
+                    ends = np.cumsum(lengths)
+                    key = g ^ np.repeat(models[a:b], lengths)
+                    at = _slot(key)
+                    hit = hot_keys[at] == key
+                    total[index[a:b]] = np.add.reduceat(np.where(hit, hot_nlp[at], 0.0), ends - lengths)
+                    rest = np.flatnonzero(~hit)
+                    cuts = np.searchsorted(rest, ends)
+                    for i, x, y in zip(index[a:b], [0, *cuts[:-1]], cuts, strict=True):
+                        if y > x:
+                            miss[i], times[i] = np.unique(g[rest[x:y]], return_counts=True)
+                yield pdf.drop(columns="text").assign(_total=total, _n=n, _miss=miss, _times=times)
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     part = rows.mapInPandas(score, f"{kinds}, model long, _known boolean, _total double, _n long, _miss array<long>, _times array<long>")
     part = written(part.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    sent.unpersist()  # so that no worker holds it in what follows
     rest = part.where(F.size("_miss") > 0).select("_row", "model", F.explode(F.arrays_zip(F.col("_miss").alias("g"), F.col("_times").alias("m"))).alias("x")).select("_row", "model", "x.g", "x.m")
     # Written, so that the join back is of plain tables and an n-gram of very many documents is split.
     found = written(looked_up(rest.select("model", "g").distinct(), model), "looked-up")
