@@ -43,15 +43,29 @@ def query_plan(subjects: DataFrame, key: str, russian, primary: str, others: lis
     return english.orderBy("depth", key).limit(limit - ru.count()).unionByName(ru)
 
 
+def placed(rows: DataFrame, key: str, order: list, name: str = "place") -> DataFrame:
+    """Adds the place of each row within its key, from 1, in order. Rows are sorted by ranges and a small table of the ranges' sizes carries
+    the places on, so a key with a third of all rows is many tasks."""
+    from glimmer.session import written
+
+    dealt = written(rows.repartitionByRange(F.col(key), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    own = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    own = own.join(sizes, own[key].eqNullSafe(sizes["_key"]) & (own["_part"] == sizes["_of"]))
+    return own.select(*rows.columns, (F.col("_base") + F.col("_n")).cast("long").alias(name))
+
+
 def interleaved(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Adds `turn`, the place within the group: ordered by (turn, group), rows alternate between groups."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return placed(rows, group, [F.col(order)], "turn")
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
     """(group, batch, items) with up to `size` values of `order` in each batch."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.select(group, order, F.floor(n / size).alias("batch")).groupBy(group, "batch").agg(F.sort_array(F.collect_list(order)).alias("items"))
+    n = placed(rows.select(group, order), group, [F.col(order)], "n")
+    return n.select(group, order, F.floor((F.col("n") - 1) / size).alias("batch")).groupBy(group, "batch").agg(F.sort_array(F.collect_list(order)).alias("items"))
 
 
 def cut(text: str, size: int = 1200) -> list[tuple[int, int]]:

@@ -269,14 +269,14 @@ _STAGE_CLASS = "CASE stage WHEN 'idea' THEN 3 WHEN 'prototype' THEN 2 WHEN 'pilo
 
 @query("top1_working_order", I.sql("candidates") + f"SELECT p_partkey, row_number() OVER (PARTITION BY object ORDER BY (p_size % 10 <> 0) DESC, {_STAGE_CLASS} DESC, (organizations IS NOT NULL) DESC, total DESC, p_partkey) AS place FROM candidates")
 def top1(spark, d):
-    w = Window.partitionBy("object").orderBy(F.desc(F.col("p_size") % 10 != 0), F.desc(F.expr(_STAGE_CLASS)), F.desc(F.col("organizations").isNotNull()), F.desc("total"), "p_partkey")
-    return I.candidates(spark, d).select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    order = [F.desc(F.col("p_size") % 10 != 0), F.desc(F.expr(_STAGE_CLASS)), F.desc(F.col("organizations").isNotNull()), F.desc("total"), F.col("p_partkey")]
+    return select.placed(I.candidates(spark, d).select("p_partkey", "p_size", "stage", "organizations", "total", "object"), "object", order).select("p_partkey", "place")
 
 
 @query("top2_investigation_order", I.sql("candidates") + "SELECT p_partkey, row_number() OVER (PARTITION BY object ORDER BY (p_size % 10 <> 0) DESC, (stage = 'scaled') DESC, p_partkey) AS place FROM candidates")
 def top2(spark, d):
-    w = Window.partitionBy("object").orderBy(F.desc(F.col("p_size") % 10 != 0), F.desc(F.col("stage") == "scaled"), "p_partkey")
-    return I.candidates(spark, d).select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    order = [F.desc(F.col("p_size") % 10 != 0), F.desc(F.col("stage") == "scaled"), F.col("p_partkey")]
+    return select.placed(I.candidates(spark, d).select("p_partkey", "p_size", "stage", "object"), "object", order).select("p_partkey", "place")
 
 
 @query("top3_final_cards", I.sql("candidates") + ", a AS (SELECT *, stage = 'idea' AS absorbed FROM candidates), r AS (SELECT p_partkey, object, absorbed, row_number() OVER (PARTITION BY object, absorbed ORDER BY total DESC, p_partkey) AS n FROM a) SELECT p_partkey, CASE WHEN absorbed THEN 'absorbed' WHEN n <= 15 THEN 'shown' ELSE 'below_the_cut' END AS state FROM r")

@@ -309,3 +309,23 @@ def test_win13_against_one_pass(spark, sf):
                 taken, served[g], sources[r["source"]] = taken + 1, served[g] + 1, sources.get(r["source"], 0) + 1
     assert len(got) == len(pdf) and {i for i, r in got.items() if r == "selected"} == chosen
     assert {"selected", "source_quota"} <= set(got.values())
+
+
+def test_places_over_ranges(spark):
+    """A key with most rows and ties by value, dealt over many ranges."""
+    from glimmer.operators import measures
+
+    rng = np.random.default_rng(7)
+    rows = [("hot" if i % 10 else None, int(v), i) for i, v in enumerate(rng.integers(0, 50, 4000))]
+    df = spark.createDataFrame(rows, "k string, v int, id long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.place for r in select.placed(df, "k", [F.desc("v"), F.col("id")]).collect()}
+        at = {(r.k, r.v): (r.lo, r.hi) for r in measures.places(df.where("k is not null"), "k", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in ("hot", None):
+        order = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
+    values = sorted(r[1] for r in rows if r[0] == "hot")
+    assert all(values[lo:hi] == [v] * (hi - lo) for (_, v), (lo, hi) in at.items()) and sum(hi - lo for lo, hi in at.values()) == len(values)
