@@ -55,7 +55,7 @@ def most_informative(answers: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def places(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value, lo, hi, k): a key's k values in order hold this value at places lo to hi - 1, from 0; nulls are left out.
+    """(key, value, lo, hi, total): a key's total values in order hold this value at places lo to hi - 1, from 0; nulls are left out.
 
     Equal values are counted first, distinct ones are sorted by ranges, and a small table of the ranges' sums carries the places on: no task sees a whole key.
     """
@@ -63,9 +63,9 @@ def places(rows: DataFrame, key: str, value: str) -> DataFrame:
     dealt = written(counts.repartitionByRange(key, value).withColumn("part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy(key)
     sums = dealt.groupBy(key, "part").agg(F.sum("m").alias("s"))
-    sums = sums.select(key, "part", F.coalesce(F.sum("s").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("s").over(own).alias("k"))
+    sums = sums.select(key, "part", F.coalesce(F.sum("s").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("s").over(own).alias("total"))
     inside = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("upto", F.sum("m").over(inside)).join(sums, [key, "part"]).select(key, value, (F.col("base") + F.col("upto") - F.col("m")).alias("lo"), (F.col("base") + F.col("upto")).alias("hi"), "k")
+    return dealt.withColumn("upto", F.sum("m").over(inside)).join(sums, [key, "part"]).select(key, value, (F.col("base") + F.col("upto") - F.col("m")).alias("lo"), (F.col("base") + F.col("upto")).alias("hi"), "total")
 
 
 def _at(place: Column, value: str) -> Column:
@@ -74,13 +74,13 @@ def _at(place: Column, value: str) -> Column:
 
 def nearest_rank(rows: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
     """Percentiles per key by nearest rank: the element at round-half-even(p * (n - 1))."""
-    return places(rows, key, value).groupBy(key).agg(*[_at(F.bround(F.lit(p) * (F.col("k") - 1)), value).alias(n) for n, p in at.items()], F.max(value).alias("most"))
+    return places(rows, key, value).groupBy(key).agg(*[_at(F.bround(F.lit(p) * (F.col("total") - 1)), value).alias(n) for n, p in at.items()], F.max(value).alias("most"))
 
 
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Median (interpolated), p95 (element int(0.95 n) - 1, from 0) and count per key."""
     n = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    low, high = F.floor((F.col("k") - 1) / 2), F.ceil((F.col("k") - 1) / 2)
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
     p95 = F.greatest(F.floor(F.lit(95) * F.col("n") / 100), F.lit(1)) - 1
     found = places(rows, key, value).join(n, F.col(key).eqNullSafe(F.col("_key"))).groupBy(key, "n").agg(_at(low, value).alias("a"), _at(high, value).alias("b"), _at(p95, value).alias("p95"))
     return found.select(key, F.round((F.col("a") + F.col("b")) / 2, 6).alias("median"), "p95", "n")
