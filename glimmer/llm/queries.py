@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from glimmer.llm import chats, decontaminate, html, licenses, mix, nearest, quality, secrets, simhash, warc
+from glimmer.llm import align, chats, decontaminate, html, licenses, mix, nearest, quality, repair, secrets, simhash, syncmers, warc
 
 _QUERIES: dict[str, Callable] = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,9 @@ _QUERIES: dict[str, Callable] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_nearest": nearest.op9_nearest,
     "op10_secrets": secrets.op10_secrets,
+    "op11_syncmers": syncmers.op11_syncmers,
+    "op12_align": align.op12_align,
+    "op13_repair": repair.op13_repair,
 }
 _SQL: dict[str, str] = {
     "op2_chats": chats.OP2_SQL,
