@@ -56,7 +56,40 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(orgs, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("mechanism"), F.col("p_brand").alias("object"), "organizations", F.coalesce("total", F.lit(0).cast("long")).alias("total"), "event_date", F.expr("element_at(array('idea', 'prototype', 'pilot', 'limited_sales', 'scaled', 'unknown'), cast(p_size % 6 + 1 as int))").alias("stage"), "p_size")
 
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results (query, key, url, vector): 20 embeddings a query (5 in every seventh), each near the seed of its reading, of seven kinds of query:
+    one reading; two that are far apart; two that are near; six; a consumer reading as the largest, and as the smaller; few results."""
+    norm = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 20).alias("query"), (F.col("vec_id") % 20).alias("s"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = e.withColumn("u", norm(F.col("v"))).withColumn("kind", F.col("query") % 7)
+    split = F.when(F.col("kind") == 5, 16).otherwise(12)
+    g = F.when(F.col("kind").isin(0, 6), 0).when(F.col("kind") == 3, F.col("s") % 6).otherwise((F.col("s") >= split).cast("int")).cast("long")
+    seeds = e.where("s < 6").select("query", F.col("s").alias("g"), F.col("u").alias("seed"))
+    first = seeds.where("g = 0").select("query", F.col("seed").alias("own"))
+    along = F.aggregate(F.zip_with("seed", "own", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    aside = norm(F.zip_with("seed", F.transform("own", lambda y: y * along), lambda x, y: x - y))
+    near = F.zip_with("own", aside, lambda x, y: x * 0.815 + y * 0.5795)
+    rows = e.where("kind <> 6 or s < 5").withColumn("g", g).join(seeds, ["query", "g"]).join(first, "query")
+    base = F.when(F.col("kind").isin(2, 5) & (F.col("g") == 1), near).otherwise(F.col("seed"))
+    page = F.when((F.col("kind") == 4) & (F.col("g") == 0) & (F.col("s") % 2 == 0), "/download").when((F.col("kind") == 5) & ((F.col("g") == 1) | (F.col("s") < 5)), "/download").otherwise("")
+    host = F.when(F.col("query") % 14 == 7, F.col("s") % 3).otherwise(F.col("vec_id") % 9)
+    return rows.select("query", F.col("vec_id").alias("key"), F.concat(F.lit("https://site"), host, F.lit(".example.org/"), "vec_id", page).alias("url"), norm(F.zip_with(base, "u", lambda x, y: x + y * 0.05)).alias("vector"))
+
+
 SQL = {
+    # The reading g is known here; the queries have to find it.
+    "results": "e AS (SELECT vec_id, vec_id // 20 AS query, vec_id % 20 AS s, (vec_id // 20) % 7 AS kind, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings), "
+    "eg AS (SELECT *, CASE WHEN kind IN (0, 6) THEN 0 WHEN kind = 3 THEN s % 6 WHEN kind = 5 THEN (s >= 16)::INT ELSE (s >= 12)::INT END AS g FROM e WHERE kind <> 6 OR s < 5), "
+    "eb AS (SELECT eg.*, a.u AS seed, b.u AS own, list_dot_product(a.u, b.u) AS along FROM eg JOIN e a ON a.query = eg.query AND a.s = eg.g JOIN e b ON b.query = eg.query AND b.s = 0), "
+    "ea AS (SELECT *, list_transform(range(1, len(seed) + 1), lambda i: seed[i] - along * own[i]) AS aside FROM eb), "
+    "ew AS (SELECT *, CASE WHEN kind IN (2, 5) AND g = 1 THEN list_transform(range(1, len(seed) + 1), lambda i: own[i] * 0.815::DOUBLE + aside[i] / sqrt(list_dot_product(aside, aside)) * 0.5795::DOUBLE) ELSE seed END AS base FROM ea), "
+    "ev AS (SELECT *, list_transform(range(1, len(seed) + 1), lambda i: base[i] + u[i] * 0.05::DOUBLE) AS w FROM ew), "
+    "results AS (SELECT query, vec_id AS key, g, 'https://site' || (CASE WHEN query % 14 = 7 THEN s % 3 ELSE vec_id % 9 END) || '.example.org/' || vec_id || (CASE WHEN kind = 4 AND g = 0 AND s % 2 = 0 OR kind = 5 AND (g = 1 OR s < 5) THEN '/download' ELSE '' END) AS url, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS vector FROM ev), "
+    "readings AS (SELECT *, min(key) OVER (PARTITION BY query, g) AS sense, count(*) OVER (PARTITION BY query, g) AS n, regexp_matches(url, '/download') AS consumer FROM results), "
+    "placed AS (SELECT *, dense_rank() OVER (PARTITION BY query ORDER BY n DESC, sense) AS place FROM readings), "
+    "sums AS (SELECT query, d, sum(x) FILTER (place = 1) AS x1, sum(x) FILTER (place = 2) AS x2 FROM (SELECT query, place, unnest(vector) AS x, unnest(range(len(vector))) AS d FROM placed WHERE place <= 2) GROUP BY ALL), "
+    "cosines AS (SELECT query, sum(x1 * x2) / sqrt(sum(x1 * x1) * sum(x2 * x2)) AS cosine FROM sums GROUP BY 1), "
+    "gate AS (SELECT query, count(*) AS hits, count(DISTINCT regexp_extract(url, '//([^/]*)/', 1)) AS hosts, max(place) AS groups, count_if(place = 1) / count(*) AS top, count_if(place = 2) / count(*) AS second, count_if(place = 1 AND consumer) / count_if(place = 1) AS consumer FROM placed GROUP BY 1)",
     "hits": "hits AS (SELECT page_id, url, 'q' || (page_id % 7) AS query, (['mechanism','product','funding','standard'])[page_id % 4 + 1] AS lens, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS position FROM pages)",
     "docs": "docs AS (SELECT doc_id, 'https://' || source || '.example.org/' || doc_id AS url, source, lang, text, sha256(text) AS sha, CASE WHEN doc_id % 3 <> 0 THEN strftime(DATE '2023-01-01' + (doc_id % 1200)::INT, '%Y-%m-%d') END AS published_at FROM documents)",
     "pdates": "pdates AS (SELECT o_orderkey, o_orderpriority, coalesce(CASE o_orderkey % 11 WHEN 0 THEN '2025-13' WHEN 1 THEN '0000' WHEN 2 THEN 'soon' END, substr(strftime(o_orderdate, '%Y-%m-%d'), 1, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 7 ELSE 10 END)) AS d FROM orders), "

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import text, urls
+from glimmer.operators import gate
 from glimmer.operators import measures as M
 from glimmer.plans import inputs as I
 from glimmer.registry import query
@@ -152,9 +153,11 @@ def agg20(spark, d):
     return M.distinctive(w, "lang", "word", 5)
 
 
-@query("agg21_consumer_share", I.sql("hits") + "SELECT query, round(avg(CASE WHEN regexp_matches(url, 'casino|bets|pills') THEN 1.0 ELSE 0.0 END), 6) AS share FROM hits GROUP BY 1")
+@query("agg21_consumer_share", I.sql("results") + "SELECT query, round(consumer, 6) AS share FROM gate")
 def agg21(spark, d):
-    return I.hits(spark, d).groupBy("query").agg(F.round(F.avg(F.when(F.col("url").rlike("casino|bets|pills"), 1.0).otherwise(0.0)), 6).alias("share"))
+    """Of the largest reading of each query."""
+    rows = gate.readings(I.results(spark, d)).where("place = 1")
+    return rows.groupBy("query").agg(F.round(F.avg(F.col("consumer").cast("double")), 6).alias("share"))
 
 
 @query("agg22_centroid_cosines", "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS d FROM embeddings), m AS (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1), u AS (SELECT label, d, x / n AS x FROM m JOIN n USING (label)) SELECT p.label AS a, q.label AS b, round(sum(p.x * q.x), 5) AS cosine FROM u p JOIN u q ON p.d = q.d AND p.label < q.label GROUP BY ALL")
