@@ -57,6 +57,14 @@ def placed(rows: DataFrame, key: str, order: list, name: str = "place") -> DataF
     return own.select(*rows.columns, (F.col("_base") + F.col("_n")).cast("long").alias(name))
 
 
+def least_used(variants: DataFrame, leaf: str, used: str, order: list[str], budget: int) -> DataFrame:
+    """The first `budget` variants, each time the next one (by `order`) of the leaf that is used least, ties to the least leaf. `used` is the
+    leaf's count before. Taking one raises its leaf by one, so the i-th variant of a leaf comes at the level used + i, and leaves are filled like basins: a
+    sort by level, of which the first ones are kept."""
+    placed_rows = placed(variants, leaf, [F.col(c) for c in order], "_nth")
+    return placed_rows.withColumn("_level", F.col(used) + F.col("_nth")).orderBy("_level", leaf).limit(budget).drop("_nth", "_level")
+
+
 def interleaved(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Adds `turn`, the place within the group: ordered by (turn, group), rows alternate between groups."""
     return placed(rows, group, [F.col(order)], "turn")

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import text, urls
-from glimmer.operators import matching, select
+from glimmer.operators import matching, redirects, select
 from glimmer.plans import inputs as I
 from glimmer.registry import query
-from glimmer.session import table
+from glimmer.session import table, written
 
 _HOST = I.SQL["host"]
 _KEY = "regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '')"
@@ -34,11 +34,17 @@ def jon1(spark, d):
     return keys.join(hits, "k", "left").groupBy("doc_id").agg(F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set("query")), ","), F.lit("")), F.lit("unassigned")).alias("queries"), F.coalesce(F.min("position"), F.lit(9999).cast("long")).alias("position"))
 
 
-@query("jon2_leaf_coverage", "SELECT p_brand AS leaf, count(DISTINCT p_partkey) AS documents, count(DISTINCT CASE WHEN l_partkey IS NOT NULL THEN p_partkey END) AS extracted, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN p_partkey END) AS candidates FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+_MOVED = "CASE WHEN id % 56 IN (48, 49) THEN id + 1 WHEN id % 56 = 50 THEN id - 2 WHEN id % 56 = 51 THEN id - 1 WHEN id % 40 = 13 THEN 13 WHEN id % 56 < 48 AND id % 16 <> 0 THEN id - 1 END"
+_ENDS = f"u AS (SELECT p_partkey AS id, p_brand AS leaf, p_size FROM part), r AS (SELECT id AS src, {_MOVED} AS dst FROM u WHERE {_MOVED} <> id), walk AS (SELECT src, dst AS here FROM r UNION SELECT walk.src, r.dst FROM walk JOIN r ON r.src = walk.here), loops AS (SELECT src FROM walk WHERE src = here), ends AS (SELECT src, coalesce(min(here) FILTER (here NOT IN (SELECT src FROM r)), min(here) FILTER (here IN (SELECT src FROM loops))) AS final FROM walk GROUP BY 1), f AS (SELECT u.*, coalesce(final, id) AS final FROM u LEFT JOIN ends ON src = id)"
+
+
+@query("jon2_leaf_coverage", f"WITH RECURSIVE {_ENDS}, l AS (SELECT DISTINCT leaf, final FROM f WHERE p_size % 3 = 0) SELECT leaf, count(id) FILTER (id % 2 = 0) AS documents, count(id) FILTER (id % 4 = 0) AS extraction, count(id) FILTER (id % 12 = 0) AS candidates FROM l LEFT JOIN f USING (final) GROUP BY 1".replace("l LEFT JOIN f USING (final)", "l LEFT JOIN (SELECT id, final FROM f) USING (final)"))
 def jon2(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-    per = li.groupBy("l_partkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("f"))
-    return table(spark, d, "part").join(per, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy(F.col("p_brand").alias("leaf")).agg(F.count(F.lit(1)).alias("documents"), F.count("l_partkey").alias("extracted"), F.count_if("f").alias("candidates"))
+    """Addresses are parts: some end in chains, in loops, before loops, and many at one."""
+    u = table(spark, d, "part").select(F.col("p_partkey").alias("url"), F.col("p_brand").alias("leaf"), "p_size")
+    ends = redirects.resolved(u.select(F.col("url").alias("src"), F.expr(_MOVED.replace("id", "url")).alias("dst")))
+    stages = {name: u.where(F.col("url") % n == 0) for name, n in (("documents", 2), ("extraction", 4), ("candidates", 12))}
+    return redirects.leaf_coverage(u.where("p_size % 3 = 0").select("url", "leaf"), stages, ends)
 
 
 @query("jon3_date_lookup", I.sql("docs") + "SELECT p.page_id, coalesce(a.published_at, b.published_at) AS published_at FROM (SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'https://src' || (page_id % 20) || '.example.org/' || page_id ELSE 'https://src' || (page_id % 20) || '.example.org/' || page_id || '/' END AS url FROM pages) p LEFT JOIN docs a ON a.url = p.url LEFT JOIN docs b ON b.url = regexp_replace(p.url, '/+$', '')")
@@ -303,19 +309,29 @@ def top6(spark, d):
     return table(spark, d, "part").withColumn("n", F.row_number().over(w)).where("n <= 4").select("p_brand", "p_partkey")
 
 
+_LEAVES = "v AS (SELECT p_brand AS leaf, p_name AS name, min(p_partkey) AS k, count_if(p_size = 1) AS hits FROM part GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY k) AS i, sum(hits) OVER (PARTITION BY leaf) AS found FROM v QUALIFY i <= 3), q AS (SELECT leaf, coalesce(arg_min(name, i) FILTER (i > 1 AND k % 3 = 0), array_to_string(list_slice(string_split(max(name) FILTER (i = 1), ' '), 1, 6), ' ') || ' research prototype') AS query FROM n WHERE found < 3 GROUP BY leaf)"
+
+
 @query(
     "top7_recovery_queries",
-    "WITH v AS (SELECT p_brand AS leaf, p_name AS name, min(p_partkey) AS k, count_if(p_size = 1) AS hits FROM part GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY k) AS i, sum(hits) OVER (PARTITION BY leaf) AS found FROM v QUALIFY i <= 3) SELECT leaf, coalesce(arg_min(name, i) FILTER (i > 1 AND k % 3 = 0), array_to_string(list_slice(string_split(max(name) FILTER (i = 1), ' '), 1, 6), ' ') || ' research prototype') AS query FROM n WHERE found < 3 GROUP BY leaf",
+    f"WITH {_LEAVES}, u AS (SELECT leaf, count_if(k % 3 <> 0) + (leaf IN (SELECT leaf FROM q))::INT AS used FROM v GROUP BY 1), w AS (SELECT v.leaf, v.name, used + row_number() OVER (PARTITION BY v.leaf ORDER BY v.k, v.name) AS level FROM v JOIN u USING (leaf) WHERE v.k % 3 = 0 AND NOT EXISTS (SELECT 1 FROM q WHERE q.leaf = v.leaf AND q.query = v.name)) SELECT leaf, query, 'recovery' AS kind FROM q UNION ALL SELECT leaf, name, 'variant' FROM (SELECT * FROM w ORDER BY level, leaf LIMIT 40)",
 )
 def top7(spark, d):
-    """A leaf with under three hits is asked with its first alias that was not used, else with the first six words of its name and a suffix. Every third alias was not used."""
+    """A leaf with under three hits is asked with its first alias that was not used, else with the first six words of its name and a suffix. Every third alias
+    was not used; forty of those left follow, each time one of the leaf that is used least."""
     v = table(spark, d, "part").groupBy(F.col("p_brand").alias("leaf"), F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k"), F.count_if(F.col("p_size") == 1).alias("hits"))
+    v = written(v, "variants")
     few = v.groupBy("leaf").agg(F.sum("hits").alias("found")).where("found < 3").select("leaf")
     n = v.join(few, "leaf").withColumn("i", F.row_number().over(Window.partitionBy("leaf").orderBy("k"))).where("i <= 3")
     unused = F.when((F.col("i") > 1) & (F.col("k") % 3 == 0), F.col("i"))
     own = F.max(F.when(F.col("i") == 1, F.col("name")))
     g = n.groupBy("leaf").agg(F.min_by(F.when(unused.isNotNull(), F.col("name")), unused).alias("alias"), own.alias("own"))
-    return g.select("leaf", F.coalesce("alias", F.concat(F.array_join(F.slice(F.split("own", " "), 1, 6), " "), F.lit(" research prototype"))).alias("query"))
+    q = g.select("leaf", F.coalesce("alias", F.concat(F.array_join(F.slice(F.split("own", " "), 1, 6), " "), F.lit(" research prototype"))).alias("query"))
+    used = v.groupBy("leaf").agg(F.count_if(F.col("k") % 3 != 0).alias("used")).join(q.select("leaf", F.lit(1).alias("asked")), "leaf", "left")
+    used = used.select("leaf", (F.col("used") + F.coalesce("asked", F.lit(0))).alias("used"))
+    rest = v.where("k % 3 = 0").join(q.select("leaf", F.col("query").alias("name")), ["leaf", "name"], "left_anti").join(used, "leaf")
+    more = select.least_used(rest.select("leaf", "name", "k", "used"), "leaf", "used", ["k", "name"], 40)
+    return q.select("leaf", "query", F.lit("recovery").alias("kind")).unionByName(more.select("leaf", F.col("name").alias("query"), F.lit("variant").alias("kind")))
 
 
 @query("top8_best_per_feature", I.sql("candidates") + "SELECT object, max(total) AS total, min(event_date) AS event_date, max(len(organizations))::INT AS players FROM candidates GROUP BY 1")

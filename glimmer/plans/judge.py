@@ -8,12 +8,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import dates, text, urls
-from glimmer.operators import decide, matching, resolve
+from glimmer.operators import decide, gate, growth, matching, resolve
 from glimmer.operators.components import connected_components
 from glimmer.plans import inputs as I
 from glimmer.plans.choose import plan_of_reading
+from glimmer.plans.scans import HEADS_SQL
 from glimmer.registry import query
-from glimmer.session import table, written
+from glimmer.session import new_path, table, written
 
 _HOST = I.SQL["host"]
 _W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -245,25 +246,35 @@ def flt20(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(t.rlike("standard|promo"), "mature").when(t.rlike("economy"), "hype").otherwise("noise").alias("class"))
 
 
-_FIT = "SELECT query, hits, hosts, consumer, round(n2 / hits, 6) AS second, groups, round(n1 / hits, 6) AS top"
+_VERDICT = "CASE WHEN hits < 6 OR hosts < 4 THEN 'no_material' WHEN consumer >= 0.4 THEN 'wrong_sense' WHEN second >= 0.25 AND cosine < 0.8 THEN 'ambiguous' WHEN groups >= 5 AND top < 0.3 THEN 'too_broad' ELSE 'ok' END AS verdict"
 
 
-@query(
-    "d5_query_fitness",
-    I.sql("hits") + f", h AS (SELECT query, count(*) AS hits, count(DISTINCT {_HOST}) AS hosts, avg(CASE WHEN regexp_matches(url, 'casino|bets|pills') THEN 1.0 ELSE 0.0 END) AS consumer FROM hits GROUP BY 1), g AS (SELECT query, lang, count(*) AS n FROM hits GROUP BY ALL), t AS (SELECT query, count(*) AS groups, max(n) AS n1, coalesce(list_reverse_sort(list(n))[2], 0) AS n2 FROM g GROUP BY 1) SELECT query, CASE WHEN hits < 6 OR hosts < 4 THEN 'no_material' WHEN consumer >= 0.4 THEN 'wrong_sense' WHEN n2 / hits >= 0.25 AND 0.7 < 0.8 THEN 'ambiguous' WHEN groups >= 5 AND n1 / hits < 0.3 THEN 'too_broad' ELSE 'ok' END AS verdict FROM h JOIN t USING (query)",
-)
+@query("d5_query_fitness", I.sql("results") + f"SELECT query, {_VERDICT} FROM gate LEFT JOIN cosines USING (query)")
 def d5(spark, d):
-    h = I.hits(spark, d).withColumn("host", urls.host(F.col("url")))
-    a = h.groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("host").alias("hosts"), F.avg(F.when(F.col("url").rlike("casino|bets|pills"), 1.0).otherwise(0.0)).alias("consumer"))
-    g = h.groupBy("query", "lang").agg(F.count(F.lit(1)).alias("n")).groupBy("query").agg(F.count(F.lit(1)).alias("groups"), F.sort_array(F.collect_list("n"), False).alias("ns"))
-    r = a.join(g, "query").select("query", "hits", "hosts", "consumer", "groups", (F.get("ns", F.lit(0)) / F.col("hits")).alias("top"), (F.coalesce(F.get("ns", F.lit(1)), F.lit(0)) / F.col("hits")).alias("second"), F.lit(0.7).alias("cosine"))
-    return decide.fitness(r).select("query", "verdict")
+    return gate.judged(gate.readings(I.results(spark, d))).select("query", "verdict")
+
 
+@query("flt21_query_gate", I.sql("results") + f"SELECT query, hits, hosts, groups, round(top, 6) AS top, round(second, 6) AS second, round(consumer, 6) AS consumer, round(cosine, 5) AS cosine, {_VERDICT} FROM gate LEFT JOIN cosines USING (query)")
+def flt21(spark, d):
+    """The gate with all that its verdict rests on."""
+    r = gate.judged(gate.readings(I.results(spark, d)))
+    return r.select("query", "hits", "hosts", "groups", *(F.round(c, 6).alias(c) for c in ("top", "second", "consumer")), F.round("cosine", 5).alias("cosine"), "verdict")
 
-@query("d6_plan_check", "SELECT p_brand, CASE WHEN count(*) = 0 THEN 'no_material' WHEN max(len(string_split(p_name, ' '))) <= 1 THEN 'confirm' ELSE 'ok' END AS verdict, least(count(DISTINCT p_name), 12) AS shown FROM part GROUP BY 1")
+
+@query(
+    "d6_plan_check",
+    "WITH w AS (SELECT p_brand, CASE WHEN p_brand < 'Brand#2' THEN 'the ' || p_type ELSE p_type || ' ' || p_name END AS direction, p_name, p_size FROM part), d AS (SELECT DISTINCT p_brand, min(direction) OVER (PARTITION BY p_brand) AS direction FROM w), b AS (SELECT p_brand, p_name FROM w WHERE p_size % 50 = 7 GROUP BY ALL) SELECT d.p_brand, CASE WHEN count(p_name) = 0 THEN 'no_material' WHEN len(list_filter(regexp_extract_all(lower(any_value(direction)), '[a-z]+'), lambda x: length(x) > 3)) <= 1 THEN 'confirm' ELSE 'ok' END AS verdict, least(count(p_name), 12) AS shown FROM d LEFT JOIN b USING (p_brand) GROUP BY 1",
+)
 def d6(spark, d):
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("p_name", " "))).alias("w"), F.least(F.countDistinct("p_name"), F.lit(12)).alias("shown"))
-    return g.select("p_brand", F.when(F.col("n") == 0, "no_material").when(F.col("w") <= 1, "confirm").otherwise("ok").alias("verdict"), "shown")
+    """A plan is checked for each direction, those without a branch too; a direction of one significant word has to be confirmed, and twelve branches are shown at most."""
+    p = table(spark, d, "part")
+    direction = F.when(F.col("p_brand") < "Brand#2", F.concat(F.lit("the "), "p_type")).otherwise(F.concat_ws(" ", "p_type", "p_name"))
+    named = p.groupBy("p_brand").agg(F.min(direction).alias("direction"))
+    branches = p.where("p_size % 50 = 7").groupBy("p_brand").agg(F.count_distinct("p_name").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    significant = F.size(F.filter(F.regexp_extract_all(F.lower("direction"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 3))
+    verdict = F.when(n == 0, "no_material").when(significant <= 1, "confirm").otherwise("ok")
+    return named.join(branches, "p_brand", "left").select("p_brand", verdict.alias("verdict"), F.least(n, F.lit(12)).alias("shown"))
 
 
 @query("flt22_fetch_outcome", "SELECT count(*) AS fetched, count_if(page_id % 13 <> 0) AS ok, count_if(page_id % 13 <> 0 AND contains(html, '<article>')) AS parsed FROM pages")
@@ -353,10 +364,19 @@ def d7(spark, d):
     return n.select("o_orderkey", F.when(F.col("p0") & F.col("p1"), "mature").when(F.col("p0"), "refuted").when(w <= 20, "remaining").otherwise("unchecked").alias("bucket"))
 
 
-@query("er1_accumulate", "SELECT p_brand, p_type, count(*)::INT AS n, count(DISTINCT p_name)::INT AS names FROM part GROUP BY ALL")
+_E1 = "WITH p AS (SELECT p_brand || '/' || p_type AS key, p_size AS seen_at, p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS evidence, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE substr('pump with a magnetic bearing', 1, p_size % 25 + 4) END AS m, CASE WHEN p_partkey % 3 = 0 THEN '2024-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') END AS event_date FROM part) "
+
+
+@query("er1_accumulate", _E1 + HEADS_SQL)
 def er1(spark, d):
-    p = resolve.accumulate(table(spark, d, "part").withColumn("mechanism", F.col("p_type")), ["p_brand", "p_type"], "p_partkey", "mechanism", "p_name")
-    return p.select("p_brand", "p_type", "n", F.size("p_name").alias("names"))
+    """Proposals of parts in one packet, by brand and type."""
+    grown = F.substring(F.lit("pump with a magnetic bearing"), F.lit(1), (F.col("p_size") % 25 + 4).cast("int"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))
+    p = table(spark, d, "part").select(
+        F.concat("p_brand", F.lit("/"), "p_type").alias("key"), F.col("p_size").alias("at"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("evidence"),
+        F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(grown).alias("mechanism"), F.when(F.col("p_partkey") % 3 == 0, day).alias("event_date"),
+    )
+    return growth.accept(p)[0]
 
 
 @query("er2_leader_clusters")
@@ -396,10 +416,9 @@ def er6(spark, d):
     return resolve.conflicts(accepted, protected)
 
 
-@query("er7_senses")
+@query("er7_senses", I.sql("results") + "SELECT query, key, sense FROM readings")
 def er7(spark, d):
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("query"), "vec_id", "embedding")
-    return resolve.senses(e, "query", "vec_id", "embedding", 0.75)
+    return resolve.senses(I.results(spark, d), "query", "key", "vector", gate.APART)
 
 
 @query("jb1_abbreviations")
@@ -437,7 +456,11 @@ def jb4(spark, d):
     return n.select("doc_id", "passages", "read", "novel", reason.alias("reason"))
 
 
-@query("jb5_hypotheses", "SELECT p_partkey, lower(p_name) AS name FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1")
+_ANSWERS = "a AS (SELECT p_partkey // 30 AS batch, p_partkey AS id, p_name AS name FROM part), f AS (SELECT lower(trim(name)) AS name, min(batch) AS batch FROM a WHERE trim(name) <> '' GROUP BY 1), g AS (SELECT b.batch, count(f.name) AS n FROM (SELECT unnest(range((SELECT max(batch) + 2 FROM a))) AS batch) b LEFT JOIN f USING (batch) GROUP BY 1)"
+
+
+@query("jb5_hypotheses", f"WITH {_ANSWERS} SELECT f.name, min(a.id) AS p_partkey, f.batch::INT AS batch FROM f JOIN a ON lower(trim(a.name)) = f.name AND a.batch = f.batch WHERE f.batch < (SELECT min(batch) FROM g WHERE n = 0) GROUP BY ALL")
 def jb5(spark, d):
-    w = Window.partitionBy(F.lower("p_name")).orderBy("p_partkey")
-    return table(spark, d, "part").withColumn("n", F.row_number().over(w)).where("n = 1").select("p_partkey", F.lower("p_name").alias("name"))
+    """Answers come in batches of thirty; the list ends with the first one that has no new name."""
+    answers = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 30).cast("int").alias("batch"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return growth.until_no_growth(answers, new_path(spark, "hypotheses")).select("name", F.col("id").alias("p_partkey"), "batch")

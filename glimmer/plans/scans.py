@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glimmer.functions import text
+from glimmer.operators import growth
 from glimmer.plans import inputs as I
 from glimmer.registry import query
 from glimmer.session import new_path, table
@@ -149,13 +150,33 @@ def st1(spark, d):
     return spark.read.parquet(path).select(F.col("id").alias("event_id"), "ok")
 
 
-@query("st2_evidence_across_packets", "SELECT event_type, count(*) AS n, count(DISTINCT user_id)::INT AS users FROM events GROUP BY 1")
+_FOLD = "list_reduce(list(m ORDER BY seen_at, id), lambda a, x: CASE WHEN a <> '' AND length(x) > length(a) AND contains(lower(x), lower(a)) THEN x ELSE a END)"
+HEADS_SQL = f"SELECT key, {_FOLD} AS mechanism, arg_min(event_date, (seen_at, id)) FILTER (event_date IS NOT NULL) AS event_date, count(*) AS proposed, 1::BIGINT AS accepted, count(*) - 1 AS duplicates, count(DISTINCT evidence) - count_if(f AND evidence IS NOT NULL)::BIGINT AS evidence_from_duplicates FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seen_at, id) = 1 AS f FROM p) GROUP BY 1"
+_TERMS = "Cooling by a film of water under the plate"
+
+
+def proposals(spark, d):
+    """Proposals from events: five keys, mechanisms that grow, others that do not belong to them, some without evidence or date."""
+    m = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("other "), F.col("user_id") % 5)).otherwise(F.substring(F.lit(_TERMS), F.lit(1), (F.col("event_id") % 29 + F.floor(F.col("event_id") / 1000) + 4).cast("int")))
+    day = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), F.when(F.col("user_id") % 4 != 0, F.concat_ws(":", "user_id", "props")).alias("evidence"), m.alias("mechanism"), day.alias("event_date"))
+
+
+_PROPOSALS = f"WITH p AS (SELECT event_type AS key, ts AS seen_at, event_id AS id, CASE WHEN user_id % 4 <> 0 THEN user_id || ':' || props END AS evidence, CASE WHEN user_id % 7 = 0 THEN 'other ' || (user_id % 5) ELSE substr('{_TERMS}', 1, (event_id % 29 + event_id // 1000 + 4)::INT) END AS m, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') END AS event_date FROM events) "
+
+
+@query("st2_evidence_across_packets", _PROPOSALS + HEADS_SQL)
 def st2(spark, d):
-    path = new_path(spark, "evidence")
-    admission.merge_evidence(_stream(spark, d), path, new_path(spark, "stream")).awaitTermination()
-    states = spark.read.parquet(path)
-    last = states.agg(F.max("state").alias("state"))
-    return states.join(F.broadcast(last), "state").select("event_type", "n", F.size("users").alias("users"))  # one row
+    """Packets are quarters of the events by time, written to a source that grows; after each one the stream goes on from its checkpoint."""
+    rows, source, path = proposals(spark, d), new_path(spark, "packets"), new_path(spark, "evidence")
+    cuts = rows.agg(F.percentile(F.unix_micros("at"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    no = sum(((F.unix_micros("at") > c).cast("int") for c in cuts or []), F.lit(0))
+    stream = spark.readStream.schema(rows.schema).parquet
+    state = new_path(spark, "stream")
+    for k in range(4):
+        rows.where(no == k).write.mode("append").parquet(source)
+        admission.merge_evidence(stream(source), path, state).awaitTermination()
+    return admission.heads_of(spark, path)
 
 
 @query("sc0_terms_of_documents", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) > 3))), ' ') AS terms FROM documents")

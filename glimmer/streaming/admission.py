@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from glimmer.operators import growth
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -53,14 +55,26 @@ def _decided(before: DataFrame, calls: DataFrame, per_caller: int, per_day: int)
     return own.withColumn("ok", F.col("_ok") & (nth <= per_day)).where(~F.col("_old")).drop("_ok", "_old")
 
 
-def merge_evidence(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Evidence accumulated across packets: values per key, kept as one table for each packet number."""
+def merge_evidence(proposals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Proposals accepted across packets (growth.accept). The state is two tables, of heads and of (key, evidence) pairs; a packet writes what it changes to a
+    folder of its own number and reads those before it, so one that is run again finds the same state and replaces what it wrote."""
 
     def packet(df: DataFrame, n: int) -> None:
-        new = df.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.collect_set("user_id").alias("users"))
-        if n:
-            old = df.sparkSession.read.parquet(f"{path}/state={n - 1}")
-            new = new.unionByName(old).groupBy("event_type").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("users")))).alias("users"))
-        new.write.mode("overwrite").parquet(f"{path}/state={n}")
+        spark = df.sparkSession
+        old, pairs = (heads_of(spark, path, n), pairs_of(spark, path, n)) if n else (None, None)
+        new_heads, new_pairs = growth.accept(df, old, pairs)
+        new_pairs.write.mode("overwrite").parquet(f"{path}/pairs/packet={n}")
+        new_heads.write.mode("overwrite").parquet(f"{path}/heads/packet={n}")
 
-    return events.writeStream.foreachBatch(packet).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return proposals.writeStream.foreachBatch(packet).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def heads_of(spark: SparkSession, path: str, before: int = 1 << 30) -> DataFrame:
+    """The heads after the packets before `before`: the last one of each key."""
+    rows = spark.read.parquet(f"{path}/heads").where(F.col("packet") < before)
+    last = rows.groupBy("key").agg(F.max_by(F.struct(*(c for c in rows.columns if c not in ("key", "packet"))), "packet").alias("x"))
+    return last.select("key", "x.*")
+
+
+def pairs_of(spark: SparkSession, path: str, before: int = 1 << 30) -> DataFrame:
+    return spark.read.parquet(f"{path}/pairs").where(F.col("packet") < before).select("key", "evidence")
