@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,12 +68,12 @@ class Vocabularies:
         self.a_len, self.b_len = (np.array([len(x) for x in v], np.int64) for v in (self.a, self.b))
         self.words: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def ids(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of A and B for each text (a space before it), or None where they do not spell it."""
+    def ids(self, texts: list[str]) -> Iterator[tuple[bytes, bytes] | None]:
+        """The ids of A and B for each text (a space before it), 32 bits each, or None where they do not spell it."""
         for x, b in zip(texts, self.pieces.encode(texts, num_threads=1), strict=True):
             a, raw = self.bytewise.encode_ordinary(" " + x), b" " + x.encode()
             same = b"".join([self.a[k] for k in a]) == raw and b"".join([self.b[k] for k in b]) == raw
-            yield (np.array(a, np.int32), np.array(b, np.int32)) if same else None
+            yield (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
 
     def encoded(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """As ids(), but texts that are lists of words are put together from the ids of their words."""
@@ -81,7 +82,7 @@ class Vocabularies:
         if len(self.words) > WORDS:
             self.words.clear()
         new = list({w for ws in split.values() for w in ws if w not in self.words})
-        self.words.update(zip(new, ((x[0].tobytes(), x[1].tobytes()) if x else None for x in self.ids(new)), strict=True))
+        self.words.update(zip(new, self.ids(new), strict=True))
         for i, ws in split.items():
             try:
                 a, b = zip(*map(self.words.__getitem__, ws), strict=True)
@@ -90,7 +91,7 @@ class Vocabularies:
             out[i] = np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32)
         rest = [i for i, x in enumerate(texts) if x and out[i] is None]
         for i, found in zip(rest, self.ids([texts[i] for i in rest]), strict=True):
-            out[i] = found
+            out[i] = found and tuple(np.frombuffer(x, np.int32) for x in found)
         return out
 
 
