@@ -14,13 +14,6 @@ from glimmer.operators.components import connected_components
 from glimmer.session import written
 
 
-def accumulate(rows: DataFrame, key: list[str], order: str, long_text: str, gather: str) -> DataFrame:
-    """A row per key: values of `gather` in order, and the text that grows: a longer one replaces the text so far only if it contains it."""
-    r = F.array_sort(F.collect_list(F.struct(order, long_text, gather)))
-    fold = F.aggregate(F.transform("r", lambda x: x[long_text]), F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (x.contains(a) & (F.length(x) > F.length(a))), x).otherwise(a))
-    return rows.groupBy(*key).agg(r.alias("r")).select(*key, F.size("r").alias("n"), fold.alias(long_text), F.array_distinct(F.col("r").getField(gather)).alias(gather))
-
-
 def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8) -> DataFrame:
     """(id, leader) for rows (id, tokens): each joins the first earlier leader with such a Jaccard similarity, in order of id.
 
