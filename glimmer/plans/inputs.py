@@ -59,7 +59,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results (query, key, url, vector): 20 embeddings a query (5 in every seventh), each near the seed of its reading, of seven kinds of query:
     one reading; two that are far apart; two that are near; six; a consumer reading as the largest, and as the smaller; few results."""
-    norm = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  worked out once, not for each component
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))
+    norm = lambda vector: let(vector, lambda v: let(length(v), lambda n: F.transform(v, lambda x: x / n)))
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 20).alias("query"), (F.col("vec_id") % 20).alias("s"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     e = e.withColumn("u", norm(F.col("v"))).withColumn("kind", F.col("query") % 7)
     split = F.when(F.col("kind") == 5, 16).otherwise(12)
@@ -67,8 +69,8 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = e.where("s < 6").select("query", F.col("s").alias("g"), F.col("u").alias("seed"))
     first = seeds.where("g = 0").select("query", F.col("seed").alias("own"))
     along = F.aggregate(F.zip_with("seed", "own", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    aside = norm(F.zip_with("seed", F.transform("own", lambda y: y * along), lambda x, y: x - y))
-    near = F.zip_with("own", aside, lambda x, y: x * 0.815 + y * 0.5795)
+    aside = let(along, lambda a: norm(F.zip_with("seed", "own", lambda x, y: x - y * a)))
+    near = let(aside, lambda v: F.zip_with("own", v, lambda x, y: x * 0.815 + y * 0.5795))
     rows = e.where("kind <> 6 or s < 5").withColumn("g", g).join(seeds, ["query", "g"]).join(first, "query")
     base = F.when(F.col("kind").isin(2, 5) & (F.col("g") == 1), near).otherwise(F.col("seed"))
     page = F.when((F.col("kind") == 4) & (F.col("g") == 0) & (F.col("s") % 2 == 0), "/download").when((F.col("kind") == 5) & ((F.col("g") == 1) | (F.col("s") < 5)), "/download").otherwise("")
