@@ -10,13 +10,15 @@ the last few of a source, with some documents that stayed behind, are the landin
 choices for the one nearest to the expected words.
 
 A source is cut into blocks of about `block` documents by a hash, so a source with a
-third of all rows is many tasks. Only (id, source, size) is shuffled, with equal rows
-as one unit and its multiplicity. Random numbers come from the block's key: reruns agree.
-
-Defined results: a null text has size 0; a null source is a source, last in order; rows
-with equal id, source and size are decided alike; a source without words has target 0
-and takes nothing; an empty table gives an empty result. Other columns of the input
-are left alone and can have any name.
+third of all rows is many tasks. Only (id, source, size, digest of the text) is shuffled.
+Of n repeated rows with the fraction p, floor(n * p) are taken once more for certain, and
+one row alone carries what is left of n * p into the flight, so a source is as near its
+target as without repeats. Random numbers come from the block's key: reruns agree.
+
+Defined results: a null text has size 0; a null source is a source, last in order; of
+repeated rows it is open which are taken once more, but not how many; a source without
+words has target 0 and takes nothing; an empty table gives an empty result. Other columns
+of the input are left alone and can have any name.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BLOCK = 4_096
 #: Units that stay behind for the landing, besides the two that a flight leaves: it tries 2 ** 16 choices at most.
 LANDING = 14
 MAX_BROADCAST_SOURCES = 100_000
+#: Repeats of a row that one task writes.
+REPEATS = 100_000
 _EPS = 1e-9
 
 
@@ -117,19 +121,22 @@ def flight(pi: np.ndarray, docs: np.ndarray, words: np.ndarray, rng: np.random.G
 def _flown(units: DataFrame, level: int, land: bool, seed: int) -> DataFrame:
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # Large units first: what is left undecided is small.
-        pdf = pdf.sort_values(["size", "salt", "doc_id", "source"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "salt", "doc_id", "digest"], ascending=[False, True, True, True], kind="stable")
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
-        m = pdf.n.to_numpy(float)
-        pdf["pi"] = flight(pdf.pi.to_numpy(), m, m * pdf["size"].to_numpy(float), rng, land)
+        pdf["pi"] = flight(pdf.pi.to_numpy(), np.ones(len(pdf)), pdf["size"].to_numpy(float), rng, land)
         return pdf
 
     return units.groupBy("place", "part").applyInPandas(fly, units.schema)
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, n, source_size, target, copies) for each distinct (doc_id, source, size); n rows are alike."""
-    units = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    units = written(units.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "units")
+def _digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def units_decided(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 7) -> DataFrame:
+    """(doc_id, source, size, digest, n, source_size, target, base, extra): of the n rows alike, `extra` are taken base + 1 times, the others base times."""
+    units = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _digest(F.col(text_col)).alias("digest"))
+    units = written(units.groupBy("doc_id", "source", "size", "digest").agg(F.count(F.lit(1)).alias("n")), "units")
     goals = written(targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("of_source")).drop("of_source"), weights, most), "targets")
     counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("source", "s")
     goals = goals.join(counts, goals["source"].eqNullSafe(counts["s"])).drop("s").withColumnRenamed("source", "s")
@@ -140,8 +147,11 @@ def decide(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         units.join(goals, units["source"].eqNullSafe(goals["s"]))
         .drop("s")
         .withColumn("ratio", ratio)
-        .withColumns({"base": F.floor(F.col("ratio") + _EPS), "salt": F.xxhash64("doc_id", "size", F.lit(seed))})
-        .withColumn("pi", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base")))
+        .withColumns({"base": F.floor(F.col("ratio") + _EPS), "salt": F.xxhash64("doc_id", "size", "digest", F.lit(seed))})
+        .withColumn("share", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base")) * F.col("n"))
+        .withColumn("certain", F.floor(F.col("share") + _EPS))
+        .withColumn("pi", F.greatest(F.lit(0.0), F.col("share") - F.col("certain")))
+        .drop("share")
         .withColumn("part", F.pmod("salt", F.ceil(F.col("k") / block)))
     )
     done, level = [], 0
@@ -162,20 +172,55 @@ def decide(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "n", "source_size", "target", (F.col("base") + F.col("pi").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "size", "digest", "n", "source_size", "target", "base", (F.col("certain") + F.col("pi").cast("long")).alias("extra"))
+
+
+def decide(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """(doc_id, source, size, n, source_size, target, copies): n rows alike are taken `copies` times; arguments as for units_decided."""
+    groups = F.array(F.struct(F.col("extra").alias("n"), (F.col("base") + 1).alias("copies")), F.struct((F.col("n") - F.col("extra")).alias("n"), F.col("base").alias("copies")))
+    found = units_decided(docs, *args, **kwargs).withColumn("g", F.explode(F.filter(groups, lambda g: g["n"] > 0)))
+    return found.select("doc_id", "source", "size", F.col("g.n").alias("n"), "source_size", "target", F.col("g.copies").alias("copies"))
+
+
+def _repeated(found: DataFrame) -> DataFrame:
+    """Each row n times; rows with very many repeats are dealt to many tasks first."""
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    few = found.where(F.col("n") <= REPEATS).withColumn("_row", times(F.col("n")))
+    many = found.where(F.col("n") > REPEATS).withColumn("_part", times(F.ceil(F.col("n") / REPEATS)))
+    many = many.repartition("doc_id", "source", "size", "copies", "_part").withColumn("_row", times(F.least(F.lit(REPEATS), F.col("n") - (F.col("_part") - 1) * REPEATS))).drop("_part")
+    return few.unionByName(many)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     found = decide(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    return _repeated(found).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def take(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each once, with the column `copies`: how often it is taken. A column of that name in `docs` gives way to it."""
+    """The documents that the mix takes, each once, with the column `copies`: how often it is taken. A column of that name in `docs` gives way to it.
+
+    Repeated rows of which some only are taken once more are numbered: by their place in their partition, and the partitions' counts.
+    """
     columns = [c for c in docs.columns if c != "copies"]
     docs = docs.select(*columns)
-    found = decide(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_n", size_of(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(found["_id"]) & rows["source"].eqNullSafe(found["_source"]) & (rows["_n"] == found["_size"])
-    return rows.join(found, same).select(*columns, F.col("_copies").alias("copies"))
+    units = written(units_decided(docs), "decided")
+    unit = ["_id", "_source", "_size", "_digest"]
+    names = {"doc_id": "_id", "source": "_source", "size": "_size", "digest": "_digest", "base": "_base", "extra": "_extra", "n": "_of"}
+    found = units.where("base > 0 or extra > 0").select(*[F.col(a).alias(b) for a, b in names.items()])
+    rows = docs.withColumns({"_n": size_of(F.col("text")), "_h": _digest(F.col("text"))})
+    same = rows["doc_id"].eqNullSafe(found["_id"]) & rows["source"].eqNullSafe(found["_source"]) & (rows["_n"] == found["_size"]) & (rows["_h"] == found["_digest"])
+    some = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_of"))
+    alike = rows.join(found.where(~some), same).select(*columns, F.when(F.col("_extra") > 0, F.col("_base") + 1).otherwise(F.col("_base")).alias("copies"))
+    if found.where(some).isEmpty():
+        return alike
+    apart = written(rows.join(found.where(some), same).select(*columns, *unit, "_base", "_extra").withColumn("_at", F.monotonically_increasing_id()), "repeats").withColumn("_part", F.shiftright("_at", 33))
+    counts = apart.groupBy(*unit, "_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*unit).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).select(*[F.col(c).alias(c + "2") for c in [*unit, "_part"]], "_before")
+    met = F.lit(True)
+    for c in [*unit, "_part"]:
+        met = met & F.col(c).eqNullSafe(F.col(c + "2"))
+    placed = apart.withColumn("_place", F.row_number().over(Window.partitionBy(*unit, "_part").orderBy("_at"))).join(counts, met)
+    copies = F.col("_base") + (F.col("_before") + F.col("_place") <= F.col("_extra")).cast("long")
+    return alike.unionByName(placed.select(*columns, copies.alias("copies")).where("copies > 0"))

@@ -63,6 +63,34 @@ def test_caps_and_empty(spark):
     assert taken.columns == [*docs.columns, "copies"] and {r.doc_id for r in taken.collect()} >= {1}
 
 
+REPEATED = [[(None, "w " * 10, "a", 0)] * 2000, [(4, "w " * 10, "a", 0)] * 2000, [(None, "w " * 10, "a", 0)] * 900 + [(None, "v " * 10, "a", 0)] * 1100]
+
+
+@pytest.mark.parametrize("same", REPEATED)
+@pytest.mark.parametrize("more", [0, 300])
+def test_repeated_rows(spark, same, more):
+    """One row many times in a source: what is taken is as near the target as without repeats, in the query's rows and in the documents taken."""
+    rows = [*same, *[(10 + i, "x " * (i % 90), "a", 0) for i in range(more)], *[(5000 + i, "y " * 5, "b", 0) for i in range(1000)], *[(9000 + i, "z " * 8, "c", 0) for i in range(500)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(7)
+    sizes = {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = reshared(sizes)
+    got = M._repeated(M.decide(docs)).collect()
+    assert len(got) == len(rows)
+    taken = M.take(spark, docs, "").collect()
+    for s in sizes:
+        assert abs(sum(r.copies * r["size"] for r in got if r.source == s) - want[s]) <= 10
+        assert abs(sum(r.copies * len(r.text.split()) for r in taken if r.source == s) - want[s]) <= 10
+    assert sorted((str(r.doc_id), r["size"], r.source, r.copies) for r in got if r.copies) == sorted((str(r.doc_id), len(r.text.split()), r.source, r.copies) for r in taken)
+
+
+def test_very_many_repeats(spark, monkeypatch):
+    monkeypatch.setattr(M, "REPEATS", 7)
+    docs = spark.createDataFrame([(None, "a b", "s", 0)] * 50 + [(1, "c", "s", 0)] * 7, "doc_id long, text string, source string, n int")
+    assert sorted((str(r.doc_id), r.copies) for r in M._repeated(M.decide(docs)).collect()) == [("1", 1)] * 7 + [("None", 1)] * 50
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     got = M.op4_mix(spark, sf).toPandas()
