@@ -20,6 +20,8 @@ columns of the input are left alone and can have any name.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -115,49 +117,69 @@ def featured(found: DataFrame) -> DataFrame:
     )
 
 
+# Fixed values: (label, before, value, after) of what labelled findings look like. A value is made of parts: a text, or
+# ("name",), ("name", start, length) or ("name", start, length, case) of the values generated for a row.
+_HEX40, _HEX32, _HEX64, _B64, _UUID, _A, _B, _C = ("hex40",), ("hex32",), ("hex64",), ("b64",), ("uuid",), ("a",), ("b",), ("c",)
+TEMPLATES = [
+    (1, 'token = "', [_HEX40], '"'), (1, 'TOKEN = "', [("hex40", 1, 40, "upper")], '"'), (1, "secret: ", [_HEX32], "\n"), (1, 'api_key="', [("alnum", 1, 32)], '"'), (1, "apiKey: '", [("alnum", 5, 24)], "',"),
+    (1, "aws_access_key_id = ", ["AKIA", ("hex64", 1, 16, "upper")], "\n"), (1, "export SECRET=", [("b64", 1, 40)], "\n"), (1, "use ", ["ghp_", ("alnum", 1, 36)], " for it"),
+    (1, 'password = "', [("alnum", 1, 6), "!", ("alnum", 9, 5)], '"'), (1, "Authorization: Bearer ", [("alnum", 1, 48)], "\n"), (1, "auth_token=", [_HEX64], "&"),
+    (1, "slack ", ["xoxb-", ("digits", 1, 12), "-", ("alnum", 1, 24)], " "), (1, "key ", ["sk_live_", ("alnum", 1, 24)], "."),
+    (1, "", ["-----BEGIN PRIVATE KEY-----\n", _B64, "\n-----END PRIVATE KEY-----"], "\n"), (1, 'token = "', [_HEX40], '"###'), (1, "token='", [("alnum", 1, 20), "-", ("alnum", 21, 10)], "'"),
+    (1, 'DB_PASSWORD="', [("short",)], '"'), (1, "SECRET_VALUE='", [("alnum", 3, 9)], "'"), (1, 'my_token = "', [("phrase",)], '"'), (1, "PASSWORD=", [("numbered",)], "\n"), (1, "  password: ", [("short",)], "\n"), (1, "APP_SECRET=", [("alnum", 1, 12)], "\n"),
+    (1, "DB_PASSWD: ", [("numbered",)], "\n"), (1, "postgres://app:", [("short",)], "@db.internal:5432/x"), (1, "mysql://root:", [("numbered",)], "@10.0.0.2/x"), (1, "https://user:", [("alnum", 2, 20)], "@host.net/"), (1, "amqp://svc:", [("phrase",)], "@mq"),
+    (0, "self.token = ", ["get_", _A, "(request"], ")\n"), (0, "token = ", [_A, ".", _B, ".", _C], "\n"), (0, "PASSWORD=", ["${", ("a", 1, 99, "upper"), "_", ("b", 1, 99, "upper"), "}"], "\n"),
+    (0, "the secret: ", [("said",)], " of it"), (0, "no token: ", [("said",)], " and then"), (0, "the password: ", [("said",)], ", but"), (0, "token: ", ["<your-", _A, ">"], "\n"), (0, "the secret: ", [_A, _B], " of it"), (0, "Author: ", [("a", 1, 99, "first"), "-", ("b", 1, 99, "first")], " and"), (0, 'password = "', ["enter_", _A, _B], '"'),
+    (0, "https://user:", ["password"], "@host/"), (0, "commit ", [_HEX40], "\n"), (0, "sha256:", [_HEX64], " "), (0, "md5 ", [_HEX32], " "), (0, "request id ", [_UUID], " "), (0, "", [_UUID], ","), (0, "number ", [("digits", 1, 16)], " "), (0, " ", [("digits", 1, 16)], " and"),
+    (0, "card ", [("digits", 1, 16)], ", "), (0, "", [("digits", 1, 18)], "\n"), (0, 'token = "', ["your_", _A, "_token_", ("digits", 1, 2)], '"'),
+    (0, 'password = "', ["example_", _A, "_1234"], '"'), (0, "secret = '", [_A, "-", _B, "-placeholder-1"], "'"), (0, 'token = "', ["xxxxxxxxxxxxxxxx0000"], '"'),
+    (0, "see /", [_A, "/", _B, "/20", ("digits", 3, 2), "/", _C], "."), (0, "https://example.com/", [_A, "-", _B, "-", _C, "-", ("digits", 1, 3)], " "),
+    (0, "call ", [_A, "_", _B, "_", _C, "_v2"], "("), (0, "on ", ["20", ("digits", 3, 2), "-01-02T03-04-05"], " "), (0, "version ", ["release-20", ("digits", 3, 2), "-", ("hex32", 1, 7)], " "),
+    (0, "etag: ", [_HEX32], "\n"), (0, "blob ", [("hex64", 1, 40)], "\t"), (0, "data:image/png;base64,", [_B64], ")"), (0, "isbn ", ["978-", ("digits", 1, 12)], " "),
+    (0, "", [_A, _B, _C, ("digits", 1, 2)], " "), (0, "the ", [_A, "-", _B, "-", _A, "-20", ("digits", 3, 2)], " "), (0, 'checksum = "', [_HEX64], '"'), (0, 'digest: "', [_HEX40], '"'),
+    (0, 'id = "', [_UUID], '"'),
+]
+# What stands before the finding, words of a made-up password, words of prose.
+_LEADS = ["the note of ", "see also the part on ", "et pour la suite ", "und der text ", "en la casa ", "", "config:\n", "line | "]
+_FREE = "purple monkey dragon sunset winter guitar coffee tiger river silver orange jungle castle rocket falcon hammer pepper violet marble anchor".split()
+_SAID = "everyone yesterday sometimes different important otherwise anything whatever together children possible probably remember question building thousand mountain evidence although somebody".split()
+_KINDS = "array<struct<template:int,label:double,before:string,after:string,parts:array<struct<name:string,text:string,start:int,length:int,form:string>>>>"
+
+
+def _templates() -> Column:
+    """TEMPLATES as an array of structs, read from one JSON text: a value of the plan, not code made for each template."""
+    part = lambda p: {"text": p} if isinstance(p, str) else dict(zip(("name", "start", "length", "form"), (*p, *(1, 1 << 30, "")[len(p) - 1 :]), strict=True))
+    return F.from_json(F.lit(json.dumps([{"template": t, "label": y, "before": b, "after": a, "parts": [part(p) for p in v]} for t, (y, b, v, a) in enumerate(TEMPLATES)])), _KINDS)
+
+
 def labelled_findings(spark: SparkSession, per_template: int = 120) -> DataFrame:
     """Labelled findings (label, value, before, after, path, template), `per_template` for each template."""
     i = F.col("id").cast("string")
-    words = F.array(*[F.lit(w) for w in DICTIONARY])
-    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(F.concat(i, F.lit(k))), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    made = (
-        spark.range(per_template)
-        .select("id", F.sha1(i).alias("hex40"), F.md5(i).alias("hex32"), F.sha2(i, 256).alias("hex64"), F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i), 512))).alias("b64"), F.lpad(F.abs(F.xxhash64(i)).cast("string"), 19, "7").alias("digits"), *[pick(k).alias(k) for k in "abc"])
-        .withColumns({"alnum": F.regexp_replace("b64", "[+/=]", ""), "uuid": F.regexp_replace("hex32", "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")})
+    drawn = lambda words, salted: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(salted), F.lit(len(words))) + 1).cast("int"))
+    word = lambda words, k: drawn(words, F.concat(i, F.lit(k)))
+    made = spark.range(per_template).select(
+        "id",
+        drawn(_LEADS, F.concat(F.lit("p"), i)).alias("lead"),
+        F.when(F.pmod(F.xxhash64(i), F.lit(5)) == 0, F.lit("src/app.py")).otherwise(F.concat(F.lit("src"), F.substring(F.lpad(F.abs(F.xxhash64(i)).cast("string"), 19, "7"), 1, 1))).alias("path"),
+        *[f.alias(n) for n, f in (("hex40", F.sha1(i)), ("hex32", F.md5(i)), ("hex64", F.sha2(i, 256)), ("b64", F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i), 512)))), ("digits", F.lpad(F.abs(F.xxhash64(i)).cast("string"), 19, "7")))],
+        *[word(DICTIONARY, k).alias(k) for k in "abc"], *[word(_FREE, k).alias(k) for k in "xyz"], word(_SAID, "w").alias("said"), drawn("!@$#%", i).alias("mark"), (F.pmod(F.xxhash64(i), F.lit(2)) == 0).alias("even"),
+    )
+    made = made.withColumns({"alnum": F.regexp_replace("b64", "[+/=]", ""), "uuid": F.regexp_replace("hex32", "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")})
+    made = made.withColumns(
+        {
+            "short": F.concat(F.substring("alnum", 1, 5), "mark", F.substring("alnum", 9, 4)),
+            "phrase": F.concat("x", "y", "z"),
+            "numbered": F.concat("x", F.substring("digits", 1, 1), F.when(F.col("even"), F.col("a")).otherwise(F.col("y"))),
+        }
     )
-    hex40, hex32, hex64, b64, digits, alnum, uuid = (F.col(c) for c in ("hex40", "hex32", "hex64", "b64", "digits", "alnum", "uuid"))
-    word = F.col
-    prose = F.array(*[F.lit(x) for x in ("the note of ", "see also the part on ", "et pour la suite ", "und der text ", "en la casa ", "", "config:\n", "line | ")])
-    lead = F.element_at(prose, (F.pmod(F.xxhash64(F.concat(F.lit("p"), i)), F.lit(8)) + 1).cast("int"))
-    rest = F.array(*[F.lit(w) for w in "purple monkey dragon sunset winter guitar coffee tiger river silver orange jungle castle rocket falcon hammer pepper violet marble anchor".split()])
-    free = lambda k: F.element_at(rest, (F.pmod(F.xxhash64(F.concat(i, F.lit(k))), F.lit(20)) + 1).cast("int"))
-    prose_words = F.array(*[F.lit(w) for w in "everyone yesterday sometimes different important otherwise anything whatever together children possible probably remember question building thousand mountain evidence although somebody".split()])
-    said = F.element_at(prose_words, (F.pmod(F.xxhash64(F.concat(i, F.lit("w"))), F.lit(20)) + 1).cast("int"))
-    short = F.concat(F.substring(alnum, 1, 5), F.element_at(F.array(*[F.lit(x) for x in "!@$#%"]), (F.pmod(F.xxhash64(i), F.lit(5)) + 1).cast("int")), F.substring(alnum, 9, 4))
-    phrase, numbered = F.concat(free("x"), free("y"), free("z")), F.concat(free("x"), F.substring(digits, 1, 1), F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, word("a")).otherwise(free("y")))
-    year = F.concat(F.lit("20"), F.substring(digits, 3, 2))
-    # Fixed values: (label, before, value, after) of what such findings look like.
-    rows = [
-        (1, 'token = "', hex40, '"'), (1, 'TOKEN = "', F.upper(hex40), '"'), (1, "secret: ", hex32, "\n"), (1, 'api_key="', F.substring(alnum, 1, 32), '"'), (1, "apiKey: '", F.substring(alnum, 5, 24), "',"),
-        (1, "aws_access_key_id = ", F.concat(F.lit("AKIA"), F.upper(F.substring(hex64, 1, 16))), "\n"), (1, "export SECRET=", F.substring(b64, 1, 40), "\n"), (1, "use ", F.concat(F.lit("ghp_"), F.substring(alnum, 1, 36)), " for it"),
-        (1, 'password = "', F.concat(F.substring(alnum, 1, 6), F.lit("!"), F.substring(alnum, 9, 5)), '"'), (1, "Authorization: Bearer ", F.substring(alnum, 1, 48), "\n"), (1, "auth_token=", hex64, "&"),
-        (1, "slack ", F.concat(F.lit("xoxb-"), F.substring(digits, 1, 12), F.lit("-"), F.substring(alnum, 1, 24)), " "), (1, "key ", F.concat(F.lit("sk_live_"), F.substring(alnum, 1, 24)), "."),
-        (1, "", F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n-----END PRIVATE KEY-----")), "\n"), (1, 'token = "', hex40, '"###'), (1, "token='", F.concat(F.substring(alnum, 1, 20), F.lit("-"), F.substring(alnum, 21, 10)), "'"),
-        (1, 'DB_PASSWORD="', short, '"'), (1, "SECRET_VALUE='", F.substring(alnum, 3, 9), "'"), (1, 'my_token = "', phrase, '"'), (1, "PASSWORD=", numbered, "\n"), (1, "  password: ", short, "\n"), (1, "APP_SECRET=", F.substring(alnum, 1, 12), "\n"),
-        (1, "DB_PASSWD: ", numbered, "\n"), (1, "postgres://app:", short, "@db.internal:5432/x"), (1, "mysql://root:", numbered, "@10.0.0.2/x"), (1, "https://user:", F.substring(alnum, 2, 20), "@host.net/"), (1, "amqp://svc:", phrase, "@mq"),
-        (0, "self.token = ", F.concat(F.lit("get_"), word("a"), F.lit("(request")), ")\n"), (0, "token = ", F.concat(word("a"), F.lit("."), word("b"), F.lit("."), word("c")), "\n"), (0, "PASSWORD=", F.concat(F.lit("${"), F.upper(word("a")), F.lit("_"), F.upper(word("b")), F.lit("}")), "\n"),
-        (0, "the secret: ", said, " of it"), (0, "no token: ", said, " and then"), (0, "the password: ", said, ", but"), (0, "token: ", F.concat(F.lit("<your-"), word("a"), F.lit(">")), "\n"), (0, "the secret: ", F.concat(word("a"), word("b")), " of it"), (0, "Author: ", F.concat(F.initcap(word("a")), F.lit("-"), F.initcap(word("b"))), " and"), (0, 'password = "', F.concat(F.lit("enter_"), word("a"), word("b")), '"'),
-        (0, "https://user:", F.lit("password"), "@host/"), (0, "commit ", hex40, "\n"), (0, "sha256:", hex64, " "), (0, "md5 ", hex32, " "), (0, "request id ", uuid, " "), (0, "", uuid, ","), (0, "number ", F.substring(digits, 1, 16), " "), (0, " ", F.substring(digits, 1, 16), " and"),
-        (0, "card ", F.substring(digits, 1, 16), ", "), (0, "", F.substring(digits, 1, 18), "\n"), (0, 'token = "', F.concat(F.lit("your_"), word("a"), F.lit("_token_"), F.substring(digits, 1, 2)), '"'),
-        (0, 'password = "', F.concat(F.lit("example_"), word("a"), F.lit("_1234")), '"'), (0, "secret = '", F.concat(word("a"), F.lit("-"), word("b"), F.lit("-placeholder-1")), "'"), (0, 'token = "', F.lit("xxxxxxxxxxxxxxxx0000"), '"'),
-        (0, "see /", F.concat(word("a"), F.lit("/"), word("b"), F.lit("/"), year, F.lit("/"), word("c")), "."), (0, "https://example.com/", F.concat(word("a"), F.lit("-"), word("b"), F.lit("-"), word("c"), F.lit("-"), F.substring(digits, 1, 3)), " "),
-        (0, "call ", F.concat(word("a"), F.lit("_"), word("b"), F.lit("_"), word("c"), F.lit("_v2")), "("), (0, "on ", F.concat(year, F.lit("-01-02T03-04-05")), " "), (0, "version ", F.concat(F.lit("release-"), year, F.lit("-"), F.substring(hex32, 1, 7)), " "),
-        (0, "etag: ", hex32, "\n"), (0, "blob ", F.substring(hex64, 1, 40), "\t"), (0, "data:image/png;base64,", b64, ")"), (0, "isbn ", F.concat(F.lit("978-"), F.substring(digits, 1, 12)), " "),
-        (0, "", F.concat(word("a"), word("b"), word("c"), F.substring(digits, 1, 2)), " "), (0, "the ", F.concat(word("a"), F.lit("-"), word("b"), F.lit("-"), word("a"), F.lit("-"), year), " "), (0, 'checksum = "', hex64, '"'), (0, 'digest: "', hex40, '"'),
-        (0, 'id = "', uuid, '"'),
-    ]
-    kinds = F.array(*[F.struct(F.lit(y).cast("double").alias("label"), v.alias("value"), F.concat(lead, F.lit(b)).alias("before"), F.lit(a).alias("after"), F.when(F.pmod(F.xxhash64(i), F.lit(5)) == 0, F.lit("src/app.py")).otherwise(F.concat(F.lit("src"), F.substring(digits, 1, 1))).alias("path"), F.lit(t).alias("template")) for t, (y, b, v, a) in enumerate(rows)])
-    return made.select(F.explode(kinds).alias("k")).select("k.*")
+    names = ["hex40", "hex32", "hex64", "b64", "digits", "alnum", "uuid", "a", "b", "c", "said", "short", "phrase", "numbered"]
+    values = made.select("lead", "path", F.create_map(*[c for n in names for c in (F.lit(n), F.col(n))]).alias("made")).withColumn("k", F.explode(_templates()))
+
+    def text(p: Column) -> Column:
+        v = F.element_at("made", p["name"]).substr(p["start"], p["length"])
+        return F.when(p["name"].isNull(), p["text"]).when(p["form"] == "upper", F.upper(v)).when(p["form"] == "first", F.initcap(v)).otherwise(v)
+
+    return values.select("k.label", F.array_join(F.transform("k.parts", text), "").alias("value"), F.concat("lead", "k.before").alias("before"), "k.after", "path", "k.template")
 
 
 def train(findings: DataFrame, trees: int = 40, depth: int = 9, seed: int = 11, most: int = MOST_FINDINGS) -> RandomForestClassificationModel:
