@@ -8,15 +8,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float = 0.34, top: int = 2) -> DataFrame:
-    """(a, b, score) for rows (id, tokens): the `top` of the right for each of the left by overlap coefficient if two
-    tokens are shared, else Jaccard. Only rows that share a token meet: an equi-join on tokens."""
-    a = left.select(F.col("id").alias("a"), F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
-    b = right.select(F.col("id").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("t"))
-    shared = a.join(b, "t").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("i"))
+#: Tokens that are ordered by how many sets hold them; all others come before these.
+FREQUENT = 65_536
+
+
+def overlap_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b) of sets (id, n, tokens; the rarest token first), among them all pairs that `overlap_pairs` keeps.
+
+    Two shared tokens count by the overlap coefficient, so the smaller set, of n tokens, shares k = max(2, ceil(least * n)) of its own,
+    and one of its n - k + 1 rarest is among them: only these meet the other side's tokens, so a token that most sets hold joins nothing unless a set
+    has no rarer ones. A single shared token counts by Jaccard, which needs na + nb - 1 <= 1 / least: these are very short sets.
+    """
+    bound = max(least - 1e-6, 0.0)
+    together = 1 / bound + 1 if bound else float("inf")
+    n = F.col("n")
+    head = F.slice("tokens", 1, F.greatest(n - F.greatest(F.lit(2), F.ceil(n * bound)) + 1, F.lit(0)).cast("int"))
+    side = lambda rows, x, of: rows.select(F.col("id").alias(x), n.alias("n" + x), F.explode(of).alias("t")).where("t is not null")
+    smaller = side(left, "a", head).join(side(right, "b", F.col("tokens")), "t").where("na <= nb")
+    larger = side(left, "a", F.col("tokens")).join(side(right, "b", head), "t").where("nb < na")
+    short = side(left.where(n < together), "a", F.col("tokens")).join(side(right.where(n < together), "b", F.col("tokens")), "t").where(F.col("na") + F.col("nb") <= together)
+    return smaller.select("a", "b").unionByName(larger.select("a", "b")).unionByName(short.select("a", "b")).distinct()
+
+
+def rarest_first(rows: list[DataFrame], frequent: int = FREQUENT) -> list[DataFrame]:
+    """Each of the tables (id, tokens) as (id, n, tokens), tokens in order of how many sets of all the tables hold them.
+
+    Only the `frequent` most frequent are counted in the order, a table of bounded size that is broadcast; the rest are rare alike."""
+    each = [r.select("id", F.explode(F.array_distinct("tokens")).alias("t")) for r in rows]
+    every = each[0].select("t")
+    for e in each[1:]:
+        every = every.unionByName(e.select("t"))
+    often = every.groupBy("t").agg(F.count(F.lit(1)).alias("f")).orderBy(F.desc("f"), "t").limit(frequent)
+    order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "t"))), lambda x: x["t"])
+    return [e.join(F.broadcast(often), "t", "left").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), order.alias("tokens")) for e in each]
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) for all pairs of token sets (id, tokens) that have at least such a score: the overlap coefficient if two tokens are shared,
+    Jaccard if one is. Candidates by the rarest tokens, each checked whole. An empty set has no pairs, a null token equals nothing; ids are unique in a table."""
+    x, y = rarest_first([left, right])
+    found = overlap_candidates(x, y, least).join(x.toDF("a", "na", "ta"), "a").join(y.toDF("b", "nb", "tb"), "b")
+    found = found.withColumn("i", F.size(F.array_intersect(F.array_compact("ta"), "tb")))
     score = F.when(F.col("i") >= 2, F.col("i") / F.least("na", "nb")).otherwise(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
+    return found.where("i > 0").select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float = 0.34, top: int = 2) -> DataFrame:
+    """(a, b, score, rank) for rows (id, tokens): the `top` of the right for each of the left by `overlap_pairs`."""
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return shared.withColumn("score", F.round(score, 6)).where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("a", "b", "score", "rank")
+    return overlap_pairs(left, right, least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def first_mentions(reference: DataFrame, titles: DataFrame, least: float = 0.34) -> DataFrame:
+    """(a, hits, position, url, score): reference rows (id, tokens) that are seen in titles (position, url, tokens), how often, and the first of these.
+
+    Titles of equal tokens are joined once, however many there are."""
+    key = F.sha2(F.to_json(F.array_sort("tokens")), 256)
+    alike = titles.withColumn("id", key).groupBy("id").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("m"), F.min(F.struct("position", "url")).alias("at"))
+    met = overlap_pairs(reference, alike.select("id", "tokens"), least).join(alike.select(F.col("id").alias("b"), "m", "at"), "b")
+    best = met.groupBy("a").agg(F.sum("m").alias("hits"), F.min(F.struct("at", "score")).alias("x"))
+    return best.select("a", "hits", "x.at.position", "x.at.url", "x.score")
 
 
 def nearest_candidates(left: list[DataFrame], right: list[DataFrame], weights: list[float], top: int, least: float = 0.1) -> DataFrame:

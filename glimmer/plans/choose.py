@@ -152,6 +152,21 @@ def jon16(spark, d):
     return h.join(h.where("lens = 'standard'").select("host").distinct(), "host", "left_semi").groupBy("host").agg(F.countDistinct("query").alias("queries"))
 
 
+_SEEN = "regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ' || substr(regexp_extract(html, '<p>([^<]*)', 1), 1, 600) AS text"
+
+
+@query(
+    "jon16_reference_rows",
+    f"WITH r AS (SELECT item_id, unnest({_TOK}) AS t, len({_TOK}) AS na FROM benchmark), h AS (SELECT page_id, url, {_SEEN} FROM pages), p AS (SELECT page_id, url, unnest({_TOK}) AS t, len({_TOK}) AS nb FROM h), s AS (SELECT item_id, page_id, url, na, nb, count(*) AS i FROM r JOIN p ON r.t = p.t GROUP BY ALL), x AS (SELECT *, round(CASE WHEN i >= 2 THEN i / least(na, nb) ELSE i / (na + nb - i) END, 6) AS score FROM s) SELECT item_id, count(*) AS hits, min(page_id) AS page_id, arg_min(url, page_id) AS url, arg_min(score, page_id) AS score FROM x WHERE score >= 0.34 GROUP BY 1",
+)
+def jon16_rows(spark, d):
+    """Reference rows (the benchmark's items) that are seen in titles and snippets of results, with the first of these."""
+    found = table(spark, d, "pages").select("page_id", "url", F.expr(_SEEN))
+    titles = found.select(F.col("page_id").alias("position"), "url", text.tokens(F.col("text")).alias("tokens"))
+    reference = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
+    return matching.first_mentions(reference, titles).select(F.col("a").alias("item_id"), "hits", F.col("position").alias("page_id"), "url", "score")
+
+
 @query("jon17_surviving_source", I.sql("hits") + f"SELECT page_id, min(page_id) OVER (PARTITION BY lower({_KEY})) AS source_id FROM hits")
 def jon17(spark, d):
     h = I.hits(spark, d).select("page_id", F.lower(urls.page_key(F.col("url"))).alias("k"))

@@ -22,18 +22,33 @@ def src1(spark, d):
     return runs.scan_json(spark, path, "event_id long, event_type string, value double")
 
 
-_RUNS = "CASE o_orderstatus WHEN 'P' THEN 'fixture' ELSE 'live' END AS mode"
+# Runs are months of shipment: a folder each, with its rows; a month of orders has a manifest, in every fifth of a fixture, every seventh cut short.
+_MONTH = "year({0}) * 12 + month({0})"
+_MANIFESTS = f"m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS run_id, {_MONTH.format('o_orderdate')} AS m FROM orders)"
 
 
-@query("src2_live_runs", "SELECT l_orderkey AS run_id, count(*) AS rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1")
+def _run_folders(spark, d):
+    """Folders run=.../ of rows and of manifests, written as files; every fourth row is cut short."""
+    rows, manifests = new_path(spark, "run-rows"), new_path(spark, "run-manifests")
+    line = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_quantity"))
+    runs.write_folders(table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("run"), F.when(F.col("l_linenumber") % 4 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")), rows)
+    months = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("run"), F.expr(_MONTH.format("o_orderdate")).alias("m")).distinct()
+    line = F.to_json(F.struct(F.when(F.col("m") % 5 == 0, "fixture").otherwise("live").alias("mode"), F.concat(F.lit("orders of "), "run").alias("query")))
+    runs.write_folders(months.select("run", F.when(F.col("m") % 7 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")), manifests)
+    return rows, runs.manifests(spark, manifests)
+
+
+@query("src2_live_runs", f"WITH {_MANIFESTS} SELECT run_id, count(*) AS rows, sum(l_quantity) AS quantity FROM (SELECT strftime(l_shipdate, '%Y-%m') AS run_id, l_quantity FROM lineitem WHERE l_linenumber % 4 <> 0) JOIN m USING (run_id) WHERE m % 5 <> 0 AND m % 7 <> 0 GROUP BY 1")
 def src2(spark, d):
-    manifests = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.expr(_RUNS.removesuffix(" AS mode")).alias("mode"))
-    return runs.of_live_runs(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id")), manifests).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
+    """Rows of all runs, kept if the run has a manifest that can be read and says that it was live."""
+    rows, manifests = _run_folders(spark, d)
+    return runs.of_live_runs(runs.run_rows(spark, rows, "l_orderkey long, l_linenumber int, l_quantity double"), manifests).groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("src3_run_catalogue", "SELECT o_orderkey AS run_id FROM orders ORDER BY 1 DESC LIMIT 40")
+@query("src3_run_catalogue", f"WITH {_MANIFESTS} SELECT run_id, CASE WHEN m % 5 = 0 THEN 'fixture' ELSE 'live' END AS mode, 'orders of ' || run_id AS query FROM m WHERE m % 7 <> 0 ORDER BY 1 DESC LIMIT 40")
 def src3(spark, d):
-    return runs.catalogue(table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")))
+    """The newest 40 runs whose manifest can be read."""
+    return runs.catalogue(_run_folders(spark, d)[1])
 
 
 @query("src4_reference_items", "SELECT n_nationkey AS number, r_name AS area, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -11,6 +11,22 @@ def scan_json(spark: SparkSession, path: str, schema: str, strict: bool = False)
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def write_folders(rows: DataFrame, path: str) -> None:
+    """Lines (run, value) as text files, a folder run=.../ for each run; a run with very many lines is several files."""
+    rows.hint("rebalance", "run").write.partitionBy("run").text(path)
+
+
+def run_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON lines of many run folders, with `run_id` from the file's path. Blank lines and lines that cannot be read are no rows, whatever columns a query reads."""
+    run = F.regexp_extract("_metadata.file_path", r"/run=([^/]+)/[^/]*$", 1)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path).withColumn("run_id", run)
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, mode, query) of the manifests in run folders that can be read; one that is cut short is no row."""
+    return run_rows(spark, path, "mode string, query string").select("run_id", "mode", "query")
+
+
 def live_runs(manifests: DataFrame) -> DataFrame:
     """Runs whose manifest says that they were live."""
     return manifests.where("mode = 'live'").select("run_id")
@@ -22,7 +38,7 @@ def of_live_runs(rows: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def catalogue(manifests: DataFrame, n: int = 40) -> DataFrame:
     """The newest runs with a readable manifest."""
-    return manifests.where("run_id is not null").orderBy(F.desc("run_id")).limit(n)
+    return manifests.orderBy(F.desc("run_id")).limit(n)
 
 
 def reference_items(rows: DataFrame, expected: int = 100) -> DataFrame:
