@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,24 +77,27 @@ def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
     return n.select(group, order, F.floor((F.col("n") - 1) / size).alias("batch")).groupBy(group, "batch").agg(F.sort_array(F.collect_list(order)).alias("items"))
 
 
+@cache
+def _piece(size: int) -> re.Pattern:
+    """What one passage takes from where it begins: all that is left if it fits, else as much as ends before a line end, else before a blank, in the second half, else `size` characters."""
+    half = f".{{{max(1, size // 2)},{max(1, size - 1)}}}"
+    return re.compile(rf"(?s).{{1,{size}}}\Z|{half}(?=\n)|{half}(?= )|.{{{size}}}")
+
+
+_BLANK_OR_END = re.compile(r"\s|\Z")
+
+
 def cut(text: str, size: int = 1200) -> list[tuple[int, int]]:
-    """(start, end) of passages: up to a line end, else a blank, in the second half where there is one, without blanks at the ends. The next
-    one begins min(160, size / 5) before the end, or from there at the next blank, so sentences across a boundary are whole in one."""
-    out, at, over = [], 0, min(160, size // 5)
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            marks = (text.rfind(mark, at + size // 2, end) for mark in ("\n", " "))
-            end = next((m for m in marks if m >= 0), end)
-        piece = text[at:end]
-        first, last = end - len(piece.lstrip()), at + len(piece.rstrip())
-        if first < last:
-            out.append((first, last))
-        if end >= len(text):
-            break
-        at = max(at + 1, end - over)
-        while at < end and not text[at].isspace():
-            at += 1
+    """(start, end) of passages of up to `size` characters, without blanks at the ends; blank ones are left out. A passage begins at the first blank of
+    the last min(160, size / 5) characters of the one before (or where that ends), so a sentence across a boundary is whole in one of them."""
+    out, m = [], _piece(size).match(text)
+    while m:
+        words = m[0].strip()
+        if words:
+            start = m.start() + m[0].index(words)
+            out.append((start, start + len(words)))
+        again = _BLANK_OR_END.search(text, max(m.start() + 1, m.end() - min(160, size // 5)), m.end())
+        m = _piece(size).match(text, again.start()) if m.end() < len(text) else None
     return out
 
 
@@ -132,29 +136,51 @@ def contexts(docs: DataFrame, key: str, text: str, pattern: str, before: int = 3
     return docs.select(key, text).mapInPandas(find, f"{key} {kind}, n int, start int, end int")
 
 
+def incidence(sets: list[set], words: list[str]) -> np.ndarray:
+    """(sets x words), true where the set holds the word."""
+    column = {w: i for i, w in enumerate(words)}
+    held = np.zeros((len(sets), len(words)), bool)
+    for row, s in zip(held, sets, strict=True):
+        for w in s & column.keys():
+            row[column[w]] = True
+    return held
+
+
 def weighted(tokens: list[set], queries: list[set]) -> list[float]:
     """For each passage the best share of a query's words that it holds, words weighed by 1 + ln((passages + 1) / (1 + passages with the word))."""
-    weight = {w: 1 + math.log((len(tokens) + 1) / (1 + sum(w in t for t in tokens))) for q in queries for w in q}
-    total = lambda words: sum(weight[w] for w in sorted(words))
-    return [max((total(q & t) / max(1, total(q)) for q in queries), default=0.0) for t in tokens]
+    words = sorted(set().union(*queries))
+    if not words:
+        return [0.0] * len(tokens)
+    held, asked = incidence(tokens, words), incidence(queries, words)
+    weight = 1 + np.log((len(tokens) + 1) / (1 + held.sum(axis=0)))
+    best = np.zeros(len(tokens))
+    for q in asked:
+        # Words of the query alone, so passages that hold as much of it have the very same sum.
+        part = np.where(held[:, q], weight[q], 0.0).sum(axis=1) / max(1.0, weight[q].sum())
+        best = np.maximum(best, part.round(12))
+    return best.tolist()
 
 
 def chosen(tokens: list[set], scores: list[float], most: int) -> list[int]:
     """The passages that are read: all of a few; else the opening, then up to two thirds by their positive score, then by the share of words that none read so far has."""
-    if len(tokens) <= most:
-        return list(range(len(tokens)))
-    out = {0}
-    for i in sorted(range(len(tokens)), key=lambda i: (-scores[i], i)):
-        if len(out) < max(1, most * 2 // 3) and scores[i] > 0:
-            out.add(i)
-    while len(out) < most:
-        seen = set().union(*(tokens[i] for i in out))
-        out.add(max((i for i in range(len(tokens)) if i not in out), key=lambda i: (_new(tokens[i], seen), scores[i], -i)))
-    return sorted(out)
-
-
-def _new(words: set, seen: set) -> float:
-    return len(words - seen) / len(words) if words else 0.0
+    n, score = len(tokens), np.array(scores)
+    if n <= most:
+        return list(range(n))
+    read = np.zeros(n, bool)
+    read[0] = True
+    ranked = np.argsort(-score, kind="stable")
+    ranked = ranked[(score[ranked] > 0) & (ranked != 0)]
+    read[ranked[: max(0, most * 2 // 3 - 1)]] = True
+    fresh = incidence(tokens, sorted(set().union(*tokens)))
+    size = np.maximum(1, fresh.sum(axis=1))
+    fresh &= ~fresh[read].any(axis=0)
+    while read.sum() < most:
+        # The last key is the first in the order; the least index comes last of equal ones.
+        share = np.where(read, -1.0, fresh.sum(axis=1) / size)
+        best = np.lexsort((-np.arange(n), score, share))[-1]
+        read[best] = True
+        fresh &= ~fresh[best]
+    return np.flatnonzero(read).tolist()
 
 
 def reading_plan(docs: DataFrame, key: str, text: str, queries: str, most: int = 12, size: int = 1200, novel: float = 0.35, limit: int = 12) -> DataFrame:
@@ -163,19 +189,25 @@ def reading_plan(docs: DataFrame, key: str, text: str, queries: str, most: int =
 
     def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = []
+            done = []
             for k, t, asked in zip(pdf[key], pdf[text], pdf[queries], strict=True):
                 spans = cut(t or "", size)
+                if not spans:
+                    continue
                 tokens = [terms(t[a:b]) for a, b in spans]
                 scores = weighted(tokens, [q for q in map(terms, asked if asked is not None else []) if q])
-                shown = set(chosen(tokens, scores, most))
-                seen = set().union(*(tokens[i] for i in shown))
-                fresh = [0.0 if i in shown else _new(w, seen) for i, w in enumerate(tokens)]
-                order = sorted((i for i in range(len(spans)) if i not in shown and tokens[i] and fresh[i] >= novel), key=lambda i: (-fresh[i], i))[:limit]
-                rank = {i: r + 1 for r, i in enumerate(order)}
-                rows += [(k, i, a, b, scores[i], i in shown, fresh[i], rank.get(i)) for i, (a, b) in enumerate(spans)]
-            out = pd.DataFrame(rows, columns=[key, "n", "start", "end", "score", "shown", "fresh", "unread"])
-            yield out.astype({"unread": "Int32"})
+                shown = np.zeros(len(spans), bool)
+                shown[chosen(tokens, scores, most)] = True
+                known = set().union(*(tokens[i] for i in np.flatnonzero(shown)))
+                fresh = np.where(shown, 0.0, [len(w - known) / max(1, len(w)) for w in tokens])
+                rank = np.zeros(len(spans), "int32")
+                # Shown and empty ones have nothing new, also where `novel` is zero.
+                told = np.argsort(-fresh, kind="stable")
+                told = told[(fresh[told] >= novel) & (fresh[told] > 0)][:limit]
+                rank[told] = np.arange(1, len(told) + 1)
+                done += [(k, i, *span, *row) for i, (span, row) in enumerate(zip(spans, zip(scores, shown.tolist(), fresh.tolist(), rank.tolist(), strict=True), strict=True))]
+            out = pd.DataFrame(done, columns=[key, "n", "start", "end", "score", "shown", "fresh", "unread"])
+            yield out.assign(unread=out["unread"].astype("Int32").replace(0, pd.NA))
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text, queries).mapInPandas(plan, f"{key} {kind}, n int, start int, end int, score double, shown boolean, fresh double, unread int")
