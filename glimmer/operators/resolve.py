@@ -14,14 +14,14 @@ from glimmer.operators.components import connected_components
 from glimmer.session import written
 
 
-def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8) -> DataFrame:
+def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8, few: int = 200_000) -> DataFrame:
     """(id, leader) for rows (id, tokens): each joins the first earlier leader with such a Jaccard similarity, in order of id.
 
-    Rows can only be in one group with rows they are linked to by chains of similar pairs, so the order is
-    followed inside each component of the similarity join, whose pairs come from shared tokens (prefix filtering: only the
-    rarest tokens of a row, enough that pairs above the threshold share `shared` of them)."""
+    Similar pairs come from shared tokens (prefix filtering: only the rarest tokens of a row, enough that pairs above the threshold share `shared`
+    of them). Who follows is then decided in parallel rounds over the pairs (`followers`). Rows whose tokens are null are no rows; those without tokens follow the first of their kind."""
     # Rows with equal tokens follow the first of them, whatever the order: they are one row until the end.
-    same = rows.select("id", F.xxhash64(F.array_join(F.array_sort("tokens"), " ")).alias("h"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("k"), "tokens")
+    some = rows.where("tokens is not null")
+    same = some.select("id", F.xxhash64(F.array_join(F.array_sort("tokens"), " ")).alias("h"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("k"), "tokens")
     first = same.groupBy("h", "k").agg(F.min("id").alias("first"))
     rows_of = written(same.join(first, ["h", "k"]).select("id", "first", "tokens"), "same")
     sets = rows_of.where("id = first").select("id", "tokens")
@@ -30,32 +30,64 @@ def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8) -> DataFrame:
     df = t.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("id").orderBy("df", "t")
     pre = t.join(df, "t").withColumns({"r": F.row_number().over(w), "l": F.least(F.lit(shared), need)}).where(F.col("r") <= F.col("n") - need + F.col("l"))
+    # A token of one row alone has its place in the order, but meets nothing.
+    pre = written(pre.where("df > 1").select("id", "n", "l", "t"), "rarest")
     a, b = (pre.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}")) for x in "ab")
     met = a.join(b, "t").where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
     cand = met.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.least("la", "lb")).select("a", "b")
     full = cand.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    pairs = full.where(F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb")) >= least).select("a", "b")
-    comp = connected_components(pairs, "a", "b")
-    comp = written(comp, "components")
-    grouped = sets.join(comp, sets["id"] == comp["node"]).select("id", "tokens", "component")
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, set]] = []
-        out = []
-        for i, t in zip(pdf.sort_values("id").id, pdf.sort_values("id").tokens, strict=True):
-            s = set(t)
-            head = next((h for h, x in heads if len(s & x) / len(s | x) >= least), None)
-            if head is None:
-                heads.append((i, s))
-                head = i
-            out.append((i, head))
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    led = grouped.groupBy("component").applyInPandas(follow, "id long, leader long")
-    led = led.select(F.col("id").alias("first"), "leader")
+    pairs = written(full.where(F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb")) >= least).select("a", "b"), "pairs")
+    behind = followers(pairs, few)
+    led = pairs.join(behind.toDF("b"), "b", "left_semi").join(behind.toDF("a"), "a", "left_anti").groupBy(F.col("b").alias("first")).agg(F.min("a").alias("leader"))
     return rows_of.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
 
 
+def followers(pairs: DataFrame, few: int = 200_000, slow: float = 0.1) -> DataFrame:
+    """(node): the rows of similar pairs (a < b) that are no leaders: a row leads if no earlier row that it is similar to leads.
+
+    This is the first maximal independent set in the order, found in rounds: a row without an earlier undecided neighbour leads, its
+    neighbours follow, and all their pairs are done. Where a round ends less than a share `slow` of the pairs, rows wait for each other in chains: of those with one earlier
+    neighbour only, each is the opposite of the row before, and doubled pointers carry that over the chain in logarithmically many steps. The rounds
+    go on while more than `few` pairs are left; these are decided in one task, whose input is bounded by that number.
+    """
+    left = written(pairs.select("a", "b").distinct(), "undecided")
+    n, chains, done = left.count(), False, []
+    while n > few:
+        later = left.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.min("a").alias("a"))
+        heads = left.select(F.col("a").alias("node")).distinct().join(later, F.col("node") == F.col("b"), "left_anti")
+        if chains:
+            heads = heads.unionByName(_ends_of_chains(later.where("k = 1").select("b", "a"), heads))
+        behind = written(left.join(heads.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "followers")
+        done.append(behind)
+        left = written(left.join(behind.toDF("b"), "b", "left_anti").join(behind.toDF("a"), "a", "left_anti"), "undecided")
+        was, n = n, left.count()
+        chains = chains or was - n < slow * was
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        behind: set = set()
+        for a, b in pdf.sort_values(["b", "a"])[["a", "b"]].itertuples(index=False):
+            if a not in behind:
+                behind.add(b)
+        return pd.DataFrame({"node": list(behind)}, dtype=pdf["b"].dtype)
+
+    every = left.groupBy().applyInPandas(in_order, f"node {dict(pairs.dtypes)['b']}")
+    for behind in done:
+        every = every.unionByName(behind)
+    return written(every, "followers")
+
+
+def _ends_of_chains(links: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node): leaders among rows with one earlier neighbour (b, a), where a chain of such rows leads back to one of the heads: those an even number of steps away."""
+    at = written(links.select(F.col("b").alias("node"), F.col("a").alias("to"), F.lit(True).alias("odd")), "chain")
+    while True:
+        jump = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        step = at.join(jump, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.when(F.col("more"), ~F.col("odd")).otherwise(F.col("odd")).alias("odd"), F.col("next").isNotNull().alias("moved"))
+        step = written(step, "chain")
+        at = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return at.where("not odd").join(heads.withColumnRenamed("node", "to"), "to", "left_semi").select("node")
+
+
 def guarded_merge(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, score, result) for pairs (a, b, score) of rows (id, object, markers): in order of score two groups are merged if every
     member is compatible with every other: equal known objects and equal markers. Refused pairs keep their reason.

@@ -76,6 +76,41 @@ def test_leaders_against_one_pass(spark):
     assert got == want
 
 
+def in_order(pairs):
+    behind = set()
+    for b, a in sorted({(b, a) for a, b in pairs}):
+        if a not in behind:
+            behind.add(b)
+    return behind
+
+
+@pytest.mark.parametrize("slow", [0.0, 1.0])
+def test_followers_in_rounds(spark, slow):
+    """Random pairs, chains (in rounds, and by doubled pointers), a hub and repeated pairs, against the rule in order."""
+    rng = np.random.default_rng(4)
+    pairs = [(int(min(x)), int(max(x))) for x in rng.integers(0, 120, (200, 2)) if x[0] != x[1]]
+    pairs += [(200 + i, 201 + i) for i in range(9)] + [(300, 301 + i) for i in range(40)] + [(303, 400), (300, 400), (400, 401), (401, 402), (200, 201)]
+    got = [r.node for r in resolve.followers(spark.createDataFrame(pairs, "a long, b long"), few=0, slow=slow).collect()]
+    assert len(got) == len(set(got)) and set(got) == in_order(pairs)
+
+
+def test_followers_of_a_long_chain(spark):
+    """A chain of 100,000 rows takes logarithmically many steps, none of which sees the whole of it."""
+    got = resolve.followers(spark.range(99_999).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), few=100)
+    row = got.agg(F.count(F.lit(1)), F.sum(F.col("node") % 2), F.countDistinct("node")).first()
+    assert tuple(row) == (50_000, 50_000, 50_000)
+
+
+def test_leaders_of_odd_rows(spark):
+    """No rows, rows without tokens, null tokens, equal rows, and rounds down to the last pair."""
+    kind = "id long, tokens array<string>"
+    assert resolve.leaders(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, []), (2, None), (3, ["a", "b", "c", "d"]), (4, ["a", "b", "c", "d"]), (5, ["a", "b", "c", "d", "e"]), (6, ["a", "b", "c", "d", "e", "f"]), (7, [])]
+    for few in (0, 1000):
+        got = {r.id: r.leader for r in resolve.leaders(spark.createDataFrame(rows, kind), few=few).collect()}
+        assert got == {1: 1, 7: 1, 3: 3, 4: 3, 5: 3, 6: 6}
+
+
 def test_guarded_merge(spark):
     rows = spark.createDataFrame([(1, "o", ["a"]), (2, "o", ["a"]), (3, "o", ["b"]), (4, "p", ["a"]), (5, None, ["a"]), (6, "o", ["a"])], "id long, object string, markers array<string>")
     pairs = spark.createDataFrame([(1, 2, 0.99), (2, 3, 0.98), (2, 4, 0.97), (1, 5, 0.96), (2, 6, 0.95), (1, 6, 0.94)], "a long, b long, score double")
