@@ -20,7 +20,8 @@ def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8, few: int = 20
     Similar pairs come from shared tokens (prefix filtering: only the rarest tokens of a row, enough that pairs above the threshold share `shared`
     of them). Who follows is then decided in parallel rounds over the pairs (`followers`). Rows whose tokens are null are no rows; those without tokens follow the first of their kind."""
     # Rows with equal tokens follow the first of them, whatever the order: they are one row until the end.
-    some = rows.where("tokens is not null")
+    # Written first, so that what makes the tokens runs once.
+    some = written(rows.select("id", "tokens"), "rows").where("tokens is not null")
     same = some.select("id", F.xxhash64(F.array_join(F.array_sort("tokens"), " ")).alias("h"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("k"), "tokens")
     first = same.groupBy("h", "k").agg(F.min("id").alias("first"))
     rows_of = written(same.join(first, ["h", "k"]).select("id", "first", "tokens"), "same")
