@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions.text import TECH_FAMILIES, TECH_FORBIDDEN, markers, name_key
 from glimmer.operators.components import connected_components
+from glimmer.operators.matching import rarest_first
 from glimmer.session import written
 
 
@@ -27,12 +28,9 @@ def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8, few: int = 20
     rows_of = written(same.join(first, ["h", "k"]).select("id", "first", "tokens"), "same")
     sets = rows_of.where("id = first").select("id", "tokens")
     need = F.ceil(F.col("n") * least)
-    t = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    df = t.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "t")
-    pre = t.join(df, "t").withColumns({"r": F.row_number().over(w), "l": F.least(F.lit(shared), need)}).where(F.col("r") <= F.col("n") - need + F.col("l"))
-    # A token of one row alone has its place in the order, but meets nothing.
-    pre = written(pre.where("df > 1").select("id", "n", "l", "t"), "rarest")
+    # Any one order of the tokens is right; the rarest first meet the fewest rows.
+    ordered = rarest_first([sets])[0].withColumn("l", F.least(F.lit(shared), need))
+    pre = written(ordered.select("id", "n", "l", F.explode(F.slice("tokens", 1, (F.col("n") - need + F.col("l")).cast("int"))).alias("t")), "rarest")
     a, b = (pre.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}")) for x in "ab")
     met = a.join(b, "t").where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
     cand = met.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.least("la", "lb")).select("a", "b")
