@@ -41,11 +41,12 @@ def partial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote for each document: from its text, every fifth from another's, every seventh too short."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
-    size = F.when(F.col("doc_id") % 7 == 0, 10).otherwise(60)
-    text = F.when(F.col("doc_id") % 5 == 0, F.coalesce("next_text", "text")).otherwise(F.col("text"))
-    return d.join(other, "doc_id", "left").select("doc_id", "source", text.substr((F.col("doc_id") % 50 + 1).cast("int"), size.cast("int")).alias("quote"))
+    # Cut before the join, so texts are not moved.
+    at = lambda key: F.col("text").substr((key % 50 + 1).cast("int"), F.when(key % 7 == 0, 10).otherwise(60).cast("int"))
+    d = table(spark, sf_dir, "documents")
+    other = d.where((F.col("doc_id") - 1) % 5 == 0).select((F.col("doc_id") - 1).alias("doc_id"), at(F.col("doc_id") - 1).alias("next"))
+    own = d.select("doc_id", "source", at(F.col("doc_id")).alias("own"))
+    return own.join(other, "doc_id", "left").select("doc_id", "source", F.coalesce("next", "own").alias("quote"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,31 @@ def test_run_folders(spark):
     assert live.count() == 2 and runs.run_rows(spark, rows, "x long").count() == 5 and found.count() == 3
     assert sorted(tuple(r) for r in live.select("run_id", "x").collect()) == [("a", 1), ("e", 6)]
     assert [r.run_id for r in runs.catalogue(found, 2).collect()] == ["e", "b"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quotes_of_all_lengths(spark):
+    """Quotes of 15 to 300 characters, some above the first plane, of texts that repeat themselves: each pair once, and texts are not moved."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aé\n😀 ") for _ in range(r.randint(1, 9)))
+    line = "".join(word() for _ in range(40))
+    texts = ["".join(word() for _ in range(120)) + line * (i % 3) + word() for i in range(25)] + [None, "", "short"]
+    quotes = [(i, (t := texts[r.randrange(25)])[(p := r.randrange(len(t))) : p + r.randint(15, 300)] + ("x" if i % 9 == 0 else "")) for i in range(300)] + [(300, None)]
+    q, t = spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, d) for i, x in quotes for d, y in enumerate(texts) if x and len(x) >= 20 and x in (y or ""))
+    found = matching.contained(q, t)
+    assert sorted(tuple(x) for x in found.collect()) == want and want
+    assert sorted(x.quote_id for x in matching.held(q, t).collect()) == sorted({i for i, _ in want})
+    assert "hashpartitioning(doc_id" not in plan(found)
+    assert matching.contained(q.limit(0), t).count() == matching.contained(q, t.limit(0)).count() == 0
+
+
+def test_quotes_are_cut_before_they_move(spark):
+    from glimmer.plans import inputs
+
+    shown = plan(inputs.quotes(spark, "/root/testdata/sf0.001"))
+    below = shown[shown.index("Join") :] if "Join" in shown else shown
+    assert "substr" in below
