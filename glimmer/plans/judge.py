@@ -162,7 +162,7 @@ def _checks(spark, d):
     t = docs.select(urls.path_key(F.col("url")).alias("k"), text.quote_key(F.col("text")).alias("text"))
     own = p.join(t, "k", "left").select("doc_id", "quote", "published_at", F.col("text").isNotNull().alias("stored"), ((F.length("quote") >= 20) & F.coalesce(F.col("text").contains(F.col("quote")), F.lit(False))).alias("ok"))
     own = written(own, "positions")
-    pool = matching.contained(own.where("not stored").select(F.col("doc_id").alias("quote_id"), "quote"), docs.select("doc_id", text.quote_key(F.col("text")).alias("text"))).select(F.col("quote_id").alias("doc_id")).distinct().withColumn("pooled", F.lit(True))
+    pool = matching.held(own.where("not stored").select(F.col("doc_id").alias("quote_id"), "quote"), docs.select("doc_id", text.quote_key(F.col("text")).alias("text"))).select(F.col("quote_id").alias("doc_id")).withColumn("pooled", F.lit(True))
     dated = F.coalesce(F.col("published_at").between("2024-01-01", "2024-07-01"), F.lit(False))
     measured = (F.col("doc_id") % 5 == 1) & (F.col("doc_id") % 3 > 0)
     return own.join(pool, "doc_id", "left").select("doc_id", "quote", (F.col("ok") | F.coalesce("pooled", F.lit(False))).alias("ok"), (F.col("doc_id") % 4).alias("n_players"), dated.alias("dated"), measured.alias("measured"))
