@@ -8,6 +8,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,21 +221,24 @@ def terms(text: str) -> set[str]:
 
 def picked(rows: DataFrame, per_query: int, per_owner: int = 2) -> DataFrame:
     """Evidence (card, query, rank, owner, id): better rank first, so many of a query and so many of an owner over all
-    queries of the card. Both caps act on the same choice, so a card is decided in one group; a card's evidence is small."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        queries: dict = {}
-        owners: dict = {}
-        keep = []
-        for r in pdf.sort_values(["query", "rank", "id"]).itertuples():
-            ok = queries.get(r.query, 0) < per_query and owners.get(r.owner, 0) < per_owner
-            if ok:
-                queries[r.query] = queries.get(r.query, 0) + 1
-                owners[r.owner] = owners.get(r.owner, 0) + 1
-            keep.append((r.Index, ok))
-        return pdf.loc[[i for i, ok in keep if ok]]
-
-    return rows.groupBy("card").applyInPandas(pick, rows.schema)
+    queries of the card. Both caps act on the same choice, so a card's rows are one run of a sorted partition, read once with two small counters."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        card, queries, owners = object(), {}, {}
+        for batch in batches:
+            keep = []
+            for c, q, o in zip(*(batch.column(n).to_pylist() for n in ("card", "query", "owner")), strict=True):
+                if c != card:
+                    card, queries, owners = c, {}, {}
+                ok = queries.get(q, 0) < per_query and owners.get(o, 0) < per_owner
+                if ok:
+                    queries[q] = queries.get(q, 0) + 1
+                    owners[o] = owners.get(o, 0) + 1
+                keep.append(ok)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    order = [F.asc_nulls_last(c) for c in ("card", "query", "rank", "id", "owner")]
+    return rows.repartition("card").sortWithinPartitions(*order).mapInArrow(pick, rows.schema)
 
 
 def balanced(rows: DataFrame, limit: int, per_source: int) -> DataFrame:

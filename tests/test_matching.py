@@ -88,3 +88,18 @@ def test_quotes_are_cut_before_they_move(spark):
     shown = plan(inputs.quotes(spark, "/root/testdata/sf0.001"))
     below = shown[shown.index("Join") :] if "Join" in shown else shown
     assert "substr" in below
+
+
+def test_evidence_pick_counts_unknown_owners(spark):
+    """Rows without an owner or card are of one owner and of one card; a card of many batches keeps its counters."""
+    from glimmer.operators import select
+
+    rows = [(1, "q", i, None, i) for i in range(5)] + [(None, "q", i, i % 3, i) for i in range(6)] + [(2, f"q{i % 40:02}", i, i % 7, i) for i in range(25_000)]
+    got = select.picked(spark.createDataFrame(rows, "card long, query string, rank long, owner long, id long"), 3).collect()
+    queries, owners, want = {}, {}, set()
+    for r in sorted(rows, key=lambda r: (r[1], r[2], r[4])):
+        if queries.get((r[0], r[1]), 0) < 3 and owners.get((r[0], r[3]), 0) < 2:
+            queries[r[0], r[1]], owners[r[0], r[3]] = queries.get((r[0], r[1]), 0) + 1, owners.get((r[0], r[3]), 0) + 1
+            want.add(r)
+    assert {tuple(r) for r in got} == want and len(got) == len(want) == 2 + 3 + 14
+    assert "FlatMapGroupsInPandas" not in plan(select.picked(spark.createDataFrame(rows[:1], "card long, query string, rank long, owner long, id long"), 3))
