@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glimmer.functions.text import TECH_FAMILIES, TECH_FORBIDDEN, markers, name_key
 from glimmer.operators.components import connected_components
 from glimmer.operators.matching import rarest_first
-from glimmer.session import written
+from glimmer.session import in_slices, written
 
 
 def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8, few: int = 200_000) -> DataFrame:
@@ -256,7 +256,7 @@ def abbreviations(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "abbreviation", "expansion"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(mine, f"{key} {kind}, abbreviation string, expansion string")
+    return in_slices(docs.select(key, text), mine, f"{key} {kind}, abbreviation string, expansion string")
 
 
 def conflicts(accepted: DataFrame, protected: DataFrame) -> DataFrame:

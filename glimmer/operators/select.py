@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions.text import STOP_WORDS
+from glimmer.session import in_slices
 
 
 def fair_urls(hits: DataFrame, per_owner: int, limit: int, exempt: str = "false") -> DataFrame:
@@ -111,7 +112,7 @@ def passages(docs: DataFrame, key: str, text: str, size: int = 1200) -> DataFram
             yield pd.DataFrame(rows, columns=[key, "n", "start", "end", "passage"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(split, f"{key} {kind}, n int, start int, end int, passage string")
+    return in_slices(docs.select(key, text), split, f"{key} {kind}, n int, start int, end int, passage string")
 
 
 def contexts(docs: DataFrame, key: str, text: str, pattern: str, before: int = 350, after: int = 650, most: int = 3) -> DataFrame:
@@ -134,7 +135,7 @@ def contexts(docs: DataFrame, key: str, text: str, pattern: str, before: int = 3
             yield pd.DataFrame(rows, columns=[key, "n", "start", "end"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(find, f"{key} {kind}, n int, start int, end int")
+    return in_slices(docs.select(key, text), find, f"{key} {kind}, n int, start int, end int")
 
 
 def incidence(sets: list[set], words: list[str]) -> np.ndarray:
@@ -211,7 +212,7 @@ def reading_plan(docs: DataFrame, key: str, text: str, queries: str, most: int =
             yield out.assign(unread=out["unread"].astype("Int32").replace(0, pd.NA))
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text, queries).mapInPandas(plan, f"{key} {kind}, n int, start int, end int, score double, shown boolean, fresh double, unread int")
+    return in_slices(docs.select(key, text, queries), plan, f"{key} {kind}, n int, start int, end int, score double, shown boolean, fresh double, unread int")
 
 
 def terms(text: str) -> set[str]:

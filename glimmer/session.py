@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,5 +61,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def in_slices(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, rows: int = 256) -> DataFrame:
+    """As mapInPandas, but `f` gets so many rows at a time, whatever Spark's batches hold, so a worker has few texts and results as Python objects."""
+    columns = pa.schema([pa.field(name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(","))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.slice(i, rows).to_pandas(integer_object_nulls=True) for b in batches for i in range(0, b.num_rows, rows))
+        for out in f(slices):
+            yield pa.RecordBatch.from_pandas(out, schema=columns, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -103,3 +103,15 @@ def test_evidence_pick_counts_unknown_owners(spark):
             want.add(r)
     assert {tuple(r) for r in got} == want and len(got) == len(want) == 2 + 3 + 14
     assert "FlatMapGroupsInPandas" not in plan(select.picked(spark.createDataFrame(rows[:1], "card long, query string, rank long, owner long, id long"), 3))
+
+
+def test_texts_come_in_slices(spark):
+    """Whatever Spark's batches hold, few rows at a time; keys may be null."""
+    import pandas as pd
+
+    from glimmer.session import in_slices
+
+    sizes = lambda parts: (pd.DataFrame({"k": p["k"], "n": len(p)}) for p in parts)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("nullif(id, 7) AS k")
+    got = in_slices(rows, sizes, "k bigint, n int").collect()
+    assert max(r.n for r in got) == 256 and len(got) == 3000 and [r.k for r in got if r.k is None] == [None]
