@@ -160,7 +160,8 @@ def records(data: bytes) -> Iterator[dict]:
 
 
 def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pages with _key, _payload, _revisits (page id and known flag of the response, null for responses), dealt out for writing."""
+    """Pages with _key and _payload, and before those of a key one row without a page (_page false) with `first`, the page id and known flag of
+    the response, where payloads are equal. Both are dealt out for writing at once: joined before, payloads would be shuffled twice."""
     payload = F.coalesce(F.encode(F.col("html"), "utf-8"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256))
     rows = rows.withColumn("_key", F.concat_ws(":", F.col("page_id").cast("string"), F.col("_digest")))
@@ -170,7 +171,10 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     firsts = slim.where(F.col("n") >= least).groupBy("_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("_digest", "first")
     firsts = written(firsts, "firsts")  # a plain table, so that a digest of very many pages is split in the join
     later = slim.where(F.col("n") >= least).join(firsts, "_digest").groupBy("_key").agg(F.first("first").alias("first"))
-    return rows.repartition(archives, "_key").join(later.repartition(archives, "_key"), "_key", "left").sortWithinPartitions("_key")
+    page = rows.select("page_id", "url", "_payload", "_key", F.lit(None).cast(later.schema["first"].dataType).alias("first"), F.lit(True).alias("_page"))
+    # A page id that is not null, so that pandas keeps those of pages as integers.
+    mark = later.select(F.lit(0).cast(rows.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(b"").alias("_payload"), "_key", "first", F.lit(False).alias("_page"))
+    return page.unionByName(mark).repartition(archives, "_key").sortWithinPartitions("_key", "_page")
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
@@ -178,11 +182,14 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def made() -> Iterator[bytes]:
-            before = None
+            before, marked, at = None, None, None
             for pdf in batches:
                 for r in pdf.itertuples(index=False):
+                    if not r.page:
+                        marked, at = r.first, r.page_key
+                        continue
                     page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                    first = r.first
+                    first = marked if r.page_key == at else None
                     revisit = first is not None and ((None if first["none"] else int(first["page_id"])) != page_id or r.page_key == before)
                     before = r.page_key
                     yield record(page_id, r.url, r.payload, revisit, None if not revisit or first["none"] else int(first["page_id"]))
@@ -205,7 +212,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
                 held, size = [], 0
         yield pd.DataFrame({"frame": held})
 
-    dealt = plan(pages, least).select("page_id", "url", F.col("_payload").alias("payload"), "first", F.col("_key").alias("page_key"))
+    dealt = plan(pages, least).select("page_id", "url", F.col("_payload").alias("payload"), "first", F.col("_key").alias("page_key"), F.col("_page").alias("page"))
     dealt.mapInPandas(pack, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", _LINE_END).text(path)
 
 

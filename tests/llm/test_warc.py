@@ -56,3 +56,12 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sorted((tuple(r) for r in W.op7_warc(spark, sf).collect()), key=str) == want(rows)
+
+
+def test_payloads_are_shuffled_once(spark):
+    """Each row to write once, in as many tasks as there are archives, whatever the session's number of partitions."""
+    pages = spark.createDataFrame([(i, "u", LONG * 400 + "x" * (i // 2 % 50)) for i in range(1000)], "page_id long, url string, html string")
+    dealt = W.plan(pages)
+    assert dealt.where("_page").count() == 1000
+    assert 1 < dealt.rdd.getNumPartitions() == -(-sum(len((LONG * 400 + "x" * (i // 2 % 50)).encode()) for i in range(1000)) // W.ARCHIVE_BYTES)
+    assert "Join" not in dealt._jdf.queryExecution().executedPlan().toString().split("Union")[0]
