@@ -15,6 +15,8 @@ The work is dealt out by runs of cells of `ENTRY_BLOCK` entries about (a larger
 queries: a query goes once to each run with a cell that it visits, and an entry is copied only for
 each `QUERY_BLOCK` queries that visit its run. Of equal vectors only the `n` + 1 least ids can
 be among the nearest, so no more are indexed, which loses nothing and bounds a group of copies.
+A query's `n`-th best inner product with the sample's vectors in its cells goes with it: what is below cannot be
+among its nearest, so of most runs nothing is returned, and the rows do not grow with runs times queries.
 
 Defined results: vectors that are null, zero, of another length than most (ties: the smaller length), or hold null, NaN or
 infinite components take no part, nor do rows without id; repeated rows count once, but different vectors of one
@@ -96,12 +98,13 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def rerank(left: pd.DataFrame, right: pd.DataFrame, n: int) -> pd.DataFrame:
-    """The nearest `n` of the entries (vec_id, v, first, second) in visited cells for each query (query_id, v, masks)."""
+    """The nearest `n` of the entries (vec_id, v, first, second) in visited cells for each query (query_id, v, masks, bound), those under its bound left out."""
     ids, first, second = left.vec_id.to_numpy(), left["first"].to_numpy(), left.second.to_numpy().astype(np.uint64)
     x = np.stack(left.v.to_numpy()).astype(np.float64)
     q_ids = right.query_id.to_numpy()
     q = np.stack(right.v.to_numpy()).astype(np.float64)
     masks = np.stack(right.masks.to_numpy()).astype(np.int64).view(np.uint64)
+    bound = right["bound"].to_numpy() if "bound" in right else np.full(len(q), -np.inf)
     # What rounding can change in a product of that length, as added up in another order.
     slack = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
     out: list[tuple[np.ndarray, ...]] = []
@@ -111,6 +114,7 @@ def rerank(left: pd.DataFrame, right: pd.DataFrame, n: int) -> pd.DataFrame:
         a, b = np.nonzero(q_ids[i : i + 256, None] == ids[None])
         own = (q[i + a] == x[b]).all(axis=1)
         open_[a[own], b[own]] = False
+        open_ &= s >= (bound[i : i + 256] - slack[i : i + 256])[:, None]
         s[~open_] = -np.inf
         if s.shape[1] > n:
             open_ &= s >= (np.partition(s, -n, axis=1)[:, -n] - slack[i : i + 256])[:, None]
@@ -203,23 +207,39 @@ def nearest(rows: DataFrame, every: int, n: int = 20, id_col: str = "vec_id", ve
     cells = [(int(c // len(c2)), int(c % len(c2)), int(first_group[run_of[c]]), int(parts[run_of[c]])) for c in np.flatnonzero(sizes.ravel())]
     cells = spark.createDataFrame(cells, "first int, second int, base int, parts int")  # k * k rows at most
 
+    # Cells of the sample's vectors, to tell which of them a query meets.
+    at1, at2 = _distances(fit[:, :half], c1).argmin(1), _distances(fit[:, half:], c2).argmin(1)
+    known = spark.sparkContext.broadcast((sample, at1, at2, np.linalg.norm(sample, axis=1).max()))
+
+    def bounds(x: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
+        """A number that the `n` nearest in the visited cells reach at least: the n-th best of the sample's there; a few
+        places later, as one of these can be the query itself and one between two cells be indexed in the other."""
+        vectors, first, second, longest = known.value
+        with np.errstate(all="ignore"):
+            s = x @ vectors.T
+            for i, m in enumerate(masks):
+                s[i, (m[first] >> second.astype(np.uint64) & np.uint64(1) == 0) | np.isnan(s[i])] = -np.inf
+            low = np.partition(s, -n - 4, axis=1)[:, -n - 4] if s.shape[1] >= n + 4 else np.full(len(x), -np.inf)
+            low = low - 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(x, axis=1) * longest
+        return np.where(np.isfinite(low), low, -np.inf)
+
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
                 x = asked(np.stack(part.v.to_numpy()))
-                out: dict[str, list] = {"query_id": [], "v": [], "masks": [], "group": []}
-                for query, v, a, b in zip(part.vec_id, part.v, _distances(x[:, :half], c1), _distances(x[:, half:], c2), strict=True):
-                    masks = visited(a, b, sizes, want)
+                out: dict[str, list] = {"query_id": [], "v": [], "masks": [], "bound": [], "group": []}
+                every_mask = [visited(a, b, sizes, want) for a, b in zip(_distances(x[:, :half], c1), _distances(x[:, half:], c2), strict=True)]
+                for query, v, masks, low in zip(part.vec_id, part.v, every_mask, bounds(np.stack(part.v.to_numpy()).astype(float), every_mask), strict=True):
                     seen = (masks[:, None] >> np.arange(len(c2), dtype=np.uint64)[None] & np.uint64(1)).astype(bool).ravel() & (sizes.ravel() > 0)
                     for run in np.flatnonzero(np.logical_or.reduceat(seen, starts)):
                         for g in range(first_group[run], first_group[run + 1]):
-                            for c, value in zip(out, (query, v, masks.view(np.int64), g), strict=True):
+                            for c, value in zip(out, (query, v, masks.view(np.int64), low, g), strict=True):
                                 out[c].append(value)
                 yield pd.DataFrame(out)
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    right = written(queries.mapInPandas(visit, "query_id long, v array<double>, masks array<long>, group int"), "visits")
+    right = written(queries.mapInPandas(visit, "query_id long, v array<double>, masks array<long>, bound double, group int"), "visits")
     blocks = written(right.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks")), "blocks")
     if first_group[-1] <= MAX_BROADCAST_GROUPS:
         blocks = F.broadcast(blocks)

@@ -97,3 +97,24 @@ def test_recall(spark):
     got = by_query(N.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), 20, least=0).collect())
     hits = sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want)
     assert set(got) == set(want) and all(len(g) == 20 for g in got.values()) and hits >= 0.9 * 20 * len(want)
+
+
+def test_runs_return_what_can_be_nearest(spark, monkeypatch):
+    """Many runs of cells: each returns what can be among a query's nearest, not its own best, and the result is that without bounds."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 12))
+    x[100:160] = x[20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(N, "ENTRY_BLOCK", 64)
+    made = spark.sparkContext.accumulator(0)
+    plain = N.rerank
+
+    def counted(left, right, n):
+        found = plain(left, right, n)
+        made.add(len(found))
+        return found
+
+    monkeypatch.setattr(N, "rerank", counted)
+    got = by_query(N.nearest(df, 20, share=1.0).collect())
+    assert got == brute(np.arange(4000), x, 20, 20)
+    assert 200 * 20 <= made.value < 200 * 20 * 5
