@@ -115,3 +115,14 @@ def test_texts_come_in_slices(spark):
     rows = spark.range(0, 3000, 1, 1).selectExpr("nullif(id, 7) AS k")
     got = in_slices(rows, sizes, "k bigint, n int").collect()
     assert max(r.n for r in got) == 256 and len(got) == 3000 and [r.k for r in got if r.k is None] == [None]
+
+
+def test_packets_are_cut_by_a_sketch(spark, monkeypatch):
+    """No exact percentile, which would hold every distinct time in one task."""
+    from glimmer.plans import scans
+
+    def exact(*_):
+        raise AssertionError("all times in one task")
+
+    monkeypatch.setattr(scans.F, "percentile", exact)
+    assert scans.st2(spark, "/root/testdata/sf0.001").count() == 5
