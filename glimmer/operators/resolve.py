@@ -3,42 +3,126 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions.text import TECH_FAMILIES, TECH_FORBIDDEN, markers, name_key
 from glimmer.operators.components import connected_components
-from glimmer.operators.matching import rarest_first
+from glimmer.operators.matching import FREQUENT
 from glimmer.session import in_slices, written
 
 
-def leaders(rows: DataFrame, least: float = 0.75, shared: int = 8, few: int = 200_000) -> DataFrame:
+#: How many parts two similar sets are asked to share.
+SHARED = 4
+
+
+def leaders(rows: DataFrame, least: float = 0.75, few: int = 200_000) -> DataFrame:
     """(id, leader) for rows (id, tokens): each joins the first earlier leader with such a Jaccard similarity, in order of id.
 
-    Similar pairs come from shared tokens (prefix filtering: only the rarest tokens of a row, enough that pairs above the threshold share `shared`
-    of them). Who follows is then decided in parallel rounds over the pairs (`followers`). Rows whose tokens are null are no rows; those without tokens follow the first of their kind."""
+    Similar pairs come from shared parts of the token sets (`similar_sets`). Who follows is then decided in parallel rounds over the pairs (`followers`).
+    Rows whose tokens are null are no rows; those without tokens follow the first of their kind."""
+    # Tokens are 64-bit digests from here on. Written first and looked at only then, so that what makes the tokens runs once.
+    digests = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))))
+    every = written(rows.select("id", digests.alias("tokens")), "rows").where("tokens is not null").withColumns({"h": F.xxhash64("tokens"), "k": F.xxhash64(F.lit(1), "tokens")})
     # Rows with equal tokens follow the first of them, whatever the order: they are one row until the end.
-    # Written first, so that what makes the tokens runs once.
-    some = written(rows.select("id", "tokens"), "rows").where("tokens is not null")
-    same = some.select("id", F.xxhash64(F.array_join(F.array_sort("tokens"), " ")).alias("h"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("k"), "tokens")
-    first = same.groupBy("h", "k").agg(F.min("id").alias("first"))
-    rows_of = written(same.join(first, ["h", "k"]).select("id", "first", "tokens"), "same")
-    sets = rows_of.where("id = first").select("id", "tokens")
-    need = F.ceil(F.col("n") * least)
-    # Any one order of the tokens is right; the rarest first meet the fewest rows.
-    ordered = rarest_first([sets])[0].withColumn("l", F.least(F.lit(shared), need))
-    pre = written(ordered.select("id", "n", "l", F.explode(F.slice("tokens", 1, (F.col("n") - need + F.col("l")).cast("int"))).alias("t")), "rarest")
-    a, b = (pre.select("t", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}")) for x in "ab")
-    met = a.join(b, "t").where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    cand = met.groupBy("a", "b", "la", "lb").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= F.least("la", "lb")).select("a", "b")
-    full = cand.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    pairs = written(full.where(F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb")) >= least).select("a", "b"), "pairs")
+    first = written(every.select("id", "h", "k").join(every.groupBy("h", "k").agg(F.min("id").alias("first")), ["h", "k"]).select("id", "first"), "first")
+    copies = written(first.where("id <> first").select("id"), "copies")
+    pairs = similar_sets(every.select("id", "tokens").join(copies, "id", "left_anti"), least)
     behind = followers(pairs, few)
     led = pairs.join(behind.toDF("b"), "b", "left_semi").join(behind.toDF("a"), "a", "left_anti").groupBy(F.col("b").alias("first")).agg(F.min("a").alias("leader"))
-    return rows_of.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+    return first.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of sets (id, tokens: distinct digests in order) that have at least such a Jaccard similarity.
+
+    Sets of na and nb tokens that are so similar differ in at most d = (1 - least) / (1 + least) * (na + nb) tokens. Tokens are dealt to parts by their value, as many
+    parts as fit the size (doubled sizes have doubled parts; a set goes to the sizes of all that may be similar and as large). A differing token spoils one part, so all but d of
+    the parts of either are equal in both, and of its parts in one order the first d + k hold k: only these are joined. A part of several tokens, rarest first, is
+    equal by chance far less often than a token, and k of them (`SHARED`, fewer if a set has no more) hardly ever. Sets that have no more than d parts meet by their rarest tokens as well."""
+    n = F.size("tokens")
+    spark = sets.sparkSession
+    often = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")).orderBy(F.desc("f"), "t").limit(FREQUENT).toArrow()
+    # How much a token tells, in whole numbers so that equal parts have equal sums; those that are not among the most frequent tell alike.
+    f = np.append(often["f"].to_numpy(), 1)
+    order = np.argsort(often["t"].to_numpy())
+    known = spark.sparkContext.broadcast((often["t"].to_numpy()[order], np.rint(16 * np.log2(f.max() / f[:-1])).astype(np.int64)[order], int(16 * np.log2(f.max() / f[:-1].min(initial=f.max()))) + 16))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                yield from _first_parts(batch.slice(at, 512), least, *known.value)
+
+    kind = dict(sets.dtypes)["id"]
+    # Both sides of the join are the same table, moved once.
+    pre = sets.where(n > 0).select("id", "tokens").mapInArrow(parts, f"id {kind}, n int, mark int, part long")
+    a, b = (pre.select("part", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("mark").alias(f"mark{x}")) for x in "ab")
+    met = a.join(b, "part").where("a < b and (marka | markb) & 1 = 1").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    cand = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.expr("shiftright(least(marka, markb), 1)")).alias("l"))
+    cand = written(cand.where("k >= l").select("a", "b"), "candidates")
+    full = cand.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return written(full.where(both / (F.size("ta") + F.size("tb") - both) >= least).select("a", "b"), "pairs")
+
+
+def _first_parts(batch: pa.RecordBatch, least: float, frequent: np.ndarray, tells: np.ndarray, rare: int) -> Iterator[pa.RecordBatch]:
+    """(id, n, mark, part) of a slice of sets (id, tokens): hashes of the parts by which `similar_sets` joins. mark: twice how many have to be shared, plus one where the set is
+    of the size that the parts are made for."""
+    lists = batch.column("tokens")
+    every = lists.flatten().to_numpy(zero_copy_only=False)
+    n_of = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    at = np.minimum(np.searchsorted(frequent, every), max(len(frequent) - 1, 0))
+    told = np.where(frequent[at] == every, tells[at], rare) if len(frequent) else np.full(len(every), rare)
+    row_of = np.repeat(np.arange(len(n_of)), n_of)
+    scale = np.floor(np.log2(n_of)).astype(np.int64)
+    larger = np.floor(n_of / least + 1e-9).astype(np.int64)
+    for up in range(int((np.floor(np.log2(larger)).astype(np.int64) - scale).max(initial=-1)) + 1):
+        g = scale + up
+        goes = larger >= 1 << g
+        most = np.minimum(larger, (2 << g) - 1)
+        d = np.floor((1 - least) / (1 + least) * (n_of + most) + 1e-9).astype(np.int64)
+        deal = np.maximum(3 << g >> 2, 1).astype(np.uint64)
+        here = goes[row_of]
+        row, t, w = row_of[here], every[here].view(np.uint64), told[here]
+        # Very small sets have no parts of several tokens.
+        dealt = g[row] >= 3
+        kept, bare = _cut(row[dealt], (t % deal[row])[dealt].astype(np.int64), t[dealt], w[dealt], d, SHARED)
+        bare = goes & ((g < 3) | bare)
+        single = bare[row]
+        alone = np.arange(int(single.sum()))
+        by_token, _ = _cut(row[single], alone, t[single], w[single], n_of - np.ceil(least * n_of - 1e-9).astype(np.int64), 1)
+        for (r, part, k), salt in ((kept, 1), (by_token, 2)):
+            part = _mixed(part + (g[r].astype(np.uint64) * np.uint64(4) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            columns = [batch.column("id").take(pa.array(r)), pa.array(n_of[r].astype(np.int32)), pa.array((2 * k + (up == 0)).astype(np.int32)), pa.array(part)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "mark", "part"])
+
+
+def _cut(row: np.ndarray, part: np.ndarray, t: np.ndarray, w: np.ndarray, d: np.ndarray, shared: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(row, hash, k) of the first d + k parts of each row, those that tell most first, where k is `shared` or as many as there are, and which rows have d parts at most."""
+    order = np.lexsort((part, row))
+    row, part = row[order], part[order]
+    start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(row) else np.zeros(0, np.int64)
+    h = _mixed(np.add.reduceat(_mixed(t[order]), start)) if len(row) else np.zeros(0, np.uint64)
+    tells = np.add.reduceat(w[order], start) if len(row) else np.zeros(0, np.int64)
+    row = row[start]
+    order = np.lexsort((h, -tells, row))
+    row, h = row[order], h[order]
+    has = np.bincount(row, minlength=len(d))
+    place = np.arange(len(row)) - (np.cumsum(has) - has)[row]
+    k = np.clip(has - d, 1, shared)
+    ok = place < (d + k)[row]
+    return (row[ok], h[ok], k[row[ok]]), has <= d
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def followers(pairs: DataFrame, few: int = 200_000, slow: float = 0.1) -> DataFrame:

@@ -381,8 +381,8 @@ def er1(spark, d):
 
 @query("er2_leader_clusters")
 def er2(spark, d):
-    # Null for none; a filter of its own would make the tokens a second time.
-    tokens = F.nullif(text.tokens(F.col("text")), F.array().cast("array<string>"))
+    # Null for none; a filter or a comparison of its own would make the tokens a second time.
+    tokens = F.get(F.filter(F.array(text.tokens(F.col("text"))), lambda t: F.size(t) > 0), F.lit(0))
     return resolve.leaders(table(spark, d, "documents").select(F.col("doc_id").alias("id"), tokens.alias("tokens")))
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,35 @@ def test_leaders_against_one_pass(spark):
     assert got == want
 
 
+def test_similar_sets_of_all_sizes(spark):
+    """Sets of one to 600 tokens and copies with some tokens changed, against all pairs; two thresholds."""
+    rng = np.random.default_rng(7)
+    sets = {}
+    for i in range(0, 240, 4):
+        s = set(rng.integers(0, 2000, int(2 ** rng.uniform(0, 9.2))).tolist())
+        for j in range(4):
+            drop, new = int(rng.integers(0, 1 + len(s) // 5)), int(rng.integers(0, 1 + len(s) // 6))
+            sets[i + j] = set(sorted(s, key=lambda x: hash((x, i, j)))[drop:]) | set(rng.integers(0, 2000, new).tolist())
+    rows = spark.createDataFrame([(i, [f"t{x}" for x in s]) for i, s in sets.items()] + [(999, [])], "id long, tokens array<string>")
+    digests = rows.select("id", F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens"))
+    for least in (0.75, 0.5):
+        want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x | y and len(x & y) / len(x | y) >= least}
+        got = [(r.a, r.b) for r in resolve.similar_sets(digests, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_parts_join_few_unlike_sets():
+    """3,000 unlike sets over 2,000 tokens: each token is in 90 of them, so their rarest tokens join over a million pairs."""
+    rng = np.random.default_rng(8)
+    digests = rng.integers(-(2**63), 2**63, 2000)
+    sets = [np.sort(rng.choice(digests, 60, replace=False)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(3000), pa.int64()), "tokens": pa.array(sets, pa.list_(pa.int64()))})
+    none = np.zeros(0, np.int64)
+    parts = pd.concat(b.to_pandas() for b in resolve._first_parts(batch, 0.75, none, none, 1))
+    met = parts[["id", "part"]].merge(parts[["id", "part"]], on="part").query("id_x < id_y").groupby(["id_x", "id_y"]).size()
+    assert len(met) < 400_000 and (met >= resolve.SHARED).sum() < 1_000
+
+
 def in_order(pairs):
     behind = set()
     for b, a in sorted({(b, a) for a, b in pairs}):
