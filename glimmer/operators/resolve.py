@@ -17,62 +17,111 @@ from glimmer.operators.matching import FREQUENT
 from glimmer.session import in_slices, written
 
 
-#: How many parts two similar sets are asked to share.
+#: How many parts two similar sets may be asked to share.
 SHARED = 4
+#: Tokens in a section of the smallest set of its size, and the parts that these are dealt to.
+SECTION, DEAL = 32, 28
+#: A sketch of a section: the parity of its tokens in so many bins, then its size, up to 255.
+BINS = 55
+#: Up to so many keys or pairs are sent to all tasks, after a count.
+KEYS = 2_000_000
 
 
-def leaders(rows: DataFrame, least: float = 0.75, few: int = 200_000) -> DataFrame:
+def leaders(rows: DataFrame, least: float = 0.75, few: int = 200_000, most: int = 8, soon: int = 10_000) -> DataFrame:
     """(id, leader) for rows (id, tokens): each joins the first earlier leader with such a Jaccard similarity, in order of id.
 
-    Similar pairs come from shared parts of the token sets (`similar_sets`). Who follows is then decided in parallel rounds over the pairs (`followers`).
+    Rows that may be similar meet by shared parts of the token sets, as in `similar_sets`, but each meets its `most` first likely ones only in a part, so a large group of near copies gives no square of
+    pairs. Of more than `soon` candidates each row is compared with its first one, then with four times as many. Who follows is decided after each such round (`followers`): what follows leads
+    nobody, and what has found a leader asks no more. Rows that were cut short in a part and found no leader meet again those that lead or wait, with four times the bound,
+    until none waits. In the end all that follow and were once cut short meet the leaders before their own, for the first.
     Rows whose tokens are null are no rows; those without tokens follow the first of their kind."""
     # Tokens are 64-bit digests from here on. Written first and looked at only then, so that what makes the tokens runs once.
     digests = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))))
     every = written(rows.select("id", digests.alias("tokens")), "rows").where("tokens is not null").withColumns({"h": F.xxhash64("tokens"), "k": F.xxhash64(F.lit(1), "tokens")})
     # Rows with equal tokens follow the first of them, whatever the order: they are one row until the end.
     first = written(every.select("id", "h", "k").join(every.groupBy("h", "k").agg(F.min("id").alias("first")), ["h", "k"]).select("id", "first"), "first")
-    copies = written(first.where("id <> first").select("id"), "copies")
-    pairs = similar_sets(every.select("id", "tokens").join(copies, "id", "left_anti"), least)
-    behind = followers(pairs, few)
-    led = pairs.join(behind.toDF("b"), "b", "left_semi").join(behind.toDF("a"), "a", "left_anti").groupBy(F.col("b").alias("first")).agg(F.min("a").alias("leader"))
-    return first.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+    sets = every.select("id", "tokens").join(_sent(written(first.where("id <> first").select("id"), "copies")), "id", "left_anti")
+
+    found = _met(_entries(sets, least), least, most)
+    hot = found.where("part is not null").select(F.col("a").alias("id"), "part", "sketch", "cut")
+    short = cut = written(hot.where("cut").select(F.col("id").alias("node")).distinct(), "cut")
+    seen = rest = written(_pairs(found), "candidates")
+    pairs = behind = None
+    drop = lambda df, side: df if behind is None else df.join(behind.toDF(side), side, "left_anti")
+    take = 1
+    while True:
+        now, later = _next(rest, take, soon)
+        now = _similar(now, sets, least)
+        pairs = now if pairs is None else pairs.unionByName(now)
+        asked = written(drop(drop(pairs, "a"), "b"), "alike")
+        new = followers(asked, few, open=cut.unionByName(later.select(F.col("b").alias("node"))).distinct())
+        behind = new if behind is None else behind.unionByName(new)
+        rest = written(drop(drop(later, "a"), "b"), "candidates")
+        if rest.isEmpty():
+            waiting = drop(drop(asked, "a").select(F.col("b").alias("node")).unionByName(cut).distinct(), "node")
+            if cut.isEmpty() or (waiting := written(waiting, "waiting")).isEmpty():
+                break
+            most *= 4
+            found = _met(drop(hot, "id"), least, most)
+            rest = written(_pairs(found).join(waiting.toDF("b"), "b", "left_semi").join(seen, ["a", "b"], "left_anti").select("a", "b"), "candidates")
+            cut = written(found.where("cut").select(F.col("a").alias("node")).distinct().join(waiting, "node", "left_semi"), "cut")
+            seen = seen.unionByName(rest)
+        take *= 4
+
+    led = written(drop(pairs.join(behind.toDF("b"), "b", "left_semi"), "a").groupBy("b").agg(F.min("a").alias("leader")), "led")
+    late = written(led.join(short.toDF("b"), "b", "left_semi"), "late")
+    if not late.isEmpty():
+        seek = hot.join(late.select(F.col("b").alias("id")), "id", "left_semi").withColumn("seeks", F.lit(True))
+        found = _met(drop(hot, "id").withColumn("seeks", F.lit(False)).unionByName(seek), least, None)
+        rest, take = written(_pairs(found).join(seen, ["a", "b"], "left_anti").join(led, "b").where("a < leader").select("a", "b"), "candidates"), 1
+        while not rest.isEmpty():
+            now, later = _next(rest, take, soon)
+            led = written(led.unionByName(_similar(now, sets, least).select("b", F.col("a").alias("leader"))).groupBy("b").agg(F.min("leader").alias("leader")), "led")
+            rest, take = written(later.join(led, "b").where("a < leader").select("a", "b"), "candidates"), 4 * take
+    return first.join(led.withColumnRenamed("b", "first"), "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+
+
+def _next(rest: DataFrame, take: int, soon: int) -> tuple[DataFrame, DataFrame]:
+    """Of candidates (a, b) the first ones of each b, all if they are few, and the others."""
+    placed = rest.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy("a")) if rest.count() > soon else F.lit(1))
+    return written(placed.where(F.col("place") <= take).select("a", "b"), "asked"), written(placed.where(F.col("place") > take).select("a", "b"), "later")
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """A written table, for joins: sent to all tasks if it has been counted as small."""
+    return F.broadcast(keys) if keys.count() <= KEYS else keys
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of sets (id, tokens: distinct digests in order) that have at least such a Jaccard similarity.
 
-    Sets of na and nb tokens that are so similar differ in at most d = (1 - least) / (1 + least) * (na + nb) tokens. Tokens are dealt to parts by their value, as many
-    parts as fit the size (doubled sizes have doubled parts; a set goes to the sizes of all that may be similar and as large). A differing token spoils one part, so all but d of
-    the parts of either are equal in both, and of its parts in one order the first d + k hold k: only these are joined. A part of several tokens, rarest first, is
-    equal by chance far less often than a token, and k of them (`SHARED`, fewer if a set has no more) hardly ever. Sets that have no more than d parts meet by their rarest tokens as well."""
-    n = F.size("tokens")
-    spark = sets.sparkSession
+    Tokens are dealt to sections by their value, as many as fit the size (doubled sizes have doubled sections; a set goes to the sizes of all that may be similar and as large). Of sets that are so
+    similar at least one section is so similar too, since the whole is a mean of its sections. So sections are compared, each a small set.
+    Sections of na and nb tokens that are so similar differ in at most (1 - least) / (1 + least) * (na + nb) tokens, and so in at most d = (1 - least) / least * na. Their tokens are dealt to parts by value
+    again. A differing token spoils one part, so all but d of the parts of either are equal in both, and the first d + 1 of its parts in one order hold one: only these are joined. A part of several tokens, rarest first, is
+    equal by chance far less often than a token. Sections that have no more than d parts meet by their rarest tokens as well. With each part goes a sketch of its section: the parity of its tokens
+    in some bins. Sketches differ in no more bins than sections in tokens, so pairs that share a part by chance end where they meet."""
+    return _similar(written(_pairs(_met(_entries(sets, least), least, None)), "candidates"), sets, least)
+
+
+def _entries(sets: DataFrame, least: float) -> DataFrame:
+    """(id, sketch, part): the parts of sets (id, tokens) by which they are joined."""
     often = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f")).orderBy(F.desc("f"), "t").limit(FREQUENT).toArrow()
     # How much a token tells, in whole numbers so that equal parts have equal sums; those that are not among the most frequent tell alike.
     f = np.append(often["f"].to_numpy(), 1)
     order = np.argsort(often["t"].to_numpy())
-    known = spark.sparkContext.broadcast((often["t"].to_numpy()[order], np.rint(16 * np.log2(f.max() / f[:-1])).astype(np.int64)[order], int(16 * np.log2(f.max() / f[:-1].min(initial=f.max()))) + 16))
+    known = sets.sparkSession.sparkContext.broadcast((often["t"].to_numpy()[order], np.rint(16 * np.log2(f.max() / f[:-1])).astype(np.int64)[order], int(16 * np.log2(f.max() / f[:-1].min(initial=f.max()))) + 16))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 yield from _first_parts(batch.slice(at, 512), least, *known.value)
 
-    kind = dict(sets.dtypes)["id"]
-    # Both sides of the join are the same table, moved once.
-    pre = sets.where(n > 0).select("id", "tokens").mapInArrow(parts, f"id {kind}, n int, mark int, part long")
-    a, b = (pre.select("part", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("mark").alias(f"mark{x}")) for x in "ab")
-    met = a.join(b, "part").where("a < b and (marka | markb) & 1 = 1").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    cand = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.min(F.expr("shiftright(least(marka, markb), 1)")).alias("l"))
-    cand = written(cand.where("k >= l").select("a", "b"), "candidates")
-    full = cand.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return written(full.where(both / (F.size("ta") + F.size("tb") - both) >= least).select("a", "b"), "pairs")
+    return sets.where(F.size("tokens") > 0).select("id", "tokens").mapInArrow(parts, f"id {dict(sets.dtypes)['id']}, sketch long, part long")
 
 
 def _first_parts(batch: pa.RecordBatch, least: float, frequent: np.ndarray, tells: np.ndarray, rare: int) -> Iterator[pa.RecordBatch]:
-    """(id, n, mark, part) of a slice of sets (id, tokens): hashes of the parts by which `similar_sets` joins. mark: twice how many have to be shared, plus one where the set is
-    of the size that the parts are made for."""
+    """(id, sketch, part) of a slice of sets (id, tokens): hashes of the parts by which `similar_sets` joins. A sketch is negative where the set is smaller than the size that the sections are made for."""
     lists = batch.column("tokens")
     every = lists.flatten().to_numpy(zero_copy_only=False)
     n_of = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -83,23 +132,99 @@ def _first_parts(batch: pa.RecordBatch, least: float, frequent: np.ndarray, tell
     larger = np.floor(n_of / least + 1e-9).astype(np.int64)
     for up in range(int((np.floor(np.log2(larger)).astype(np.int64) - scale).max(initial=-1)) + 1):
         g = scale + up
-        goes = larger >= 1 << g
-        most = np.minimum(larger, (2 << g) - 1)
-        d = np.floor((1 - least) / (1 + least) * (n_of + most) + 1e-9).astype(np.int64)
-        deal = np.maximum(3 << g >> 2, 1).astype(np.uint64)
-        here = goes[row_of]
+        # Sections of all rows that go here, numbered on.
+        sections = np.where(larger >= 1 << g, np.maximum((1 << g) // SECTION, 1), 0)
+        start = np.cumsum(sections) - sections
+        row_at = np.repeat(np.arange(len(n_of)), sections)
+        here = (sections > 0)[row_of]
         row, t, w = row_of[here], every[here].view(np.uint64), told[here]
-        # Very small sets have no parts of several tokens.
-        dealt = g[row] >= 3
-        kept, bare = _cut(row[dealt], (t % deal[row])[dealt].astype(np.int64), t[dealt], w[dealt], d, SHARED)
-        bare = goes & ((g < 3) | bare)
-        single = bare[row]
-        alone = np.arange(int(single.sum()))
-        by_token, _ = _cut(row[single], alone, t[single], w[single], n_of - np.ceil(least * n_of - 1e-9).astype(np.int64), 1)
-        for (r, part, k), salt in ((kept, 1), (by_token, 2)):
-            part = _mixed(part + (g[r].astype(np.uint64) * np.uint64(4) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            columns = [batch.column("id").take(pa.array(r)), pa.array(n_of[r].astype(np.int32)), pa.array((2 * k + (up == 0)).astype(np.int32)), pa.array(part)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "mark", "part"])
+        at = start[row] + (t & (sections[row] - 1).astype(np.uint64)).astype(np.int64)
+        n = np.bincount(at, minlength=len(row_at))
+        kept, bare = _cut(at, (t >> np.uint64(32)).astype(np.int64) % DEAL, t, w, np.floor((1 - least) / least * n + 1e-9).astype(np.int64), 1)
+        single = bare[at]
+        by_token, _ = _cut(at[single], np.arange(int(single.sum())), t[single], w[single], n - np.ceil(least * n - 1e-9).astype(np.int64), 1)
+        sketch = np.zeros(len(n), np.int64)
+        np.bitwise_xor.at(sketch, at, np.int64(1) << (_mixed(t) % np.uint64(BINS)).astype(np.int64))
+        sketch |= np.minimum(n, 255) << BINS
+        if up:
+            sketch |= np.int64(-(2**63))
+        for (s, part, _), salt in ((kept, 1), (by_token, 2)):
+            part = _mixed(part + (g[row_at[s]].astype(np.uint64) * np.uint64(4) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row_at[s])), pa.array(sketch[s]), pa.array(part)], names=["id", "sketch", "part"])
+
+
+def _met(entries: DataFrame, least: float, most: int | None) -> DataFrame:
+    """(a, b, part, sketch, cut) of (id, sketch, part), written. Pairs have no part: a row meets its `most` first likely ones in each part, earlier by id. The entries of parts in which a row was cut short
+    come as (a: id, part, sketch, cut: is it this row). Where entries have a column `seeks`, those that seek meet all others, earlier or not, and not each other."""
+    kind = dict(entries.dtypes)["id"]
+    if "seeks" not in entries.columns:
+        entries = entries.withColumn("seeks", F.lit(False))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, due = [], 0, 65_536
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= due:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                part = whole.column("part").to_numpy()
+                # The last part may go on; a part of very many rows is not looked at again for each batch.
+                ends = int(np.searchsorted(part, part[-1]))
+                if ends:
+                    yield from _likely(whole.slice(0, ends), least, most)
+                held, n = [whole.slice(ends)], n - ends
+                due = max(65_536, 2 * n)
+        if n:
+            yield from _likely(pa.Table.from_batches(held).combine_chunks().to_batches()[0], least, most)
+
+    dealt = entries.select("id", "sketch", "part", "seeks").repartition("part").sortWithinPartitions("part", "seeks", "id")
+    return written(dealt.mapInArrow(meet, f"a {kind}, b {kind}, part long, sketch long, cut boolean"), "met")
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.where("part is null and a < b").select("a", "b").distinct()
+
+
+def _likely(batch: pa.RecordBatch, least: float, most: int | None) -> Iterator[pa.RecordBatch]:
+    """What `_met` returns of whole parts (id, sketch, part, seeks), in order of part, seeks and id."""
+    ids, sketch, part, seeks = batch.column("id"), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sketch", "part", "seeks"))
+    bins, n, own = sketch & ((1 << BINS) - 1), (sketch >> BINS) & 255, sketch >= 0
+    # Sizes from 255 on are not known.
+    apart = np.where(n < 255, (1 - least) / (1 + least) * n, 1e9)
+    new = np.r_[True, part[1:] != part[:-1]][: len(part)]
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    asked = np.where(seeks, np.add.reduceat(~seeks, np.flatnonzero(new), dtype=np.int64)[np.cumsum(new) - 1], np.arange(len(part)) - start)
+    names = ["a", "b", "part", "sketch", "cut"]
+    none = lambda k, kind: pa.nulls(k, kind)
+    met, cut, out, r = np.zeros(len(part), np.int64), np.zeros(len(part), bool), [], 0
+    i = np.flatnonzero(asked > 0)
+    while len(i):
+        j = start[i] + r
+        ok = (own[i] | own[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9) & (np.bitwise_count(bins[i] ^ bins[j]) <= apart[i] + apart[j] + 1e-9)
+        out.append((j[ok], i[ok]))
+        met[i[ok]] += 1
+        r += 1
+        i = i[asked[i] > r]
+        if most:
+            full = met[i] >= most
+            cut[i[full]] = True
+            i = i[~full]
+        if not len(i) or r % 64 == 0:
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), *(none(len(a), k) for k in (pa.int64(), pa.int64(), pa.bool_()))], names=names)
+            out = []
+    if cut.any():
+        hot = np.flatnonzero(np.logical_or.reduceat(cut, np.flatnonzero(new))[np.cumsum(new) - 1])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(hot)), none(len(hot), ids.type), pa.array(part[hot]), pa.array(sketch[hot]), pa.array(cut[hot])], names=names)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the written pairs (a, b) whose sets (id, tokens) have such a Jaccard similarity."""
+    # Where few pairs are sent to the sets, only sets of these pairs are moved, once for each pair.
+    one = sets.toDF("b", "tb").join(_sent(pairs), "b")
+    other = sets.join(_sent(written(pairs.select(F.col("a").alias("id")).distinct(), "keys")), "id", "left_semi").toDF("a", "ta")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return written(one.join(other, "a").where(both / (F.size("ta") + F.size("tb") - both) >= least).select("a", "b"), "pairs")
 
 
 def _cut(row: np.ndarray, part: np.ndarray, t: np.ndarray, w: np.ndarray, d: np.ndarray, shared: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
@@ -125,34 +250,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def followers(pairs: DataFrame, few: int = 200_000, slow: float = 0.1) -> DataFrame:
+def followers(pairs: DataFrame, few: int = 200_000, slow: float = 0.1, open: DataFrame | None = None) -> DataFrame:
     """(node): the rows of similar pairs (a < b) that are no leaders: a row leads if no earlier row that it is similar to leads.
 
     This is the first maximal independent set in the order, found in rounds: a row without an earlier undecided neighbour leads, its
     neighbours follow, and all their pairs are done. Where a round ends less than a share `slow` of the pairs, rows wait for each other in chains: of those with one earlier
     neighbour only, each is the opposite of the row before, and doubled pointers carry that over the chain in logarithmically many steps. The rounds
     go on while more than `few` pairs are left; these are decided in one task, whose input is bounded by that number.
+
+    Rows of `open` (node) may be similar to earlier rows of which no pair is known: they may follow, but do not lead, and rows that wait for them stay undecided.
     """
     left = written(pairs.select("a", "b").distinct(), "undecided")
+    known = open is None or open.isEmpty()
     n, chains, done = left.count(), False, []
     while n > few:
         later = left.groupBy("b").agg(F.count(F.lit(1)).alias("k"), F.min("a").alias("a"))
         heads = left.select(F.col("a").alias("node")).distinct().join(later, F.col("node") == F.col("b"), "left_anti")
-        if chains:
+        if not known:
+            heads = heads.join(open, "node", "left_anti")
+        elif chains:
             heads = heads.unionByName(_ends_of_chains(later.where("k = 1").select("b", "a"), heads))
         behind = written(left.join(heads.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct(), "followers")
         done.append(behind)
         left = written(left.join(behind.toDF("b"), "b", "left_anti").join(behind.toDF("a"), "a", "left_anti"), "undecided")
         was, n = n, left.count()
         chains = chains or was - n < slow * was
+        if n == was:
+            # All that are left wait.
+            left = left.limit(0)
+            break
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        behind: set = set()
+        behind, waits = set(), set(pdf.loc[pdf["waits"], "a"])
         for a, b in pdf.sort_values(["b", "a"])[["a", "b"]].itertuples(index=False):
             if a not in behind:
-                behind.add(b)
+                (waits if a in waits else behind).add(b)
         return pd.DataFrame({"node": list(behind)}, dtype=pdf["b"].dtype)
 
+    left = left.withColumn("waits", F.lit(False)) if known else left.join(open.select(F.col("node").alias("a"), F.lit(True).alias("waits")), "a", "left").fillna(False, "waits")
     every = left.groupBy().applyInPandas(in_order, f"node {dict(pairs.dtypes)['b']}")
     for behind in done:
         every = every.unionByName(behind)

@@ -106,6 +106,63 @@ def test_parts_join_few_unlike_sets():
     assert len(met) < 400_000 and (met >= resolve.SHARED).sum() < 1_000
 
 
+def near_copies(seed, groups, each, most):
+    """(id, tokens): near copies of a few sets, some in order of id, some mixed, with up to such a share of tokens changed."""
+    rng = np.random.default_rng(seed)
+    bases = [rng.choice(5000, 120, replace=False) for _ in range(groups)]
+    rows = []
+    for i in range(groups * each):
+        t = bases[i // each if i % 2 else int(rng.integers(groups))].copy()
+        n = int(rng.integers(0, most * len(t)))
+        t[rng.choice(len(t), n, replace=False)] = rng.integers(10_000, 60_000, n)
+        rows.append((i, sorted({f"t{x}" for x in t})))
+    return rows
+
+
+def one_pass(rows, least=0.75):
+    heads, led = [], {}
+    for i, t in rows:
+        s = set(t)
+        led[i] = next((h for h, x in heads if len(s & x) / len(s | x) >= least), i)
+        if led[i] == i:
+            heads.append((i, s))
+    return led
+
+
+@pytest.mark.parametrize(("most", "soon", "few"), [(1, 0, 100), (8, 10_000, 1000)])
+def test_leaders_cut_short(spark, most, soon, few):
+    """Rows that meet few others at first, in rounds down to the last pair: near copies of all degrees, with many leaders."""
+    rows = near_copies(11, 3, 60, 0.3)
+    want = one_pass(rows)
+    assert 10 < len(set(want.values())) < 150
+    got = {r.id: r.leader for r in resolve.leaders(spark.createDataFrame(rows, "id long, tokens array<string>"), few=few, most=most, soon=soon).collect()}
+    assert got == want
+
+
+def test_leaders_of_a_large_group(spark, monkeypatch):
+    """1,000 near copies of one set are half a million similar pairs; no table of them is made."""
+    sizes, plain = [], resolve.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(resolve, "written", counted)
+    rows = near_copies(12, 1, 1000, 0.08)
+    got = {r.id: r.leader for r in resolve.leaders(spark.createDataFrame(rows, "id long, tokens array<string>")).collect()}
+    assert got == one_pass(rows)
+    assert max(n for n, name in sizes if name in ("candidates", "pairs", "undecided")) < 40_000
+
+
+def test_followers_that_may_not_lead(spark):
+    """Of 1-2, 2-3, 4-5, 4-6, 5-7 and 8-9 rows 4 and 9 may follow others: 4 waits, so do 5, 6 and 7; 9 follows 8."""
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (4, 6), (5, 7), (8, 9)], "a long, b long")
+    for few in (0, 100):
+        got = {r.node for r in resolve.followers(pairs, few, open=spark.createDataFrame([(4,), (9,)], "node long")).collect()}
+        assert got == {2, 9}
+
+
 def in_order(pairs):
     behind = set()
     for b, a in sorted({(b, a) for a, b in pairs}):
