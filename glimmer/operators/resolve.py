@@ -45,7 +45,8 @@ def leaders(rows: DataFrame, least: float = 0.75, few: int = 200_000, most: int
     found = _met(_entries(sets, least), least, most)
     hot = found.where("part is not null").select(F.col("a").alias("id"), "part", "sketch", "cut")
     short = cut = written(hot.where("cut").select(F.col("id").alias("node")).distinct(), "cut")
-    seen = rest = written(_pairs(found), "candidates")
+    bins = written(_bins(sets), "bins")
+    seen = rest = written(_near(_pairs(found), bins, least), "candidates")
     pairs = behind = None
     drop = lambda df, side: df if behind is None else df.join(behind.toDF(side), side, "left_anti")
     take = 1
@@ -63,7 +64,7 @@ def leaders(rows: DataFrame, least: float = 0.75, few: int = 200_000, most: int
                 break
             most *= 4
             found = _met(drop(hot, "id"), least, most)
-            rest = written(_pairs(found).join(waiting.toDF("b"), "b", "left_semi").join(seen, ["a", "b"], "left_anti").select("a", "b"), "candidates")
+            rest = written(_near(_pairs(found).join(waiting.toDF("b"), "b", "left_semi").join(seen, ["a", "b"], "left_anti"), bins, least), "candidates")
             cut = written(found.where("cut").select(F.col("a").alias("node")).distinct().join(waiting, "node", "left_semi"), "cut")
             seen = seen.unionByName(rest)
         take *= 4
@@ -73,7 +74,7 @@ def leaders(rows: DataFrame, least: float = 0.75, few: int = 200_000, most: int
     if not late.isEmpty():
         seek = hot.join(late.select(F.col("b").alias("id")), "id", "left_semi").withColumn("seeks", F.lit(True))
         found = _met(drop(hot, "id").withColumn("seeks", F.lit(False)).unionByName(seek), least, None)
-        rest, take = written(_pairs(found).join(seen, ["a", "b"], "left_anti").join(led, "b").where("a < leader").select("a", "b"), "candidates"), 1
+        rest, take = written(_near(_pairs(found).join(seen, ["a", "b"], "left_anti").join(led, "b").where("a < leader"), bins, least), "candidates"), 1
         while not rest.isEmpty():
             now, later = _next(rest, take, soon)
             led = written(led.unionByName(_similar(now, sets, least).select("b", F.col("a").alias("leader"))).groupBy("b").agg(F.min("leader").alias("leader")), "led")
@@ -100,8 +101,9 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     Sections of na and nb tokens that are so similar differ in at most (1 - least) / (1 + least) * (na + nb) tokens, and so in at most d = (1 - least) / least * na. Their tokens are dealt to parts by value
     again. A differing token spoils one part, so all but d of the parts of either are equal in both, and the first d + 1 of its parts in one order hold one: only these are joined. A part of several tokens, rarest first, is
     equal by chance far less often than a token. Sections that have no more than d parts meet by their rarest tokens as well. With each part goes a sketch of its section: the parity of its tokens
-    in some bins. Sketches differ in no more bins than sections in tokens, so pairs that share a part by chance end where they meet."""
-    return _similar(written(_pairs(_met(_entries(sets, least), least, None)), "candidates"), sets, least)
+    in some bins. Sketches differ in no more bins than sections in tokens, so pairs that share a part by chance end where they meet. What is left is compared by the sketches of all sections, then by the sets."""
+    pairs = _pairs(_met(_entries(sets, least), least, None))
+    return _similar(written(_near(pairs, written(_bins(sets), "bins"), least), "candidates"), sets, least)
 
 
 def _entries(sets: DataFrame, least: float) -> DataFrame:
@@ -218,6 +220,34 @@ def _likely(batch: pa.RecordBatch, least: float, most: int | None) -> Iterator[p
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(hot)), none(len(hot), ids.type), pa.array(part[hot]), pa.array(sketch[hot]), pa.array(cut[hot])], names=names)
 
 
+def _bins(sets: DataFrame) -> DataFrame:
+    """(id, n, bins) of sets (id, tokens): the size, and for each section the parity of its tokens in 64 bins."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            t = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            sections = np.maximum((1 << np.floor(np.log2(n)).astype(np.int64)) // SECTION, 1)
+            start = np.r_[0, np.cumsum(sections)]
+            bins = np.zeros(start[-1], np.uint64)
+            np.bitwise_xor.at(bins, np.repeat(start[:-1], n) + (t & np.repeat(sections - 1, n).astype(np.uint64)).astype(np.int64), np.uint64(1) << (_mixed(t) >> np.uint64(58)))
+            bins = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(bins.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), bins], names=["id", "n", "bins"])
+
+    return sets.where(F.size("tokens") > 0).mapInArrow(sketch, f"id {dict(sets.dtypes)['id']}, n long, bins array<long>")
+
+
+def _near(pairs: DataFrame, bins: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) but those that differ in too many bins. Of two sets the one with more sections is folded to as many as the other has: sections are dealt by the last bits of a token."""
+    both = pairs.select("a", "b").join(bins.toDF("a", "na", "ba"), "a").join(bins.toDF("b", "nb", "bb"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+    k = F.least(F.size("ba"), F.size("bb"))
+    fold = lambda c: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.aggregate(F.sequence(i, F.size(c) - 1, k), F.lit(0).cast("long"), lambda x, at: x.bitwiseXOR(F.get(c, at))))
+    folded = lambda c: F.when(F.size(c) == k, F.col(c)).otherwise(fold(c))
+    differ = F.aggregate(F.zip_with(folded("ba"), folded("bb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return both.where(differ <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the written pairs (a, b) whose sets (id, tokens) have such a Jaccard similarity."""
     # Where few pairs are sent to the sets, only sets of these pairs are moved, once for each pair.
