@@ -17,7 +17,7 @@ from glimmer.operators.matching import FREQUENT
 from glimmer.session import in_slices, written
 
 
-#: How many parts two similar sets may be asked to share.
+#: Unlike sets hardly ever share so many parts.
 SHARED = 4
 #: Tokens in a section of the smallest set of its size, and the parts that these are dealt to.
 SECTION, DEAL = 32, 28
